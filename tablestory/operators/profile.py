@@ -36,15 +36,38 @@ def cell_text(name: str, dtype: T.DataType) -> Column:
     return F.when(~cells.is_missing(c if not isinstance(dtype, _NESTED) else text, dtype), text)
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
-    """(column, value, n[, first_row]): how often each present value occurs, for all columns at once.
+def _family(dtype: T.DataType) -> str:
+    """Columns that can share one value column without losing anything."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "timestamp_ntz" if isinstance(dtype, _TEMPORAL) else "string"
 
-    Very long texts are counted by their SHA-256, which keeps the shuffle small.
+
+def _families(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for c in columns:
+        found.setdefault(_family(df.schema[c].dataType), []).append(c)
+    return found
+
+
+def value_counts(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """(column, value, n[, first_row]): how often each present value of like columns occurs.
+
+    One pre-aggregated shuffle for all of them. Numbers and moments are
+    counted as such; very long texts are counted by their SHA-256, which keeps
+    the shuffle small.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    columns = list(columns or df.columns)
 
     def value(c: str) -> Column:
+        family, column = _family(types[c]), F.col(f"`{c}`")
+        if family == "double":
+            number = F.when(~cells.is_missing(column, types[c]), column.cast("double"))
+            return F.when(number == 0, F.lit(0.0)).otherwise(number)
+        if family != "string":
+            return column.cast(family)
         text = cell_text(c, types[c])
         if isinstance(types[c], (T.StringType, *_NESTED)):
             return F.when(F.length(text) > _LONG_TEXT, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
@@ -60,9 +83,12 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, order_by: list
 def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, present, missing, distinct) for every column."""
     columns = list(columns or df.columns)
-    counted = value_counts(df, columns).groupBy("column").agg(
-        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct")
-    )
+    counted = None
+    for like in _families(df, columns).values():
+        part = value_counts(df, like).groupBy("column").agg(
+            F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct")
+        )
+        counted = part if counted is None else counted.unionByName(part)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     rows = df.agg(F.count(F.lit(1)))
     joined = names.join(counted, "column", "left").fillna(0, ["present", "distinct"])
@@ -211,44 +237,89 @@ def read_field(field: Field, dtype: T.DataType) -> Column:
     return cells.squeeze(cell_text(field.name, dtype))
 
 
-def _column_facts(counts: DataFrame, order_by: list[str] | None) -> DataFrame:
-    """One row of parse results per column, from its different values."""
+_STEPS = "min timestamp_ntz, max timestamp_ntz, resolution string, found bigint"
+
+
+def _column_facts(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """One row of facts per column; only text is parsed, once per different value."""
+    facts = None
+    for family, columns in _families(df, df.columns).items():
+        counts = value_counts(df, columns, order_by if family == "string" else None)
+        part = {"string": _text_facts, "timestamp_ntz": _moment_facts}.get(family, _number_facts)(counts, bool(order_by))
+        facts = part if facts is None else facts.unionByName(part)
+    return facts
+
+
+def _calendar(moment: Column, n: Column) -> Column:
+    """Range, resolution and number of the moments that could be read."""
+    return F.struct(
+        F.min(moment).alias("min"), F.max(moment).alias("max"), resolution(moment).alias("resolution"),
+        F.sum(F.when(moment.isNotNull(), n).otherwise(0)).alias("found"),
+    )
+
+
+def _no_calendar() -> Column:
+    return F.lit(None).cast(f"struct<{_STEPS.replace(' ', ':').replace(',:', ',')}>")
+
+
+def _year_start(number: Column) -> Column:
+    year = F.when((number == F.floor(number)) & number.between(1000, 2200), number.cast("int"))
+    return F.try_make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+
+def _number_columns(num: Column, n: Column, flag: Column) -> list[Column]:
+    return [
+        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"),
+        F.sum(F.when(flag, n).otherwise(0)).alias("flags"),
+        F.sum(F.when(num.isNotNull(), n).otherwise(0)).alias("numbers"),
+        F.min(num).alias("num_min"), F.max(num).alias("num_max"), F.sum(num * n).alias("num_sum"),
+        F.bool_and(num == F.floor(num)).alias("integer"),
+    ]
+
+
+def _number_facts(counts: DataFrame, ordered: bool) -> DataFrame:
+    v, n = F.col("value").cast("double"), F.col("n")
+    read = counts.withColumn("num", v).withColumn("compact", cells.compact_date(F.col("num")))
+    return read.groupBy("column").agg(
+        *_number_columns(F.col("num"), n, F.col("num").isin(0.0, 1.0)),
+        F.lit(None).cast("string").alias("unit"), F.lit(False).alias("day_first"), F.lit(False).alias("clock"),
+        _calendar(F.col("compact"), n).alias("compact"), _calendar(_year_start(F.col("num")), n).alias("year"),
+        _no_calendar().alias("mdy"), _no_calendar().alias("dmy"),
+    )
+
+
+def _moment_facts(counts: DataFrame, ordered: bool) -> DataFrame:
+    v, n = F.col("value"), F.col("n")
+    none = F.lit(None).cast("double")
+    return counts.groupBy("column").agg(
+        *_number_columns(none, n, F.lit(False)),
+        F.lit(None).cast("string").alias("unit"), F.lit(False).alias("day_first"),
+        F.bool_or(v != F.date_trunc("day", v).cast("timestamp_ntz")).alias("clock"),
+        _no_calendar().alias("compact"), _no_calendar().alias("year"),
+        _calendar(v, n).alias("mdy"), _no_calendar().alias("dmy"),
+    )
+
+
+def _text_facts(counts: DataFrame, ordered: bool) -> DataFrame:
     v, n = F.col("value"), F.col("n")
     # Staged, so that each step is computed once per different value.
     parsed = counts.withColumns({
-        "flag": cells.as_flag(v), "num": cells.as_number(v), "parts": cells.date_parts(v),
+        "flag": cells.as_flag(v).isNotNull(), "num": cells.as_number(v), "parts": cells.date_parts(v),
         "first_part": cells.date_first_part(v), "raw_unit": cells.number_unit(v),
     }).withColumns({
-        "mdy": cells.moment_of(F.col("parts"), False), "dmy": cells.moment_of(F.col("parts"), True),
-        "compact_moment": cells.compact_date(F.col("num")),
+        "month_first": cells.moment_of(F.col("parts"), False), "day_first": cells.moment_of(F.col("parts"), True),
+        "compact": cells.compact_date(F.col("num")),
         "unit": F.when(F.col("num").isNotNull(), F.col("raw_unit")),
     })
-    num = F.col("num")
     # The unit is the one met first in row order; without an order, the most frequent one.
-    rank = F.struct(F.col("first_row")) if order_by else F.struct(-n, v)
-    year = F.when((num == F.floor(num)) & num.between(1000, 2200), num.cast("int"))
-    year_moment = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    rank = F.struct(F.col("first_row")) if ordered else F.struct(-n, v)
     return parsed.groupBy("column").agg(
-        F.sum("n").alias("present"),
-        F.count(F.lit(1)).alias("distinct"),
-        F.sum(F.when(F.col("flag").isNotNull(), n).otherwise(0)).alias("flags"),
-        F.sum(F.when(num.isNotNull(), n).otherwise(0)).alias("numbers"),
-        F.min(num).alias("num_min"), F.max(num).alias("num_max"), F.sum(num * n).alias("num_sum"),
-        F.bool_and(num == F.floor(num)).alias("integer"),
+        *_number_columns(F.col("num"), n, F.col("flag")),
         F.min_by("unit", F.when(F.col("unit").isNotNull(), rank)).alias("unit"),
         F.coalesce(F.max("first_part") > 12, F.lit(False)).alias("day_first"),
         F.coalesce(F.bool_or(cells.has_clock(v)), F.lit(False)).alias("clock"),
-        F.sum(F.when(F.col("compact_moment").isNotNull(), n).otherwise(0)).alias("compact"),
-        F.min("compact_moment").alias("compact_min"), F.max("compact_moment").alias("compact_max"),
-        resolution(F.col("compact_moment")).alias("compact_resolution"),
-        F.min(year_moment).alias("year_min"), F.max(year_moment).alias("year_max"),
-        *[
-            made for order in ("mdy", "dmy") for made in (
-                F.sum(F.when(F.col(order).isNotNull(), n).otherwise(0)).alias(f"dates_{order}"),
-                F.min(order).alias(f"{order}_min"), F.max(order).alias(f"{order}_max"),
-                resolution(F.col(order)).alias(f"{order}_resolution"),
-            )
-        ],
+        _calendar(F.col("compact"), n).alias("compact"), _calendar(_year_start(F.col("num")), n).alias("year"),
+        _calendar(F.col("month_first"), n).alias("mdy"), _calendar(F.col("day_first"), n).alias("dmy"),
     )
 
 
@@ -260,7 +331,7 @@ def profile_table(df: DataFrame, order_by: list[str] | None = None) -> TableProf
     """
     order_by = list(order_by or [])
     types = {f.name: f.dataType for f in df.schema.fields}
-    facts = {r["column"]: r for r in _column_facts(value_counts(df, None, order_by), order_by).collect()}
+    facts = {r["column"]: r for r in _column_facts(df, order_by).collect()}
     row_count = df.count()
     fields: list[Field] = []
     for name in df.columns:

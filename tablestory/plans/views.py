@@ -7,7 +7,9 @@ sees the few bars or points each headline is about.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field as slot
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,7 +20,7 @@ from ..functions.shown import format_count, format_number, format_ratio, format_
 from ..operators import grouping, series
 from ..operators.ordering import Running, running
 from ..operators.profile import TableProfile
-from ..operators.statistics import least_squares, mean_difference, pearson, quantiles, rate_difference
+from ..operators.statistics import mean_difference, pearson, quantiles, rate_difference
 from .kinds import Field, ranked_measures
 
 TRAITS = "#yes-no-columns"
@@ -44,11 +46,16 @@ class View:
     subtitle: str
     score: float
     chart: str
-    result: DataFrame
+    build: Callable[[], DataFrame]
     footnote: str | None = None
     facts: dict = slot(default_factory=dict)
     named_after: list[str] | None = None
 
+    @cached_property
+    def result(self) -> DataFrame:
+        """The rows of the chart; planned when first asked for."""
+        return self.build()
+
     @property
     def view_id(self) -> str:
         return f"{self.kind}:{'+'.join(self.named_after or self.fields)}"
@@ -202,7 +209,7 @@ def count_view(typed: DataFrame, dim: Field, facts: GroupFacts, noun: Noun) -> V
     return View(
         "ranking", [dim.name], capitalize(title), f"Number of {noun.plural} by {lower_first(dim.label)}",
         score - 0.08 if dim.has_order else score, "bars",
-        grouping.count_bars(typed, dim.name, dim.kind, dim.ordered_labels),
+        lambda: grouping.count_bars(typed, dim.name, dim.kind, dim.ordered_labels),
         _notes(f"Top {limit} of {format_count(groups)} shown." if cut else None, missing_note(dim, noun)),
     )
 
@@ -241,7 +248,7 @@ def measure_view(typed: DataFrame, dim: Field, measure: Field, facts: GroupFacts
     cut = not dim.has_order and totals.groups > len(drawn)
     return View(
         "ranking", [dim.name, measure.name], capitalize(title), f"{subject} by {lower_first(dim.label)}", score, "bars",
-        grouping.measure_bars(typed, dim.name, measure.name, additive, dim.kind, dim.ordered_labels, measure.unit),
+        lambda: grouping.measure_bars(typed, dim.name, measure.name, additive, dim.kind, dim.ordered_labels, measure.unit),
         _notes(
             f"Top {len(drawn)} of {format_count(totals.groups)} shown." if cut else None,
             None if additive else f"Groups with fewer than {fixed.MIN_GROUP} {noun.plural} are left out.",
@@ -275,7 +282,7 @@ def rate_view(typed: DataFrame, dim: Field, flag: Field, facts: GroupFacts, noun
     return View(
         "rate", [dim.name, flag.name], capitalize(title),
         f"Share of {noun.plural} with {lower_first(flag.label)}, by {lower_first(dim.label)}", score, "bars",
-        grouping.rate_bars(typed, dim.name, flag.name, dim.kind, dim.ordered_labels), missing_note(dim, noun),
+        lambda: grouping.rate_bars(typed, dim.name, flag.name, dim.kind, dim.ordered_labels), missing_note(dim, noun),
         {"overall": test.overall, "reference": f"Overall {format_share(test.overall)}"},
     )
 
@@ -296,7 +303,7 @@ def traits_view(typed: DataFrame, flags: list[Field], noun: Noun) -> View | None
         note = f"Top {len(drawn)} of {len(rated)} yes/no columns shown."
     return View(
         "traits", [TRAITS], capitalize(title), f"Share of {noun.plural} marked yes in each yes/no column", 0.62, "bars",
-        grouping.trait_bars(typed, [f.name for f in flags]), note, named_after=[f.name for f in flags],
+        lambda: grouping.trait_bars(typed, [f.name for f in flags]), note, named_after=[f.name for f in flags],
     )
 
 
@@ -314,12 +321,27 @@ def trend_views(typed: DataFrame, time: Field, measures: list[Field], noun: Noun
     steps = series.time_buckets(typed, time.name, grain, [m.name for m in drawn])
     # One row per calendar step: small by construction, so it is kept as a local frame.
     spark = typed.sparkSession
-    steps = spark.createDataFrame(steps.collect(), steps.schema)
-    views = [trend_view(steps, time, grain, None, None, noun)]
-    views += [trend_view(steps, time, grain, i, m, noun) for i, m in enumerate(drawn)]
+    rows = sorted(steps.collect(), key=lambda r: r.bucket)
+    steps = spark.createDataFrame(rows, steps.schema)
+    filled = {r.bucket for r in rows}
+    along = Steps(steps, grain, rows[0].bucket, rows[-1].bucket, len(filled), series.expected_buckets(steps, grain).count())
+    views = [trend_view(along, time, None, None, noun)]
+    views += [trend_view(along, time, i, m, noun) for i, m in enumerate(drawn)]
     return [v for v in views if v]
 
 
+@dataclass
+class Steps:
+    """Rows grouped by calendar step, and how many steps there should be."""
+
+    frame: DataFrame
+    grain: str
+    first: object
+    last: object
+    filled: int
+    expected: int
+
+
 def _correlation(x, y) -> float:
     x, y = np.asarray(x, float), np.asarray(y, float)
     if len(x) < 3 or x.std() == 0 or y.std() == 0:
@@ -327,22 +349,18 @@ def _correlation(x, y) -> float:
     return float(np.corrcoef(x, y)[0, 1])
 
 
-def trend_view(
-    steps: DataFrame, time: Field, grain: str, index: int | None, measure: Field | None, noun: Noun
-) -> View | None:
+def trend_view(along: Steps, time: Field, index: int | None, measure: Field | None, noun: Noun) -> View | None:
+    grain = along.grain
     additive = bool(measure and measure.additive)
     summed = measure is None or additive
     low, high = (F.lit(str(t)).cast("timestamp_ntz") for t in (time.time_min, time.time_max))
     stamped = time.resolution == grain
-    points = series.trend_points(steps, grain, low, high, index, additive, stamped)
-    starts = [r.bucket for r in points.select("bucket").orderBy("bucket").collect()]
-    if len(starts) < 3:
-        return None
-    ends = steps.agg(F.min("bucket"), F.max("bucket")).first()
-    with_year = ends[0].year != ends[1].year
+    points = series.trend_points(along.frame, grain, low, high, index, additive, stamped)
     unit = measure.unit if measure else None
-    placed = series.series_points(points, grain, with_year, unit)
-    rows = placed.orderBy("bucket").collect()
+    placed = series.series_points(points, grain, along.first.year != along.last.year, unit)
+    rows = sorted(placed.collect(), key=lambda r: r.bucket)
+    if len(rows) < 3:
+        return None
     values = [r["value"] for r in rows]
     if measure is None:
         mean = float(np.mean(values))
@@ -366,11 +384,11 @@ def trend_view(
         label = "w" + peak.label[1:] if peak.label.startswith("Week of ") else peak.label
         display = peak.display if measure else format_count(peak["value"])
         title = f"{subject} peaked {place} {label} at {display}"
-    gaps = series.expected_buckets(steps, grain).count() - steps.count()
-    kept_gaps = gaps > 0 and not (summed and gaps / (gaps + steps.count()) <= 0.2)
+    gaps = along.expected - along.filled
+    kept_gaps = gaps > 0 and not (summed and gaps / along.expected <= 0.2)
     trimmed = 0
     if summed and not stamped and grain not in ("hour", "day"):
-        trimmed = (ends[0] != starts[0]) + (ends[1] != starts[-1])
+        trimmed = (along.first != rows[0].bucket) + (along.last != rows[-1].bucket)
     edge = {
         0: None,
         1: f"The partial {grain} at the edge of the range is only partly covered and not shown.",
@@ -384,7 +402,7 @@ def trend_view(
         )
     return View(
         "trend", [time.name] + ([measure.name] if measure else []), capitalize(title),
-        f"{subject} per {grain}, by {lower_first(time.label)}", 0.9 if measure else 0.86, "line", placed,
+        f"{subject} per {grain}, by {lower_first(time.label)}", 0.9 if measure else 0.86, "line", lambda: placed,
         _notes(note, edge, blank, missing_note(time, noun)),
         {"grain": grain, "highlight": highlight, "zero_based": summed, "markers": len(rows) <= 40},
     )
@@ -438,7 +456,7 @@ def sequence_view(typed: DataFrame, sequence: Field, measures: list[Field], fact
     return View(
         "sequence", [sequence.name, measure.name], capitalize(title),
         f"{measure.label} at each {noun.singular}, in {lower_first(sequence.label)} order", 0.82, "line",
-        series.sequence_points(typed, sequence.name, measure.name), facts={"zero_based": f.low >= 0},
+        lambda: series.sequence_points(typed, sequence.name, measure.name), facts={"zero_based": f.low >= 0},
     )
 
 
@@ -450,28 +468,58 @@ def value_facts(typed: DataFrame, spreads: list[Field], related: list[Field]) ->
     """Quantiles of some measures and correlations of all pairs of others, from one pass.
 
     The built-in exact percentile holds the different values of a column in
-    one task, so it is used while the profile says there are few.
+    one task, so it is used while the profile says there are few. Pairs of
+    complete columns share the spread of each column.
     """
     light = [m for m in spreads if m.distinct <= 200_000]
-    pairs = [(a.name, b.name) for i, a in enumerate(related) for b in related[i + 1:]]
-    parts = [F.struct(F.lit(0)).alias("none")]
-    for i, m in enumerate(light):
-        parts.append(F.struct(
-            F.count(F.col(m.name)).alias("n"), F.percentile(F.col(m.name), _QUANTILES).alias("q")
-        ).alias(f"spread_{i}"))
+    pairs = [(a, b) for i, a in enumerate(related) for b in related[i + 1:]]
+    parts = [F.count(F.lit(1)).alias("rows")]
+    parts += [F.percentile(F.col(m.name), _QUANTILES).alias(f"q_{i}") for i, m in enumerate(light)]
+    whole = {m.name for m in related if not m.missing and m.min is not None}
+    for i, m in enumerate(related):
+        parts += [F.avg(m.name).alias(f"mean_{i}"), F.var_pop(m.name).alias(f"var_{i}")]
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a), F.col(b)
-        slope, intercept = least_squares(x, y)
+        x, y = F.col(a.name), F.col(b.name)
+        if a.name in whole and b.name in whole:
+            parts.append(F.covar_pop(x, y).alias(f"cov_{i}"))
+            continue
+        both = x.isNotNull() & y.isNotNull()
+        x, y = F.when(both, x), F.when(both, y)
         parts.append(F.struct(
-            F.lit(a).alias("x"), F.lit(b).alias("y"), F.count_if(x.isNotNull() & y.isNotNull()).alias("pairs"),
-            pearson(x, y).alias("r"), slope.alias("slope"), intercept.alias("intercept"),
-        ).alias(f"pair_{i}"))
+            F.count_if(both).alias("n"), F.covar_pop(x, y).alias("cov"), F.var_pop(x).alias("var_x"),
+            F.var_pop(y).alias("var_y"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
+        ).alias(f"cov_{i}"))
     row = typed.agg(*parts).first()
-    found = {m.name: list(row[f"spread_{i}"].q) for i, m in enumerate(light) if row[f"spread_{i}"].n}
+    found = {m.name: list(row[f"q_{i}"]) for i, m in enumerate(light) if row[f"q_{i}"]}
     for m in spreads:
         if m.distinct > 200_000:
             found[m.name] = quantiles(typed, m.name, _QUANTILES)
-    return found, [row[f"pair_{i}"] for i in range(len(pairs))]
+    place = {m.name: i for i, m in enumerate(related)}
+    return found, [_pair(row, place, i, a.name, b.name) for i, (a, b) in enumerate(pairs)]
+
+
+@dataclass
+class Pair:
+    x: str
+    y: str
+    pairs: int
+    r: float
+    slope: float
+    intercept: float
+
+
+def _pair(row, place: dict[str, int], i: int, x: str, y: str) -> Pair:
+    moments = row[f"cov_{i}"]
+    if isinstance(moments, float) or moments is None:
+        n, cov = row["rows"], moments
+        var_x, var_y = row[f"var_{place[x]}"], row[f"var_{place[y]}"]
+        mean_x, mean_y = row[f"mean_{place[x]}"], row[f"mean_{place[y]}"]
+    else:
+        n, cov, var_x, var_y, mean_x, mean_y = moments
+    if n < 3 or not var_x or not var_y:
+        return Pair(x, y, n, 0.0, 0.0, mean_y or 0.0)
+    slope = cov / var_x
+    return Pair(x, y, n, cov / (var_x * var_y) ** 0.5, slope, mean_y - slope * mean_x)
 
 
 def histogram_view(typed: DataFrame, measure: Field, q: list[float] | None, noun: Noun) -> View | None:
@@ -492,10 +540,9 @@ def histogram_view(typed: DataFrame, measure: Field, q: list[float] | None, noun
             f"{format_number(q1, unit)} and {format_number(q3, unit)}"
         )
     cut = plan["open_high"] or plan["open_low"]
-    bins = series.histogram_bins(typed, measure.name, plan)
     return View(
         "histogram", [measure.name], capitalize(title), f"Number of {noun.plural} at each level of {name}",
-        0.44 if cut else 0.38, "histogram", label_bins(bins, plan, bool(measure.integer), unit),
+        0.44 if cut else 0.38, "histogram", lambda: label_bins(series.histogram_bins(typed, measure.name, plan), plan, bool(measure.integer), unit),
         _notes("Extreme values are gathered into the end bars." if cut else None, missing_note(measure, noun)),
         {**plan, "median": median, "median_label": f"Median {middle}"},
     )
@@ -534,7 +581,7 @@ def scatter_view(typed: DataFrame, fields: dict[str, Field], pairs: list, order_
     return View(
         "scatter", [x.name, y.name], capitalize(title),
         f"Each dot is one {noun.singular}: {lower_first(x.label)} across, {lower_first(y.label)} up",
-        0.3 + abs(best.r) * 0.45, "scatter", series.scatter_points(typed, x.name, y.name, stride, order_by), note,
+        0.3 + abs(best.r) * 0.45, "scatter", lambda: series.scatter_points(typed, x.name, y.name, stride, order_by), note,
         {"r": best.r, "slope": best.slope, "intercept": best.intercept, "stride": stride},
     )
 
@@ -564,7 +611,7 @@ def map_view(typed: DataFrame, profile: TableProfile, lat: Field, lng: Field, no
     return View(
         "map", [lat.name, lng.name] + ([place.name] if place else []), capitalize(title),
         f"Each dot is one {noun.singular}, placed by its coordinates", 0.95, "map",
-        series.place_points(typed, lat.name, lng.name, [place.name] if place else []), note,
+        lambda: series.place_points(typed, lat.name, lng.name, [place.name] if place else []), note,
         {"aspect": box.aspect, "ranking": ranking}, named_after=[lat.name, lng.name],
     )
 

@@ -31,6 +31,7 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     return configure(builder.getOrCreate())
 
