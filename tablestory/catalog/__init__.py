@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import profiling
+from . import feeds, findings, profiling, runs
 
-_PARTS = (profiling,)
+_PARTS = (profiling, findings, runs, feeds)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from ..functions import fixed
 from .ordering import row_index
 from .profile import TableProfile, column_role, inferred_type
 from .scoring import _unique_labels, question_kind
+from ..session import pinned
 
 
 def bounded_text(c: Column, limit: int) -> Column:
@@ -72,6 +73,8 @@ def pack_proposals(drafts: DataFrame, key: str, order_by: list[str]) -> DataFram
     usable = typed.withColumn("visual", chart).where(
         ~((F.col("kind") == "choice") | (F.col("visual") == "bars")) | (F.size("classes") >= 2)
     )
+    # Written out once: numbering reads it more than once, and later filters should not repeat the work above.
+    usable = pinned(usable)
     slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 40)
     slug = F.concat_ws("-", "visual", F.when(slug == "", "insight").otherwise(slug))
     numbered = row_index(usable.withColumn("__slug", slug), order_by, "__n", [key, "__slug"])

@@ -80,35 +80,38 @@ def validate_results(
 ANSWER_WRAPPERS = ("data", "result", "response", "body")
 
 
-def parse_answer(text: Column) -> Column:
-    """(model, type, value, choice, confidence, probabilities) from the JSON a scorer returned.
+def parse_answers(df: DataFrame, column: str, name: str = "answer") -> DataFrame:
+    """Add (model, type, value, choice, confidence, probabilities) read from the JSON a scorer returned.
 
     The answer may sit inside data/result/response/body and inside
-    answers.classification or classification.
+    answers.classification or classification. Each layer is opened once, in
+    its own step.
     """
     def opened(json: Column) -> Column:
-        inner = F.coalesce(*[F.get_json_object(json, f"$.{w}") for w in ANSWER_WRAPPERS])
+        layer = F.from_json(json, "map<string,string>")
+        inner = F.coalesce(*[F.try_element_at(layer, F.lit(w)) for w in ANSWER_WRAPPERS])
         return F.when(inner.startswith("{"), inner).otherwise(json)
 
-    envelope = opened(opened(text))
-    inside = F.coalesce(
-        F.get_json_object(envelope, "$.answers.classification"), F.get_json_object(envelope, "$.answers[0]"),
-        F.get_json_object(envelope, "$.classification"), envelope,
-    )
-    answer = opened(inside)
+    staged = df.withColumn("__envelope", opened(F.col(column)))
+    staged = staged.withColumn("__envelope", opened(F.col("__envelope")))
+    staged = staged.withColumn("__inside", F.coalesce(
+        F.get_json_object("__envelope", "$.answers.classification"), F.get_json_object("__envelope", "$.answers[0]"),
+        F.get_json_object("__envelope", "$.classification"), F.col("__envelope"),
+    ))
+    staged = staged.withColumn("__fields", F.from_json(opened(F.col("__inside")), "map<string,string>"))
 
-    def get(name: str) -> Column:
-        return F.get_json_object(answer, f"$.{name}")
+    def get(field: str) -> Column:
+        return F.try_element_at("__fields", F.lit(field))
 
-    number = F.coalesce(get("probability"), get("score"), get("value")).try_cast("double")
-    return F.struct(
-        F.trim(F.get_json_object(envelope, "$.model")).alias("model"),
+    answer = F.struct(
+        F.trim(F.get_json_object("__envelope", "$.model")).alias("model"),
         F.lower(F.trim(get("type"))).alias("type"),
-        number.alias("value"),
+        F.coalesce(get("probability"), get("score"), get("value")).try_cast("double").alias("value"),
         F.trim(get("choice")).alias("choice"),
         get("confidence").try_cast("double").alias("confidence"),
         F.from_json(get("probabilities"), _PROBABILITIES).alias("probabilities"),
     )
+    return staged.select(*df.columns, answer.alias(name))
 
 
 # --- a run -------------------------------------------------------------------------------------
@@ -318,12 +321,20 @@ def question_kind(text: Column, explicit: Column | None = None) -> Column:
     return F.coalesce(*([explicit] if explicit is not None else []), stated, wording)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _unique_labels(labels: Column) -> Column:
     """First of each label, compared without regard to case, at most 32."""
     tidy = F.filter(F.transform(labels, lambda s: F.trim(s)), lambda s: (F.length(s) > 0) & (F.length(s) <= fixed.CLASS_MAX_LENGTH))
-    keys = F.transform(tidy, lambda s: F.lower(s))
-    first = F.transform(F.array_distinct(keys), lambda k: F.element_at(tidy, F.array_position(keys, k).cast("int")))
-    return F.slice(first, 1, fixed.CLASS_MAX_COUNT)
+
+    def first_ones(made: Column) -> Column:
+        keys = F.transform(made, lambda s: F.lower(s))
+        return F.filter(made, lambda s, i: F.array_position(keys, F.lower(s)) == i + 1)
+
+    return F.slice(let(tidy, first_ones), 1, fixed.CLASS_MAX_COUNT)
 
 
 def classes_from_text(text: Column) -> Column:

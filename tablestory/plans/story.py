@@ -191,8 +191,9 @@ def answered_by_columns(
         return F.transform(_words(c), lambda w: stem_column(w, past_tense=False))
 
     # The first column whose name holds every word of a class.
-    named = F.transform("classes", lambda c: F.try_element_at(F.filter(
-        listed, lambda col: (F.size(stems_of(c)) > 0) & (F.size(F.array_except(stems_of(c), col["stems"])) == 0)
+    q = q.withColumn("class_stems", F.transform("classes", stems_of)).withColumn("subject_stems", stems_of(F.col("subject")))
+    named = F.transform("class_stems", lambda c: F.try_element_at(F.filter(
+        listed, lambda col: (F.size(c) > 0) & (F.size(F.array_except(c, col["stems"])) == 0)
     ), F.lit(1))["label"])
     by_class = (
         (F.col("kind").isNull() | ~F.col("kind").isin("probability", "score")) & (F.size("classes") >= 2)
@@ -203,7 +204,7 @@ def answered_by_columns(
         F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, stems)).alias("stems")) for label, stems in flags
     ]) if flags else F.array().cast("array<struct<label:string,stems:array<string>>>")
     hits = F.transform(
-        F.filter(recorded, lambda col: F.size(F.array_except(col["stems"], stems_of(F.col("subject")))) == 0),
+        F.filter(recorded, lambda col: F.size(F.array_except(col["stems"], F.col("subject_stems"))) == 0),
         lambda col: col["label"],
     )
     by_flag = ((F.col("kind") == "probability") | (F.size("classes") < 2)) & (F.size("hits") > 0)

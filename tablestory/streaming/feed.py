@@ -63,7 +63,7 @@ def normalize_state(df: DataFrame, json: str) -> DataFrame:
         "last_play": F.coalesce(play["text"], F.lit("")), "timestamp": moment, "feed_timestamp": moment,
         "source_status": F.lit("LIVE"),
     }
-    flattened = fed.select(*df.columns, *[c.alias(n) for n, c in flat.items()])
+    flattened = fed.select(*[c for c in df.columns if c not in flat], *[c.alias(n) for n, c in flat.items()])
     reject = (
         F.when(F.col("id").isNull() | (F.trim("id") == ""), "no id")
         .when(F.col("home_team").isNull() | F.col("away_team").isNull(), "no team")
@@ -89,7 +89,8 @@ def dedupe_events(df: DataFrame, key: str, arrival: list[str], order_by: list[st
 
 def dedupe_stream(events: DataFrame, key: str, time: str, lateness: str = LATENESS) -> DataFrame:
     """One record per id on a stream; state is kept for as long as copies may be late."""
-    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
 # --- newest state ------------------------------------------------------------------------------
@@ -166,5 +167,6 @@ def state_at(states: DataFrame, index: int, order_by: list[str]) -> DataFrame:
 def trend_stream(events: DataFrame, time: str, width: str, measure: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Counts (and a total) per time step on a stream."""
     aggregates = [F.count(F.lit(1)).alias("rows")] + ([F.sum(measure).alias("total")] if measure else [])
-    stepped = events.withWatermark(time, lateness).groupBy(F.window(time, width)).agg(*aggregates)
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    stepped = timed.withWatermark(time, lateness).groupBy(F.window(time, width)).agg(*aggregates)
     return stepped.select(F.col("window.start").alias("bucket"), *[c for c in stepped.columns if c != "window"])

@@ -73,6 +73,8 @@ _FAMILY = {
 
 
 def _family(name: str) -> str:
+    if name.startswith("array<"):
+        return _family(name[6:-1]) + "[]"
     return _FAMILY.get(name, name.upper())
 
 
