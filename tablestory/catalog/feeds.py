@@ -84,11 +84,11 @@ def latest_state(t):
     return L.latest_state(_versions(t), "user_id", "version", ["event_id"])
 
 
-@query("""SELECT event_id, round(epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts), 3) AS age_seconds,
+@query("""SELECT event_id, round((epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(ts)) / 1e6, 6) AS age_seconds,
   CASE WHEN epoch(TIMESTAMP '2024-01-15 12:00:00') - epoch(ts) > 180 THEN 'STALE' ELSE 'LIVE' END AS source_status FROM events""")
 def stale_state(t):
     aged = L.staleness(t.events.select("event_id", "ts"), "ts", F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
-    return aged.withColumn("age_seconds", F.round("age_seconds", 3)).drop("ts")
+    return rounded(aged, "age_seconds").drop("ts")
 
 
 @query("""SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i = least(300, n - 1) OR (i = n - 1)""")
