@@ -5,11 +5,18 @@ All of them are built-in expressions, so they stay inside generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and use it several times inside one expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def squeeze(c: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.btrim(c, F.lit(fixed.WHITESPACE))
@@ -79,22 +86,21 @@ def date_parts(c: Column) -> Column:
     ``a`` and ``b`` are month and day, except in form "L" (d/m/y or m/d/y),
     where their order depends on the column.
     """
-    text = squeeze(c)
+    forms = (
+        (_YEAR_FIRST, "$1|$3|$4|$5|$6|$7|F"),
+        (_YEAR_LAST, "$3|$1|$2|$4|$5|$6|L"),
+        (_YEAR_MONTH, "$1|$2|1||||F"),
+        (_MONTH_WORD, "$4|$2|$1$3||||W"),
+    )
 
-    def shape(pattern: str, template: str) -> tuple[Column, Column]:
-        whole = pattern if pattern.endswith("$") else pattern + r"[\s\S]*$"
-        return text.rlike(pattern), F.regexp_replace(text, whole, template)
+    def flat(text: Column) -> Column:
+        found = F.when(F.lit(False), text)
+        for pattern, template in forms:
+            whole = pattern if pattern.endswith("$") else pattern + r"[\s\S]*$"
+            found = found.when(text.rlike(pattern), F.regexp_replace(text, whole, template))
+        return found
 
-    forms = [
-        shape(_YEAR_FIRST, "$1|$3|$4|$5|$6|$7|F"),
-        shape(_YEAR_LAST, "$3|$1|$2|$4|$5|$6|L"),
-        shape(_YEAR_MONTH, "$1|$2|1||||F"),
-        shape(_MONTH_WORD, "$4|$2|$1$3||||W"),
-    ]
-    flat = F.when(*forms[0])
-    for condition, value in forms[1:]:
-        flat = flat.when(condition, value)
-    return F.split(flat, r"\|")
+    return F.split(let(squeeze(c), flat), r"\|")
 
 
 def moment_of(parts: Column, day_first: bool | Column = False) -> Column:
@@ -109,10 +115,10 @@ def moment_of(parts: Column, day_first: bool | Column = False) -> Column:
     short = F.when(parts[0] >= "70", F.concat(F.lit("19"), parts[0])).otherwise(F.concat(F.lit("20"), parts[0]))
     year = F.when(F.length(parts[0]) == 2, short).otherwise(parts[0]).try_cast("int")
     start = _day(year, month, day)
-    clock = (F.coalesce(parts[i].try_cast("int"), F.lit(0)) for i in (3, 4))
-    second = F.coalesce(parts[5].try_cast("decimal(18,6)"), F.lit(0))
-    moment = start + F.make_dt_interval(F.lit(0), *clock, second)
-    return F.when(F.to_date(moment) == F.to_date(start), moment)
+    hour, minute, second = (F.coalesce(parts[i].try_cast("int"), F.lit(0)) for i in (3, 4, 5))
+    into_day = hour * 3600 + minute * 60 + second
+    later = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), into_day.cast("decimal(18,6)"))
+    return F.when(parts[3] == "", start).when(into_day < 86_400, later)
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -122,7 +128,7 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 
 def as_time(c: Column, day_first: bool | Column = False) -> Column:
     """Read a date or date-time written as text; null when it is neither."""
-    return moment_of(date_parts(c), day_first)
+    return let(date_parts(c), lambda parts: moment_of(parts, day_first))
 
 
 def has_clock(c: Column) -> Column:

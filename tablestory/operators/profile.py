@@ -312,10 +312,14 @@ def _text_facts(counts: DataFrame, ordered: bool) -> DataFrame:
         "unit": F.when(F.col("num").isNotNull(), F.col("raw_unit")),
     })
     # The unit is the one met first in row order; without an order, the most frequent one.
-    rank = F.struct(F.col("first_row")) if ordered else F.struct(-n, v)
+    if ordered:
+        unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("first_row")))
+    else:
+        used = [F.struct(F.sum(F.when(F.col("unit") == u, n).otherwise(0)), F.lit(u).alias("unit")) for u in "$€£%"]
+        unit = F.when(F.count("unit") > 0, F.array_max(F.array(*used))["unit"])
     return parsed.groupBy("column").agg(
         *_number_columns(F.col("num"), n, F.col("flag")),
-        F.min_by("unit", F.when(F.col("unit").isNotNull(), rank)).alias("unit"),
+        unit.alias("unit"),
         F.coalesce(F.max("first_part") > 12, F.lit(False)).alias("day_first"),
         F.coalesce(F.bool_or(cells.has_clock(v)), F.lit(False)).alias("clock"),
         _calendar(F.col("compact"), n).alias("compact"), _calendar(_year_start(F.col("num")), n).alias("year"),

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
+from ..functions.cells import let
 from .ordering import Running, running
 
 _PROBABILITIES = "map<string,double>"
@@ -88,9 +89,11 @@ def parse_answers(df: DataFrame, column: str, name: str = "answer") -> DataFrame
     its own step.
     """
     def opened(json: Column) -> Column:
-        layer = F.from_json(json, "map<string,string>")
-        inner = F.coalesce(*[F.try_element_at(layer, F.lit(w)) for w in ANSWER_WRAPPERS])
-        return F.when(inner.startswith("{"), inner).otherwise(json)
+        def inner(layer: Column) -> Column:
+            found = F.coalesce(*[F.try_element_at(layer, F.lit(w)) for w in ANSWER_WRAPPERS])
+            return F.nullif(F.regexp_extract(found, r"^(\{[\s\S]*)$", 1), F.lit(""))
+
+        return F.coalesce(let(F.from_json(json, "map<string,string>"), inner), json)
 
     staged = df.withColumn("__envelope", opened(F.col(column)))
     staged = staged.withColumn("__envelope", opened(F.col("__envelope")))
@@ -321,11 +324,6 @@ def question_kind(text: Column, explicit: Column | None = None) -> Column:
     return F.coalesce(*([explicit] if explicit is not None else []), stated, wording)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Compute ``value`` once and use it several times inside one expression."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _unique_labels(labels: Column) -> Column:
     """First of each label, compared without regard to case, at most 32."""
     tidy = F.filter(F.transform(labels, lambda s: F.trim(s)), lambda s: (F.length(s) > 0) & (F.length(s) <= fixed.CLASS_MAX_LENGTH))

@@ -165,42 +165,57 @@ def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]
 
 
 def _order_statistics(values: DataFrame, n: int, wanted: list[int], limit: int = _EXACT_MAP_LIMIT) -> dict[int, float]:
-    """The values at 0-based ranks ``wanted``, by narrowing brackets."""
+    """The values at 0-based ranks ``wanted``.
+
+    Every round cuts the open intervals that still hold a wanted rank with a
+    sketch, and counts exactly what lies between the cuts: two aggregates for
+    all ranks together. When few rows are left, they are read off in order.
+    """
     found: dict[int, float] = {}
-    for k in wanted:
-        inside, below, size = values, 0, n
-        while k not in found:
-            if size <= limit:
-                rows = inside.groupBy("v").count().orderBy("v").collect()
-                rank = below
+    gaps = [(float("-inf"), float("inf"), 0, n)]  # (above, below, rows before, rows inside)
+    v = F.col("v")
+    while True:
+        holds = {g: [k for k in wanted if k not in found and g[2] <= k < g[2] + g[3]] for g in gaps}
+        gaps = [g for g in gaps if holds[g]]
+        if not gaps:
+            return found
+        inside = None
+        for low, high, _, _ in gaps:
+            here = (v > low) & (v < high)
+            inside = here if inside is None else inside | here
+        if sum(g[3] for g in gaps) <= limit:
+            rows = values.where(inside).groupBy("v").count().orderBy("v").collect()
+            for low, high, rank, _ in gaps:
                 for row in rows:
-                    rank += row["count"]
-                    if rank > k:
-                        found[k] = row["v"]
-                        break
-                break
-            q = (k - below) / max(1, size - 1)
-            low, high = inside.agg(
-                F.percentile_approx("v", [max(0.0, q - 2e-4), min(1.0, q + 2e-4)], 20_000).alias("q")
-            ).first().q
-            before, at_low, between, at_high = inside.agg(
-                F.count_if(F.col("v") < low), F.count_if(F.col("v") == low),
-                F.count_if((F.col("v") > low) & (F.col("v") < high)), F.count_if(F.col("v") == high),
-            ).first()
-            if k < below + before:
-                inside, size = inside.where(F.col("v") < low), before
-            elif k < below + before + at_low:
-                found[k] = low
-            elif k < below + before + at_low + between:
-                inside, below, size = (
-                    inside.where((F.col("v") > low) & (F.col("v") < high)), below + before + at_low, between
-                )
-            elif high != low and k < below + before + at_low + between + at_high:
-                found[k] = high
-            else:
-                skipped = before + at_low + between + (at_high if high != low else 0)
-                inside, below, size = inside.where(F.col("v") > high), below + skipped, size - skipped
-    return found
+                    if low < row["v"] < high:
+                        for k in range(rank, rank + row["count"]) if row["count"] < 1000 else wanted:
+                            if k in wanted and rank <= k < rank + row["count"]:
+                                found[k] = row["v"]
+                        rank += row["count"]
+            continue
+        sketches = []
+        for i, (low, high, before, size) in enumerate(gaps):
+            places = {min(1.0, max(0.0, (k - before) / max(1, size - 1) + d)) for k in holds[gaps[i]] for d in (-2e-4, 2e-4)}
+            here = F.when((v > low) & (v < high), v)
+            sketches.append(F.percentile_approx(here, sorted(places), 20_000).alias(f"cut_{i}"))
+        cuts = [sorted(set(c)) for c in values.where(inside).agg(*sketches).first()]
+        marks = [(i, c) for i, cut in enumerate(cuts) for c in cut]
+        counts = values.where(inside).agg(*[
+            made for j, (i, c) in enumerate(marks) for made in (
+                F.count_if((v > gaps[i][0]) & (v < c)).alias(f"b_{j}"), F.count_if(v == c).alias(f"e_{j}"))
+        ]).first()
+        narrower = []
+        for i, (low, high, before, size) in enumerate(gaps):
+            at, left = before, low
+            for j, (owner, c) in enumerate(marks):
+                if owner != i:
+                    continue
+                first, same = before + counts[f"b_{j}"], counts[f"e_{j}"]
+                narrower.append((left, c, at, first - at))
+                found.update({k: c for k in holds[gaps[i]] if first <= k < first + same})
+                at, left = first + same, c
+            narrower.append((left, high, at, before + size - at))
+        gaps = narrower
 
 
 # --- series (at most a few hundred points) ---------------------------------------------

@@ -357,8 +357,8 @@ def trend_view(along: Steps, time: Field, index: int | None, measure: Field | No
     stamped = time.resolution == grain
     points = series.trend_points(along.frame, grain, low, high, index, additive, stamped)
     unit = measure.unit if measure else None
-    placed = series.series_points(points, grain, along.first.year != along.last.year, unit)
-    rows = sorted(placed.collect(), key=lambda r: r.bucket)
+    with_year = along.first.year != along.last.year
+    rows = sorted(points.collect(), key=lambda r: r.bucket)
     if len(rows) < 3:
         return None
     values = [r["value"] for r in rows]
@@ -370,7 +370,7 @@ def trend_view(along: Steps, time: Field, index: int | None, measure: Field | No
     third = max(1, len(values) // 3)
     early, late = float(np.mean(values[:third])), float(np.mean(values[-third:]))
     change = 0.0 if early == 0 else (late - early) / abs(early)
-    drift = _correlation([r.x for r in rows], values)
+    drift = _correlation([(r.bucket - rows[0].bucket).total_seconds() for r in rows], values)
     note = None
     if len(values) >= 6 and abs(drift) >= 0.45 and abs(change) >= 0.2:
         verb = "rose" if change > 0 else "fell"
@@ -381,8 +381,8 @@ def trend_view(along: Steps, time: Field, index: int | None, measure: Field | No
         highlight = int(np.argmax(values))
         peak = rows[highlight]
         place = {"day": "on", "hour": "on", "week": "in the"}.get(grain, "in")
-        label = "w" + peak.label[1:] if peak.label.startswith("Week of ") else peak.label
-        display = peak.display if measure else format_count(peak["value"])
+        label = shown.format_time_bucket(peak.bucket, grain, with_year).replace("Week of ", "week of ")
+        display = format_number(peak["value"], unit) if measure else format_count(peak["value"])
         title = f"{subject} peaked {place} {label} at {display}"
     gaps = along.expected - along.filled
     kept_gaps = gaps > 0 and not (summed and gaps / along.expected <= 0.2)
@@ -402,7 +402,8 @@ def trend_view(along: Steps, time: Field, index: int | None, measure: Field | No
         )
     return View(
         "trend", [time.name] + ([measure.name] if measure else []), capitalize(title),
-        f"{subject} per {grain}, by {lower_first(time.label)}", 0.9 if measure else 0.86, "line", lambda: placed,
+        f"{subject} per {grain}, by {lower_first(time.label)}", 0.9 if measure else 0.86, "line",
+        lambda: series.series_points(points, grain, with_year, unit),
         _notes(note, edge, blank, missing_note(time, noun)),
         {"grain": grain, "highlight": highlight, "zero_based": summed, "markers": len(rows) <= 40},
     )
