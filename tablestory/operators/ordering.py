@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RANGE = "__range"
 _SAMPLE_PER_RANGE = 32
+_SAMPLE_LIMIT = 100_000
 _TREE_LIMIT = 128
 
 
@@ -26,9 +27,15 @@ def range_count(df: DataFrame) -> int:
 
 
 def cut_points(df: DataFrame, order_by: list[str], ranges: int) -> list[tuple[str, ...]]:
-    """At most ``ranges - 1`` ordered tuples that split the table evenly (as text)."""
-    wanted = ranges * _SAMPLE_PER_RANGE
-    sample = df.select(*order_by).orderBy(F.rand(7)).limit(wanted)
+    """At most ``ranges - 1`` ordered tuples that split the table evenly (as text).
+
+    Only the order columns are read. About 32 sampled rows per range reach the
+    driver, whatever the size of the table.
+    """
+    wanted = min(ranges * _SAMPLE_PER_RANGE, _SAMPLE_LIMIT)
+    keys = df.select(*order_by)
+    total = keys.count()
+    sample = keys if total <= wanted else keys.sample(wanted / total, 7)
     rows = sample.orderBy(*order_by).select(*[F.col(c).cast("string").alias(c) for c in order_by]).collect()
     picks = [tuple(rows[i * len(rows) // ranges]) for i in range(1, ranges)] if rows else []
     return [p for p in dict.fromkeys(picks) if None not in p]
@@ -91,7 +98,7 @@ def running(
     inputs = {name: f"__in_{i}" for i, name in enumerate(values)}
     base = df.withColumns({inputs[name]: v.value for name, v in values.items()})
     base = with_ranges(base, keys + order_by, ranges)
-    order = F.struct(*order_by)
+    order = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
 
     inside = Window.partitionBy(RANGE, *keys).orderBy(*order_by)
 

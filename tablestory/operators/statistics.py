@@ -15,7 +15,8 @@ __all__ = [
     "mean_difference", "group_moments", "least_squares", "quantiles", "variation", "thirds_change", "nice_step_column",
 ]
 
-_EXACT_MAP_LIMIT = 200_000
+_EXACT_MAP_LIMIT = 1_000_000
+_COLLECT_LIMIT = 200_000
 
 
 # --- correlation -----------------------------------------------------------------
@@ -143,17 +144,19 @@ def mean_difference(groups: DataFrame, keys: list[str] | None = None) -> DataFra
 def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
     """Exact quantiles, interpolated at (n − 1)·q.
 
-    The built-in exact percentile keeps every different value in one task, so
-    it is used only while there are few. Beyond that the wanted positions are
-    bracketed by a sketch, everything outside the brackets is only counted, and
-    the brackets shrink until what is left is small.
+    Equal values are counted before they are brought together, and the
+    built-in exact percentile then holds each different value once. It is used
+    while there are at most a million of them. Beyond that the wanted positions
+    are bracketed by a sketch, everything outside the brackets is only counted,
+    and the brackets shrink until what is left is small.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     facts = values.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
     if facts.n == 0:
         return [None] * len(qs)
     if facts.d <= _EXACT_MAP_LIMIT:
-        return list(values.agg(F.percentile("v", [float(q) for q in qs]).alias("q")).first().q)
+        counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        return list(counted.agg(F.percentile("v", [float(q) for q in qs], F.col("n")).alias("q")).first().q)
     wanted = sorted({k for q in qs for k in (math.floor((facts.n - 1) * q), math.ceil((facts.n - 1) * q))})
     found = _order_statistics(values, facts.n, wanted)
     result = []
@@ -164,7 +167,7 @@ def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]
     return result
 
 
-def _order_statistics(values: DataFrame, n: int, wanted: list[int], limit: int = _EXACT_MAP_LIMIT) -> dict[int, float]:
+def _order_statistics(values: DataFrame, n: int, wanted: list[int], limit: int = _COLLECT_LIMIT) -> dict[int, float]:
     """The values at 0-based ranks ``wanted``.
 
     Every round cuts the open intervals that still hold a wanted rank with a

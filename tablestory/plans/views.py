@@ -19,7 +19,7 @@ from ..functions.names import capitalize, lower_first, named
 from ..functions.shown import format_count, format_number, format_ratio, format_share
 from ..operators import grouping, series
 from ..operators.ordering import Running, running
-from ..operators.profile import TableProfile
+from ..operators.profile import TableProfile, read_field, value_counts
 from ..operators.statistics import mean_difference, pearson, quantiles, rate_difference
 from .kinds import Field, ranked_measures
 
@@ -466,16 +466,26 @@ _QUANTILES = [0.02, 0.25, 0.5, 0.75, 0.98]
 
 
 def value_facts(typed: DataFrame, spreads: list[Field], related: list[Field]) -> tuple[dict, list]:
-    """Quantiles of some measures and correlations of all pairs of others, from one pass.
+    """Quantiles of some measures, and correlations of all pairs of others.
 
-    The built-in exact percentile holds the different values of a column in
-    one task, so it is used while the profile says there are few. Pairs of
-    complete columns share the spread of each column.
+    Quantiles are read off value counts, so that equal values meet before they
+    are brought together; the profile says which columns have too many
+    different values for that. Pairs of complete columns share the spread of
+    each column.
     """
-    light = [m for m in spreads if m.distinct <= 200_000]
+    light = [m.name for m in spreads if 0 < m.distinct <= 1_000_000]
+    found = {}
+    if light:
+        counts = value_counts(typed.select(*light), light)
+        middle = F.percentile(F.col("value"), _QUANTILES, F.col("n")).alias("q")
+        found = {r["column"]: list(r.q) for r in counts.groupBy("column").agg(middle).collect()}
+    for m in spreads:
+        if m.distinct > 1_000_000:
+            found[m.name] = quantiles(typed, m.name, _QUANTILES)
     pairs = [(a, b) for i, a in enumerate(related) for b in related[i + 1:]]
+    if not pairs:
+        return found, []
     parts = [F.count(F.lit(1)).alias("rows")]
-    parts += [F.percentile(F.col(m.name), _QUANTILES).alias(f"q_{i}") for i, m in enumerate(light)]
     whole = {m.name for m in related if not m.missing and m.min is not None}
     for i, m in enumerate(related):
         parts += [F.avg(m.name).alias(f"mean_{i}"), F.var_pop(m.name).alias(f"var_{i}")]
@@ -491,10 +501,6 @@ def value_facts(typed: DataFrame, spreads: list[Field], related: list[Field]) ->
             F.var_pop(y).alias("var_y"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
         ).alias(f"cov_{i}"))
     row = typed.agg(*parts).first()
-    found = {m.name: list(row[f"q_{i}"]) for i, m in enumerate(light) if row[f"q_{i}"]}
-    for m in spreads:
-        if m.distinct > 200_000:
-            found[m.name] = quantiles(typed, m.name, _QUANTILES)
     place = {m.name: i for i, m in enumerate(related)}
     return found, [_pair(row, place, i, a.name, b.name) for i, (a, b) in enumerate(pairs)]
 
@@ -630,8 +636,6 @@ def candidate_views(df: DataFrame, profile: TableProfile, noun: Noun = ROW) -> l
     order = [f"__order_{i}" for i in range(len(profile.order_by))]
     raw = df.select("*", *[F.col(c).alias(o) for c, o in zip(profile.order_by, order)])
     types = {f.name: f.dataType for f in df.schema.fields}
-    from ..operators.profile import read_field
-
     typed = raw.select(*order, *[read_field(f, types[f.name]).alias(f.name) for f in used])
 
     views: list[View | None] = []

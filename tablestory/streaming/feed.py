@@ -122,27 +122,25 @@ def latest_state(df: DataFrame, key: str, version: str, arrival: list[str]) -> D
 def flag_versions_stream(events: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
     """``flag_versions`` on a stream; the state of a key is one number.
 
-    Batches of a key are worked off as they come, so a busy key is never held whole.
+    The rows of a key in one micro-batch are put in arrival order first; the
+    rate options of the source bound how many there are.
     """
     schema = events.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", verdict string"
 
     def flag(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(arrival, kind="stable")
-            versions = pdf[version].astype("int64")
-            before = versions.cummax().shift()
-            if newest is not None:
-                before = before.fillna(newest).clip(lower=newest)
-            verdict = pd.Series("STALE", index=pdf.index)
-            verdict[versions == before] = "SAME"
-            verdict[before.isna() | (versions > before)] = "LIVE"
-            top = int(versions.max())
-            newest = top if newest is None else max(newest, top)
-            yield pdf.assign(verdict=verdict)
+        pdf = pd.concat(batches).sort_values(arrival, kind="stable").reset_index(drop=True)
+        versions = pdf[version].astype("int64")
+        before = versions.cummax().shift()
         if newest is not None:
-            state.update((newest,))
+            before = before.fillna(newest).clip(lower=newest)
+        verdict = pd.Series("STALE", index=pdf.index)
+        verdict[versions == before] = "SAME"
+        verdict[before.isna() | (versions > before)] = "LIVE"
+        top = int(versions.max())
+        state.update((top if newest is None else max(newest, top),))
+        yield pdf.assign(verdict=verdict)
 
     return events.groupBy(key).applyInPandasWithState(
         flag, out, "newest bigint", "append", GroupStateTimeout.NoTimeout

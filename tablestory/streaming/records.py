@@ -156,7 +156,9 @@ def admit(
     return ordered.mapInPandas(run, schema)
 
 
-def admit_stream(requests: DataFrame, scope: str, at_ms: str, limits: dict | None = None) -> DataFrame:
+def admit_stream(
+    requests: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None
+) -> DataFrame:
     """``admit`` on a stream: the state of a scope is its budget."""
     limits = {**fixed.FORECAST_LIMITS, **(limits or {})}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", verdict string"
@@ -167,10 +169,11 @@ def admit_stream(requests: DataFrame, scope: str, at_ms: str, limits: dict | Non
             last, consumed, active, recent = state.get
             used = (last, consumed, active, list(recent))
         budget = Budget(limits, used)
-        for pdf in batches:
-            pdf = pdf.sort_values(at_ms, kind="stable")
-            yield pdf.assign(verdict=budget.decide(pdf[at_ms].to_numpy(), [None] * len(pdf)))
+        # In time order within the micro-batch, which the rate options of the source bound.
+        pdf = pd.concat(batches).sort_values([at_ms, *order_by], kind="stable").reset_index(drop=True)
+        verdicts = budget.decide(pdf[at_ms].to_numpy(), [None] * len(pdf))
         state.update(budget.used())
+        yield pdf.assign(verdict=verdicts)
 
     return requests.groupBy(scope).applyInPandasWithState(
         run, schema, "last bigint, consumed bigint, active bigint, recent array<bigint>", "append",

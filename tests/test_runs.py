@@ -166,3 +166,17 @@ def test_keys_do_not_collide(spark):
     df = spark.createDataFrame([("a|1", "b", None), ("a", "1|b", None), ("a", "b", "")], "g string, e string, p string")
     keys = [r.k for r in df.select(K.idempotency_key(F.col("g"), F.col("e"), F.col("p"), F.lit("s")).alias("k")).collect()]
     assert len(set(keys)) == 3 and keys[2] == "1:a|1:b|5:event|1:s"
+
+
+def test_admit_stream_matches_batch(spark, tmp_path):
+    r = random.Random(4)
+    made = sorted((r.randint(0, 5000), i, f"s{r.randint(0, 2)}") for i in range(300))
+    df = spark.createDataFrame([(i, s, at) for at, i, s in made], "id int, scope string, at bigint")
+    for part, (low, high) in enumerate([(0, 2000), (2000, 5001)]):
+        df.where((F.col("at") >= low) & (F.col("at") < high)).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    out = K.admit_stream(reader.parquet(str(tmp_path / "in")), "scope", "at", ["id"], LIMITS)
+    sink = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    batch = {x.id: x.verdict for x in K.admit(df, "scope", "at", ["id"], LIMITS).collect()}
+    assert {x.id: x.verdict for x in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
