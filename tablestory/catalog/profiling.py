@@ -396,3 +396,13 @@ def schema_summary(t):
 def has_row_order(t):
     rows = [("events", P.profile_table(t.events).has_row_order()), ("part", P.profile_table(t.part).has_row_order())]
     return t.spark.createDataFrame(rows, "name string, has_row_order boolean")
+
+
+@query("""SELECT count(*) AS rows, 7 AS columns, 'lat' AS latitude, 'lng' AS longitude, ['city'] AS places, ['event_id', 'ts'] AS times, ['large'] AS booleans,
+  (SELECT avg(CASE WHEN event_id >= p THEN 1.0 ELSE 0 END) >= 0.85 FROM (SELECT event_id, lag(event_id) OVER (ORDER BY ts, event_id) AS p FROM events) WHERE p IS NOT NULL) AS sequential FROM events""")
+def shape_facts(t):
+    table = t.events.select(
+        "event_id", "ts", "value", (F.col("value") > 50).alias("large"), F.concat(F.lit("c"), (F.col("user_id") % 9).cast("string")).alias("city"),
+        (F.col("value") / 10).alias("lat"), (F.col("value") / 7 - 30).alias("lng"),
+    )
+    return P.shape_facts(table, ["ts", "event_id"])

@@ -488,6 +488,25 @@ def table_shape(df: DataFrame, table_profile: TableProfile | None = None, types:
     )
 
 
+def shape_facts(df: DataFrame, order_by: list[str], table_profile: TableProfile | None = None) -> DataFrame:
+    """One row about the whole table: size, coordinate pair, columns by role, and whether a counter rises with the rows."""
+    p = table_profile or profile_table(df, order_by)
+    roles: dict[str, list[str]] = {}
+    for r in table_shape(df, p).collect():
+        roles.setdefault(r.role, []).append(r["column"])
+    lat, lng = (next((f.name for f in p.of_kind(k)), None) for k in ("latitude", "longitude"))
+    # Only numbers can rise; a column named play_id decides alone when there is one.
+    counters = [c for c in roles.get("time", []) if isinstance(df.schema[c].dataType, (T.NumericType, T.StringType))]
+    counters = ["play_id"] if "play_id" in df.columns else counters
+    steps = monotonic_share(df, counters, order_by).collect() if counters else []
+    sequential = any(s.present >= 3 and s.not_falling / s.steps >= 0.85 for s in steps)
+    row = (p.row_count, len(p.fields), lat, lng, *(roles.get(k, []) for k in ("place", "time", "boolean")), sequential)
+    return df.sparkSession.createDataFrame(
+        [row], "rows bigint, columns int, latitude string, longitude string, places array<string>, times array<string>, "
+        "booleans array<string>, sequential boolean",
+    )
+
+
 def schema_summary(df: DataFrame, table_profile: TableProfile | None = None, types: dict[str, str] | None = None) -> list[str]:
     """Short description: "60 × 11", "Places", "Numbers 3", "Text 2" …"""
     p = table_profile or profile_table(df)

@@ -11,7 +11,6 @@ from ..functions import fixed
 from ..functions.names import capitalize, lower_first, name_stems, plural_label, question_stems, humanize_name
 from ..functions.shown import format_count, format_day, format_number, format_share, half_up
 from ..operators.profile import TableProfile, profile_table
-from ..session import spread
 from .kinds import Field, ranked_measures
 from .views import ROW, Noun, View, aggregate_name, candidate_views
 
@@ -268,7 +267,6 @@ def story(
     order_by: list[str] | None = None,
 ) -> Story:
     """Profile a table and pick what is worth saying about it."""
-    df = spread(df)
     profile = profile_table(df, order_by)
     if profile.row_count == 0:
         return Story([], [], profile, noun)

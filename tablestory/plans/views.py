@@ -485,24 +485,35 @@ def value_facts(typed: DataFrame, spreads: list[Field], related: list[Field]) ->
     pairs = [(a, b) for i, a in enumerate(related) for b in related[i + 1:]]
     if not pairs:
         return found, []
+    # Values are taken from their mean, so that plain sums of products lose no digits.
+    centred = {m.name: F.col(m.name) - F.lit(float(m.mean)) for m in related}
+    whole = {m.name for m in related if not m.missing}
     parts = [F.count(F.lit(1)).alias("rows")]
-    whole = {m.name for m in related if not m.missing and m.min is not None}
     for i, m in enumerate(related):
-        parts += [F.avg(m.name).alias(f"mean_{i}"), F.var_pop(m.name).alias(f"var_{i}")]
+        x = centred[m.name]
+        parts += [F.sum(x).alias(f"sum_{i}"), F.sum(x * x).alias(f"square_{i}")]
     for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a.name), F.col(b.name)
+        x, y = centred[a.name], centred[b.name]
+        product = F.sum(x * y)
         if a.name in whole and b.name in whole:
-            parts.append(F.covar_pop(x, y).alias(f"cov_{i}"))
+            parts.append(product.alias(f"pair_{i}"))
             continue
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
         parts.append(F.struct(
-            F.count_if(both).alias("n"), F.covar_pop(x, y).alias("cov"), F.var_pop(x).alias("var_x"),
-            F.var_pop(y).alias("var_y"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
-        ).alias(f"cov_{i}"))
+            F.count_if(both).alias("n"), product.alias("xy"), F.sum(x).alias("x"), F.sum(y).alias("y"),
+            F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"),
+        ).alias(f"pair_{i}"))
     row = typed.agg(*parts).first()
     place = {m.name: i for i, m in enumerate(related)}
-    return found, [_pair(row, place, i, a.name, b.name) for i, (a, b) in enumerate(pairs)]
+
+    def sums(i: int, a: Field, b: Field) -> tuple:
+        if a.name in whole and b.name in whole:
+            p, q = place[a.name], place[b.name]
+            return row["rows"], row[f"pair_{i}"], row[f"sum_{p}"], row[f"sum_{q}"], row[f"square_{p}"], row[f"square_{q}"]
+        return tuple(row[f"pair_{i}"])
+
+    return found, [_pair(a, b, *sums(i, a, b)) for i, (a, b) in enumerate(pairs)]
 
 
 @dataclass
@@ -515,18 +526,16 @@ class Pair:
     intercept: float
 
 
-def _pair(row, place: dict[str, int], i: int, x: str, y: str) -> Pair:
-    moments = row[f"cov_{i}"]
-    if isinstance(moments, float) or moments is None:
-        n, cov = row["rows"], moments
-        var_x, var_y = row[f"var_{place[x]}"], row[f"var_{place[y]}"]
-        mean_x, mean_y = row[f"mean_{place[x]}"], row[f"mean_{place[y]}"]
-    else:
-        n, cov, var_x, var_y, mean_x, mean_y = moments
-    if n < 3 or not var_x or not var_y:
-        return Pair(x, y, n, 0.0, 0.0, mean_y or 0.0)
+def _pair(a: Field, b: Field, n: int, xy: float, x: float, y: float, xx: float, yy: float) -> Pair:
+    if n < 3:
+        return Pair(a.name, b.name, n, 0.0, 0.0, 0.0)
+    mean_x, mean_y = x / n, y / n
+    cov, var_x, var_y = xy / n - mean_x * mean_y, xx / n - mean_x ** 2, yy / n - mean_y ** 2
+    middle_x, middle_y = a.mean + mean_x, b.mean + mean_y
+    if var_x <= 0 or var_y <= 0:
+        return Pair(a.name, b.name, n, 0.0, 0.0, middle_y)
     slope = cov / var_x
-    return Pair(x, y, n, cov / (var_x * var_y) ** 0.5, slope, mean_y - slope * mean_x)
+    return Pair(a.name, b.name, n, cov / (var_x * var_y) ** 0.5, slope, middle_y - slope * middle_x)
 
 
 def histogram_view(typed: DataFrame, measure: Field, q: list[float] | None, noun: Noun) -> View | None:

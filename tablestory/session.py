@@ -51,12 +51,3 @@ def pinned(df):
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df):
-    """Give a frame that comes in fewer pieces than there are cores one piece per core.
-
-    Large inputs already come in many pieces and are left alone; this is for
-    files that cannot be split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
