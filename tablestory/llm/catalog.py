@@ -11,6 +11,7 @@ from .chat_windows import digest_windows, format_windows
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
+from . import pii, quality
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -84,6 +85,21 @@ SQL["op5_line_dedup"] = r"""
     FROM marked GROUP BY doc_id"""
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality.train(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", (~quality.train_part(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return pii.find_personal(docs, pii.train(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def thin_pages(pages: DataFrame, least: int = 1500) -> DataFrame:
     """URLs that gave hardly any HTML, the list that ``op9`` blocks."""
     return pages.where(F.length(F.coalesce("html", F.lit(""))) < least).select("url")
