@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
 from .chat_windows import digest_windows, format_windows
+from .ego_join import near_vectors
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
@@ -135,6 +136,11 @@ SQL["op9_url_filter"] = rf"""
     FROM named n LEFT JOIN fitting f USING (page_id) LEFT JOIN listed l USING (canonical)"""
 
 
+@query
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
