@@ -23,22 +23,29 @@ from .components import components
 from .scratch import Scratch
 
 DIMENSIONS = 8
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 RUN_ROWS = 256
 MOST_BLOCKS = 1000
+PAIRS_A_TASK = 8
 FIT_ROWS = 4096
 #: Room for rounding when boxes are compared, far above double precision and far below epsilon.
 _ROOM = 1e-9
 
 
-def _unit(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
-    for k, r in enumerate(rows):
-        out[k, :len(r)] = r
+def _unit(vectors: pa.Array, width: int) -> np.ndarray:
+    """Unit rows from a list column, shorter ones filled up with zeros."""
+    sizes = np.diff(np.asarray(vectors.offsets))
+    values = np.asarray(vectors.flatten(), dtype=np.float64)
+    if len(sizes) and (sizes == width).all():
+        out = values.reshape(-1, width)
+    else:
+        out = np.zeros((len(sizes), width))
+        out[np.arange(width) < sizes[:, None]] = values
+    if not len(out):
+        return out
     # A power of two first, so that squares neither overflow nor vanish.
-    with np.errstate(divide="ignore"):
-        out = np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, initial=0))[1][:, None])
-    return out / np.linalg.norm(out, axis=1, keepdims=True) if len(rows) else out
+    out = np.ldexp(out, -np.frexp(np.abs(out).max(axis=1))[1][:, None])
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def principal(rows: np.ndarray, dimensions: int) -> np.ndarray:
@@ -80,34 +87,34 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, rows: int) ->
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.floor(_unit(batch.column("vector").to_pylist(), shared.value.shape[0]) @ shared.value / epsilon).astype(np.int32)
+            cells = np.floor(_unit(batch.column("vector"), shared.value.shape[0]) @ shared.value / epsilon).astype(np.int32)
             flat = pa.array(cells.reshape(-1), pa.int32())
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, cells.shape[1], dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held = TaskContext.get().partitionId(), 0, []
-
-        def block(held: list) -> pa.RecordBatch:
-            nonlocal number
-            at = _unit([r[2] for r in held], shared.value.shape[0]) @ shared.value
-            number += 1
-            return pa.RecordBatch.from_arrays([
-                pa.array([(part << 24) + number], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(pa.int64())),
-                pa.array([[r[1] for r in held]], pa.list_(pa.int64())), pa.array([[r[2] for r in held]], vectors),
-                pa.array([at.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([at.max(axis=0).tolist()], pa.list_(pa.float64())),
-            ], ["block", "ids", "counts", "vectors", "low", "high"])
-
+        part, number = TaskContext.get().partitionId(), 0
+        held = None
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in ("id", "count", "vector")))
-            while len(held) >= rows:
-                yield block(held[:rows])
+            new = pa.Table.from_batches([batch]).select(["id", "count", "vector"])
+            held = new if held is None else pa.concat_tables([held, new])
+            while held.num_rows >= rows:
+                number += 1
+                yield block((part << 24) + number, held[:rows])
                 held = held[rows:]
-        if held:
-            yield block(held)
+        if held is not None and held.num_rows:
+            yield block((part << 24) + number + 1, held)
+
+    def block(name: int, held: pa.Table) -> pa.RecordBatch:
+        ids, counts, vectors = (held.column(c).combine_chunks() for c in ("id", "count", "vector"))
+        at = _unit(vectors, shared.value.shape[0]) @ shared.value
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        box = lambda x: one(pa.array(x, pa.float64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([name], pa.int64()), one(ids), one(counts), one(vectors), box(at.min(axis=0)), box(at.max(axis=0))],
+            ["block", "ids", "counts", "vectors", "low", "high"])
 
     kind = classes.schema["vector"].dataType.elementType.simpleString()
-    vectors = pa.list_(pa.list_(pa.float32() if kind == "float" else pa.float64()))
     parts = max(1, -(-classes.count() // (4 * rows)))
     placed = classes.mapInArrow(place, f"id bigint, count bigint, vector array<{kind}>, cells array<int>")
     placed = placed.repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id")
@@ -136,8 +143,9 @@ def _compare(least: float, width: int, axes, epsilon: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, ids_a, counts_a, rows_a, ids_b, counts_b, rows_b = (batch.column(c)[k].as_py() for c in range(8))
-                ids_a, ids_b, counts_a, counts_b = (np.array(v, np.int64) for v in (ids_a, ids_b, counts_a, counts_b))
+                a, b = (batch.column(c)[k].as_py() for c in (0, 1))
+                ids_a, counts_a, rows_a, ids_b, counts_b, rows_b = (batch.column(c)[k].values for c in range(2, 8))
+                ids_a, ids_b, counts_a, counts_b = (np.asarray(v) for v in (ids_a, ids_b, counts_a, counts_b))
                 x, y = _unit(rows_a, width), _unit(rows_b, width)
                 u, v = x @ axes.value, y @ axes.value
                 linked = np.zeros((len(x), len(y)), bool)
@@ -166,8 +174,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     Returns ``vec_id, n_links, component_id, kept`` for every row: how many other rows it links with,
     the smallest id it reaches, and whether that is itself. Vectors that are null, empty or zero, or
     hold a null or a component that is not finite, link with nothing, as does a row without id
-    (component null, kept). A shorter vector reads as having zeros at its end. Rows that repeat an
-    id share its component and the sum of its links. Other columns are not looked at.
+    (component null, kept). A shorter vector reads as having zeros at its end. Rows that
+    repeat an id share its component; each has the links of its own vector. Other columns are not looked at.
     """
     spark = table.sparkSession
     epsilon = float(np.sqrt(2 - 2 * least))
@@ -185,7 +193,8 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         total, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
         width = width or 1
         sample = classes.orderBy(F.xxhash64("h1"), "id").limit(FIT_ROWS).select("vector")
-        axes = principal(_unit([r.vector for r in sample.collect()], width), min(DIMENSIONS, width))
+        sample = sample.toArrow().column("vector").combine_chunks()
+        axes = principal(_unit(sample, width), min(DIMENSIONS, width))
         rows = max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
         blocks = s.keep(_blocks(classes.select("id", "count", "vector"), axes, epsilon, rows), "blocks")
         boxes = blocks.select("block", "low", "high").orderBy("block").collect()
@@ -194,7 +203,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         names = np.array([r.block for r in boxes], np.int64)
         pairs = spark.createDataFrame(pa.table({"a": names[i], "b": names[j]}), "a bigint, b bigint") if len(i) else spark.createDataFrame([], "a bigint, b bigint")
         held = ["block", "ids", "counts", "vectors"]
-        tasks = max(1, min(len(i), 4 * spark.sparkContext.defaultParallelism))
+        tasks = max(1, -(-len(i) // PAIRS_A_TASK), min(len(i), 4 * spark.sparkContext.defaultParallelism))
         met = pairs.join(blocks.select(*held).toDF("a", "ids_a", "counts_a", "rows_a"), "a").join(
             blocks.select(*held).toDF("b", "ids_b", "counts_b", "rows_b"), "b")
         met = met.select("a", "b", "ids_a", "counts_a", "rows_a", "ids_b", "counts_b", "rows_b").repartition(tasks)
