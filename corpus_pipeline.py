@@ -1,5 +1,70 @@
-"""A training corpus from documents, in five stages. The stages follow."""
-STAGES = []
+"""A training corpus from the documents, in five stages.
+
+Each stage reads what the one before it wrote: low-quality documents go, lines that many documents
+hold go, one document of each group of near duplicates stays, documents that hold benchmark items
+go, and the rest is packed into batches. A stage that meets an empty table returns one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tablestory.llm import quality
+from tablestory.llm.latent_search import without_items
+from tablestory.llm.line_dedup import dedup_lines
+from tablestory.llm.ngram_join import ngram_components
+from tablestory.llm.packing import pack
+from tablestory.llm.scratch import Scratch
+from tablestory.llm.catalog import _table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, trained on the labels, does not reject."""
+    return quality.keep_good(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more hold, but for the last of these. None goes; a text may end up empty."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = dedup_lines(docs, carry=others)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    classes = ngram_components(docs, size=5, percent=80)
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def unseen_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_items(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A place in a batch of one length bucket for every document."""
+    return pack(docs, carry=("lang", "source"))
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", own_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", unseen_items),
+    ("packing", batches),
+]
+
+#: The classifier and the latent search are not SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    with Scratch(spark) as s:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = s.keep(stage(spark, docs, sf_dir), f"stage{k}")
+            if k:
+                s.drop(f"stage{k - 1}")
+        return s.result(docs)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import checkpoint_dir
 from .chat_windows import digest_windows, format_windows
 from .ego_join import near_vectors
+from .latent_search import find_items
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
@@ -88,6 +89,11 @@ SQL["op5_line_dedup"] = r"""
     FROM marked GROUP BY doc_id"""
 
 
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @query
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")

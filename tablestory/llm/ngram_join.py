@@ -19,7 +19,6 @@ Documents are rows; rows with equal ids are one document, which links when one o
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,48 +27,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import components
 from .scratch import Scratch
+from .tally import summed
 from .words import shingle_rows, words
 
 SKETCH_BITS = 20
-_PART_BITS = 12
 _PARTS = 64
 
 
 def _sketch(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """In how many texts the shingles of each hash bucket occur: 2**SKETCH_BITS counts, however many texts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for w in words(batch.column(0)):
-                found = [s for _, s in shingle_rows(w, size)]
-                place = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                seen += np.bincount(place, minlength=len(seen))
-        yield from _packed(seen.reshape(-1, 1 << _PART_BITS), enumerate)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(zlib.decompress(packed), np.int64)
-                sums[part] = sums[part] + counts if part in sums else counts
-        yield from _packed(sums, dict.items)
-
-    parts = 1 << (SKETCH_BITS - _PART_BITS)
-    made = docs.select(text).mapInArrow(count, "part int, counts binary")
-    made = made.repartition(min(parts, 64), "part").mapInArrow(add, "part int, counts binary")
-    whole = np.zeros((parts, 1 << _PART_BITS), np.int64)
-    for row in made.collect():
-        whole[row.part] += np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return np.minimum(whole.reshape(-1), 2**31 - 1).astype(np.int32)
-
-
-def _packed(counts, items) -> Iterator[pa.RecordBatch]:
-    keys, values = [], []
-    for part, row in items(counts):
-        if row.any():
-            keys.append(part)
-            values.append(zlib.compress(row.tobytes(), 1))
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["part", "counts"])
+    def count(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for w in words(batch.column(0)):
+            found = np.concatenate([s for _, s in shingle_rows(w, size)])
+            yield np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+
+    counts = summed(docs.select(text), count, 1 << SKETCH_BITS)
+    return np.minimum(counts, 2**31 - 1).astype(np.int32)
 
 
 _SETS = "doc bigint, n bigint, s1 bigint, s2 bigint, parts binary, prefix array<bigint>"

@@ -232,3 +232,15 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", carry: tupl
     names = [f"c{k}" for k in range(at)]
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)), "score double"])
     return made.mapInArrow(add, schema).toDF(*carry, "score")
+
+
+def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(features(batch.column(place))) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -16,8 +16,10 @@ import pyarrow as pa
 
 GROUP_BYTES = 1 << 19
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII signs, for words without punctuation.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,13 +92,13 @@ class Words:
         return self.hashes[self.bounds[row - self.first]:self.bounds[row - self.first + 1]]
 
 
-def _piece(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, edges: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of some bytes; edges: where a new row begins."""
     n = len(data)
     up, down = _power(n + 1)
     with np.errstate(over="ignore"):
         word = np.zeros(n + 2, bool)
-        np.logical_not(_SPACE[data], out=word[1:-1])
+        np.logical_not(gaps[data], out=word[1:-1])
         cut = np.zeros(n + 1, bool)
         cut[edges] = True
         starts = np.flatnonzero(word[1:] & (~word[:-1] | cut))
@@ -107,8 +109,11 @@ def _piece(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return starts, ends, mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES) -> Iterator[Words]:
-    """The words of a text column, group by group; starts and ends are byte places in the column's data."""
+def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES, gaps: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of a text column, group by group; starts and ends are byte places in the column's data.
+
+    ``gaps`` tells which bytes part words.
+    """
     data, offsets = plain(column)
     for first, last in groups(offsets, limit):
         low, high = int(offsets[first]), int(offsets[last])
@@ -117,11 +122,11 @@ def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES) -> Itera
             to = high
             if last - first == 1 and high - at > 2 * limit:
                 to = at + limit
-                while to < high and not _SPACE[data[to]]:
-                    spaces = np.flatnonzero(_SPACE[data[to:to + limit]])
+                while to < high and not gaps[data[to]]:
+                    spaces = np.flatnonzero(gaps[data[to:to + limit]])
                     to = to + int(spaces[0]) if len(spaces) else min(high, to + limit)
             edges = offsets[first:last + 1] - at if to == high and at == low else np.zeros(0, np.int64)
-            starts, ends, found = _piece(data[at:to], edges)
+            starts, ends, found = _piece(data[at:to], edges, gaps)
             parts.append((starts + at, ends + at, found))
             at = to
             if low == high:
