@@ -146,7 +146,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         same = ["n", "s1", "s2"]
         reps = s.keep(full.groupBy(*same).agg(F.min("doc").alias("doc"), F.first("parts").alias("parts"),
                                               F.first("prefix").alias("prefix")), "reps")
-        in_list = Window.partitionBy("token").orderBy("n", "doc")
+        # A set with few shingles of its own before a shared one is near the middle of its group, so lists start with it.
+        in_list = Window.partitionBy("token").orderBy("at", "n", "doc")
         postings = reps.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
         postings = postings.withColumns({
             **{f"{c}_before": F.lag(c).over(in_list) for c in ("doc", "n", "at")},
