@@ -198,7 +198,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         rows = max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
         blocks = s.keep(_blocks(classes.select("id", "count", "vector"), axes, epsilon, rows), "blocks")
         boxes = blocks.select("block", "low", "high").orderBy("block").collect()
-        low, high = (np.array([r[c] for r in boxes], float).reshape(len(boxes), -1) for c in ("low", "high"))
+        low, high = (np.array([r[c] for r in boxes], float).reshape(-1, axes.shape[1]) for c in ("low", "high"))
         i, j = near_intervals(low, high, epsilon) if boxes else (np.zeros(0, np.int64),) * 2
         names = np.array([r.block for r in boxes], np.int64)
         pairs = spark.createDataFrame(pa.table({"a": names[i], "b": names[j]}), "a bigint, b bigint") if len(i) else spark.createDataFrame([], "a bigint, b bigint")
