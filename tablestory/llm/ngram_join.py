@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .components import components
 from .scratch import Scratch
 from .tally import summed
+from .url_filter import possible_rows
 from .words import shingle_rows, words
 
 SKETCH_BITS = 20
@@ -122,7 +123,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
             yield batch.select(["a", "b"]).filter(pa.array(fit))
 
     used = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).join(used, "k", "left_semi").distinct()
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    # Most texts are in no pair; the filter keeps them out of the shuffle.
+    texts = possible_rows(texts, "k", used).join(used, "k", "left_semi").distinct()
     a = texts.select(F.col("k").alias("a"), F.col("t").alias("ta"))
     b = texts.select(F.col("k").alias("b"), F.col("t").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")

@@ -50,6 +50,21 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return made.groupBy("block").agg(*(F.bit_or(w).alias(w) for w in words))
 
 
+def possible_rows(df: DataFrame, key: str, listed: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``df`` whose key may be in ``listed``'s one column: all that are, and few others.
+
+    The filter never takes more than ``limit`` bytes; for a very long list it lets more others pass.
+    An exact join of what is left is the caller's.
+    """
+    listed = listed.toDF("_key")
+    blocks = max(1, min(-(-listed.count() // _URLS_A_BLOCK), limit // _BLOCK_BYTES))
+    hit = F.lit(True)
+    for i, b in enumerate(_bits(F.col(key))):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
+    probed = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    return probed.join(F.broadcast(bloom(listed, "_key", blocks)), "block").where(hit).select(df.columns)
+
+
 def match_listed(df: DataFrame, key: Column, listed: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with ``_listed``: whether the key is among the different non-null values of ``listed``'s one column."""
     listed = listed.toDF("_key").where("_key IS NOT NULL").distinct()
