@@ -129,8 +129,8 @@ def score_rows(
 
     The scorer gets a batch of rows and returns one row of (value,
     selected_class, probabilities, confidence) each; missing columns are null.
-    A batch that fails gives rows with an error instead of failing the run. A
-    retried task calls the scorer again, so calls happen at least once;
+    A batch that fails is scored again by halves, so only the rows that fail by
+    themselves get an error. A retried task calls the scorer again, so calls happen at least once;
     ``upsert_rows`` makes their results count once. ``concurrency`` is the
     number of tasks that score at the same time.
     """
@@ -141,20 +141,27 @@ def score_rows(
     )
     columns = [f.name for f in fields.fields]
 
+    def scored_parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        out = batch[keys].reset_index(drop=True).copy()
+        try:
+            scored = scorer(batch.reset_index(drop=True))
+            for c in columns:
+                out[c] = scored[c].to_numpy() if c in scored else None
+            out["error"] = None
+        except Exception as failure:  # the scorer is the caller's code
+            if len(batch) > 1:
+                yield from scored_parts(batch.iloc[:len(batch) // 2])
+                yield from scored_parts(batch.iloc[len(batch) // 2:])
+                return
+            for c in columns:
+                out[c] = None
+            out["error"] = f"SCORER_ERROR: {type(failure).__name__}"
+        out["model"] = model
+        yield out[[f.name for f in schema.fields]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[keys].reset_index(drop=True).copy()
-            try:
-                scored = scorer(batch.reset_index(drop=True))
-                for c in columns:
-                    out[c] = scored[c].to_numpy() if c in scored else None
-                out["error"] = None
-            except Exception as failure:  # the scorer is the caller's code
-                for c in columns:
-                    out[c] = None
-                out["error"] = f"SCORER_ERROR: {type(failure).__name__}"
-            out["model"] = model
-            yield out[[f.name for f in schema.fields]]
+            yield from scored_parts(batch)
 
     spread = df.repartition(concurrency) if concurrency else df
     return spread.mapInPandas(run, schema)

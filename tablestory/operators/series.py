@@ -219,7 +219,11 @@ def scatter_points(df: DataFrame, x: str, y: str, stride: int, order_by: list[st
     elif order_by:
         chosen = row_index(pairs, order_by, "__place").where(F.col("__place") % stride == 0)
     else:
-        chosen = pairs.where(F.pmod(F.xxhash64(x, y), F.lit(stride)) == 0)
+        # Of n equal pairs n / stride stay, rounded up or down by a hash, so no pair is favoured.
+        counted = pairs.groupBy(x, y).agg(F.count("*").alias("__n"))
+        lucky = F.pmod(F.xxhash64(x, y), F.lit(stride)) < F.col("__n") % stride
+        kept = F.floor(F.col("__n") / stride) + lucky.cast("int")
+        chosen = counted.withColumn("__kept", kept).where("__kept > 0").select(x, y, F.explode(F.sequence(F.lit(1), "__kept")))
     return chosen.select(F.col(x).alias("x"), F.col(y).alias("y"))
 
 

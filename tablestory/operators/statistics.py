@@ -142,7 +142,7 @@ def mean_difference(groups: DataFrame, keys: list[str] | None = None) -> DataFra
 
 # --- quantiles -----------------------------------------------------------------------
 def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
-    """Exact quantiles, interpolated at (n − 1)·q.
+    """Exact quantiles of the finite values, interpolated at (n − 1)·q.
 
     Equal values are counted before they are brought together, and the
     built-in exact percentile then holds each different value once. It is used
@@ -150,7 +150,7 @@ def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]
     are bracketed by a sketch, everything outside the brackets is only counted,
     and the brackets shrink until what is left is small.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and abs(v) < double('Infinity')")
     facts = values.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
     if facts.n == 0:
         return [None] * len(qs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,12 +38,18 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names; without it, a fresh one in local mode only.
+
+    On a cluster a folder of one machine would not reach the others, so a missing setting is an error there.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tablestory-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -50,4 +57,3 @@ def pinned(df):
     """Write a frame to the checkpoint folder, so that later jobs do not recompute it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-

@@ -64,6 +64,10 @@ def write_table(df: DataFrame, path: str, dataset_id: str, order_by: list[str] |
     )
     ranged = stored.repartitionByRange("row_index").sortWithinPartitions("row_index")
     ranged.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+    if stored.isEmpty():  # such a write replaces no partition
+        jvm = df.sparkSession._jvm
+        old = jvm.org.apache.hadoop.fs.Path(path, f"dataset_id={dataset_id}")
+        old.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def read_table(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
