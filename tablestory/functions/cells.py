@@ -174,7 +174,8 @@ def label_text(c: Column, dtype: T.DataType) -> Column:
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
         return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
     if isinstance(dtype, T.DecimalType):
-        return label_text(c.cast("double"), T.DoubleType())
+        digits = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return F.when(c == 0, "0").otherwise(digits)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return c.cast("string")

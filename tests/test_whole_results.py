@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablestory.functions.cells import label_text
 from tablestory.operators import statistics
 from tablestory.operators.scoring import score_rows
 from tablestory.operators.series import scatter_points
@@ -47,3 +48,10 @@ def test_an_empty_table_replaces_a_full_one(spark):
     write_table(df, path, "b", order_by=["k"])
     write_table(df.limit(0), path, "a", order_by=["k"])
     assert read_table(spark, path, "a").count() == 0 and read_table(spark, path, "b").count() == 5
+
+
+def test_long_decimals_stay_different(spark):
+    df = spark.range(1000).select((F.lit("1234567890123456789000").cast("decimal(25,0)") + F.col("id")).cast("decimal(25,0)").alias("v"))
+    assert df.select(label_text(F.col("v"), df.schema["v"].dataType)).distinct().count() == 1000
+    small = spark.createDataFrame([("1.50",), ("2.00",), ("0.00",), ("-30.00",), ("0.05",)], "v string").select(F.col("v").cast("decimal(12,2)"))
+    assert [r[0] for r in small.select(label_text(F.col("v"), small.schema["v"].dataType)).collect()] == ["1.5", "2", "0", "-30", "0.05"]
