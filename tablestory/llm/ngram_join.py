@@ -124,8 +124,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
 
     used = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    # Most texts are in no pair; the filter keeps them out of the shuffle.
-    texts = possible_rows(texts, "k", used).join(used, "k", "left_semi").distinct()
+    # Most texts are in no pair; the filter keeps them out of the shuffle. A semi join would be moved below it.
+    texts = possible_rows(texts, "k", used).join(used, "k").distinct()
     a = texts.select(F.col("k").alias("a"), F.col("t").alias("ta"))
     b = texts.select(F.col("k").alias("b"), F.col("t").alias("tb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
