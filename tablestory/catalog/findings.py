@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import cells, fixed, shown
+from ..functions import fixed, shown
 from ..operators import grouping as G, profile as P, series as Z, statistics as ST
 from ..plans import story as S, views as V
 from .common import Tables, pick, r6, rounded
@@ -43,11 +43,11 @@ def group_rows(t):
 
 _COUNT_SQL = """WITH g AS (SELECT {d} AS label, count(*) AS value FROM {t} GROUP BY 1),
   r AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS position, sum(value) OVER () AS present FROM g)
-  SELECT position, label, value, round(value / present, 6) AS share, false AS muted FROM r WHERE position <= 8 {rest}"""
+  SELECT CASE WHEN position <= 8 THEN position END AS position, label, value, round(value / present, 6) AS share, false AS muted, position <= 8 AS drawn FROM r {rest}"""
 
 
 @query(_COUNT_SQL.format(d="source", t="documents", rest="""UNION ALL
-  SELECT 9, count(*) || CASE WHEN count(*) = 1 THEN ' other' ELSE ' others' END, CAST(sum(value) AS BIGINT), round(sum(value) / max(present), 6), true
+  SELECT 9, count(*) || CASE WHEN count(*) = 1 THEN ' other' ELSE ' others' END, CAST(sum(value) AS BIGINT), round(sum(value) / max(present), 6), true, true
   FROM r WHERE position > 8 HAVING count(*) > 0"""))
 def count_ranking(t):
     return rounded(G.count_bars(t.documents, "source", "category"), "share")
@@ -59,20 +59,20 @@ def count_ranking_entity(t):
 
 
 @query("""WITH g AS (SELECT CAST(l_linenumber AS VARCHAR) AS label, count(*) AS value FROM lineitem GROUP BY 1)
-  SELECT row_number() OVER (ORDER BY CAST(label AS DOUBLE)) AS position, label, value, round(value / sum(value) OVER (), 6) AS share, false AS muted FROM g""")
+  SELECT row_number() OVER (ORDER BY CAST(label AS DOUBLE)) AS position, label, value, round(value / sum(value) OVER (), 6) AS share, false AS muted, true AS drawn FROM g""")
 def count_ranking_ordinal(t):
     return rounded(G.count_bars(t.lineitem, "l_linenumber", "ordinal"), "share")
 
 
 @query("""WITH g AS (SELECT o_orderpriority AS label, count(*) AS n, avg(o_totalprice) AS v FROM orders GROUP BY 1 HAVING count(o_totalprice) >= 5)
-  SELECT row_number() OVER (ORDER BY v DESC, -n, label) AS position, label, round(v, 4) AS value, n FROM g""")
+  SELECT row_number() OVER (ORDER BY v DESC, -n, label) AS position, label, round(v, 4) AS value, n, true AS drawn FROM g""")
 def measure_ranking(t):
     bars = G.measure_bars(t.orders, "o_orderpriority", "o_totalprice", additive=False)
     return bars.withColumn("value", F.round("value", 4)).drop("display")
 
 
 @query(f"""WITH g AS (SELECT CAST(l_suppkey AS VARCHAR) AS label, count(*) AS n, {_money('l_extendedprice')} AS v FROM lineitem GROUP BY 1)
-  SELECT row_number() OVER (ORDER BY v DESC, -n, label) AS position, label, round(v, 2) AS value, n FROM g ORDER BY v DESC LIMIT 8""")
+  SELECT CASE WHEN p <= 8 THEN p END AS position, label, round(v, 2) AS value, n, p <= 8 AS drawn FROM (SELECT *, row_number() OVER (ORDER BY v DESC, -n, label) AS p FROM g)""")
 def measure_ranking_total(t):
     bars = G.measure_bars(t.lineitem, "l_suppkey", "l_extendedprice", additive=True, kind="entity")
     return bars.withColumn("value", F.round("value", 2)).drop("display")
@@ -83,7 +83,7 @@ _RATE_SQL = """WITH g AS (SELECT {d} AS label, count(*) AS rows, count(*) FILTER
 
 
 @query(_RATE_SQL.format(d="l_returnflag || l_linestatus") + """SELECT row_number() OVER (ORDER BY rate DESC, rows DESC, label) AS position, label, yes, total, round(rate, 6) AS rate,
-  round(sum(yes) OVER () / sum(total) OVER (), 6) AS overall FROM k""")
+  round(sum(yes) OVER () / sum(total) OVER (), 6) AS overall, true AS drawn FROM k""")
 def rate_by_group(t):
     flagged = t.lineitem.select(
         F.concat("l_returnflag", "l_linestatus").alias("state"), (F.col("l_discount") > 0.05).alias("cheap")
@@ -102,12 +102,10 @@ def trait_rates(t):
     return rounded(G.trait_bars(flags, ["cheap", "taxed", "large", "filled"]), "rate")
 
 
-@query(f"""WITH g AS (SELECT l_suppkey AS entity, min(s_name) AS name, {_money('l_quantity')} AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_returnflag <> 'R' GROUP BY 1), m AS (SELECT max(total) AS best FROM g)
+@query(f"""WITH g AS (SELECT l_suppkey AS entity, min(s_name) AS name, {_money("CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END")} AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), m AS (SELECT max(total) AS best FROM g)
   SELECT entity, name, total, total = best AS leads, total = best AND (SELECT count(*) FROM g, m WHERE total = best) > 1 AS tied FROM g, m""")
 def leaderboard(t):
-    sold = t.lineitem.where("l_returnflag <> 'R'")
-    totals = G.leaderboard(sold, "l_suppkey", F.col("l_quantity"))
+    totals = G.leaderboard(t.lineitem, "l_suppkey", F.when(F.col("l_returnflag") != "R", F.col("l_quantity")))
     names = t.supplier.select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
     return totals.join(names, "entity")
 
@@ -167,6 +165,21 @@ def quantiles(t):
     return rounded(made, "p02", "q1", "median", "q3", "p98")
 
 
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(quantile_cont({c}, 0.001), 6) AS p001, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.999), 6) AS p999 FROM {t}"""
+    for c, t in [("l_extendedprice", "lineitem"), ("p_retailprice", "part"), ("value", "events")]))
+def quantiles_large(t):
+    """The way taken beyond the limit on different values, on columns with infinite and missing values added."""
+    rows = []
+    for c, df in (("l_extendedprice", t.lineitem), ("p_retailprice", t.part), ("value", t.events)):
+        own = df.select(F.col(c).cast("double").alias(c))
+        for odd in ("Infinity", "-Infinity", "NaN", None):
+            own = own.unionByName(df.select(F.lit(odd).cast("double").alias(c)))
+        rows.append((c, *ST.quantiles(own, c, [0.001, 0.5, 0.999], exact_limit=0, collect_limit=500)))
+    made = t.spark.createDataFrame(rows, "column string, p001 double, median double, p999 double")
+    return rounded(made, "p001", "median", "p999")
+
+
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _PAIRS = [(a, b) for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1:]]
 
@@ -527,6 +540,3 @@ def format_names(t):
         "p_partkey", shown.lower_first_text(cell).alias("lowered"), shown.team_code(name).alias("code"),
         shown.team_code(F.col("p_type")).alias("short"),
     )
-
-
-_ = cells

@@ -129,6 +129,29 @@ def stored_table(t):
     return S.read_table(t.spark, path, "customers").select("dataset_id", "row_index", "c_custkey", "c_name")
 
 
+@query("""SELECT 'people' AS dataset_id, row_number() OVER (ORDER BY part, name, k) - 1 AS row_index, k, name
+  FROM (SELECT 1 AS part, c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT 2, s_suppkey, s_name FROM supplier)""")
+def stored_table_appended(t):
+    path = scratch(t.spark)
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    S.append_rows(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), path, "people", ["name", "k"])
+    S.append_rows(suppliers, path, "people", ["name", "k"])
+    return S.read_table(t.spark, path, "people").select("dataset_id", "row_index", "k", "name")
+
+
+@query("""SELECT 'suppliers' AS dataset_id, row_number() OVER (ORDER BY s_name, s_suppkey) - 1 AS row_index, s_suppkey AS k, s_name AS name
+  FROM supplier""")
+def stored_table_replaced_empty(t):
+    path = scratch(t.spark)
+    customers = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    S.write_table(customers, path, "customers", ["name", "k"])
+    S.write_table(suppliers, path, "suppliers", ["name", "k"])
+    S.write_table(customers.where("k IS NULL"), path, "customers", ["name", "k"])
+    left = S.read_table(t.spark, path, "customers").unionByName(S.read_table(t.spark, path, "suppliers"))
+    return left.select("dataset_id", "row_index", "k", "name")
+
+
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS display_name, 'upload' AS source_type,
   CAST(c_nationkey AS BIGINT) AS accepted_row_count, CAST(c_acctbal * 100 AS BIGINT) AS created_at
   FROM customer ORDER BY created_at, dataset_id LIMIT 48""")

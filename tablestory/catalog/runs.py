@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.cells import normalize_text as normalized
 from ..operators import grouping as G, profile as P, proposals as Q, scoring as R
 from .common import Tables, pick, r6, rounded
@@ -306,6 +305,3 @@ def route_chart(t):
     kind = pick(F.col("doc_id"), "choice", "choice", "score", "choice", "probability", None)
     classes = F.array().cast("array<string>")
     return t.documents.select("doc_id", Q.route_chart(kind, text, classes).alias("visual"))
-
-
-_ = fixed

@@ -46,27 +46,35 @@ def _numbered(bars: DataFrame, *order: Column | str) -> DataFrame:
     return bars.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-def count_bars(
-    df: DataFrame, dim: str, kind: str = "category", order: list[str] | None = None, plural: str = "others"
-) -> DataFrame:
-    """(position, label, value, share, muted): the biggest groups, and one bar for the rest of a category."""
+def _all_groups(groups: DataFrame, bars: DataFrame) -> DataFrame:
+    """``bars`` as drawn, and the other groups without a position."""
+    rest = groups.join(bars.select("label"), "label", "left_anti").withColumn("position", F.lit(None).cast("bigint"))
+    return bars.withColumn("drawn", F.lit(True)).unionByName(rest.withColumn("drawn", F.lit(False)))
+
+
+def count_bars(df: DataFrame, dim: str, kind: str = "category", order: list[str] | None = None) -> DataFrame:
+    """(position, label, value, share, muted, drawn) of all groups.
+
+    The biggest are drawn and have a position; a category also draws one muted bar that sums up the rest.
+    """
     groups = group_rows(df, [dim]).select("label", F.col("rows").alias("value"))
     natural = kind == "ordinal" or order is not None
     limit = fixed.MAX_ORDERED_BARS if natural else fixed.MAX_BARS
     place = label_position(F.col("label"), F.col("value"), kind, order)
     shown_groups = groups.withColumn("place", place).orderBy("place", "label").limit(limit)
-    bars = _numbered(shown_groups, "place", "label").withColumn("muted", F.lit(False))
-    bars = bars.select("position", "label", "value", "muted")
+    bars = _all_groups(groups, _numbered(shown_groups, "place", "label").select("position", "label", "value"))
+    bars = bars.withColumn("muted", F.lit(False))
     if kind == "category":
         rest = groups.join(shown_groups.select("label"), "label", "left_anti").agg(
             F.count(F.lit(1)).alias("hidden"), F.sum("value").alias("value")
         ).where("hidden > 0")
         name = F.concat(F.col("hidden").cast("string"), F.when(F.col("hidden") == 1, " other").otherwise(" others"))
         bars = bars.unionByName(rest.select(
-            F.lit(limit + 1).cast("bigint").alias("position"), name.alias("label"), "value", F.lit(True).alias("muted")
+            F.lit(limit + 1).cast("bigint").alias("position"), name.alias("label"), "value", F.lit(True).alias("muted"),
+            F.lit(True).alias("drawn"),
         ))
     present = groups.agg(F.sum("value")).scalar()
-    return bars.select("position", "label", "value", (F.col("value") / present).alias("share"), "muted")
+    return bars.select("position", "label", "value", (F.col("value") / present).alias("share"), "muted", "drawn")
 
 
 def measure_groups(df: DataFrame, dim: str, measure: str, additive: bool) -> DataFrame:
@@ -84,14 +92,17 @@ def measure_bars(
     df: DataFrame, dim: str, measure: str, additive: bool, kind: str = "category", order: list[str] | None = None,
     unit: str | None = None,
 ) -> DataFrame:
-    """(position, label, value, display, n): a measure totalled or averaged per group, highest first."""
+    """(position, label, value, display, n, drawn): a measure totalled or averaged per group.
+
+    All groups are there; the first, by value or by their own order, are drawn and have a position.
+    """
     groups = measure_groups(df, dim, measure, additive)
     groups = groups.withColumn("place", label_position(F.col("label"), F.col("rows"), kind, order))
     natural = kind == "ordinal" or order is not None
     by = [F.col("place"), F.col("label")] if natural else [F.desc("value"), F.col("place"), F.col("label")]
     bars = groups.orderBy(*by).limit(fixed.MAX_ORDERED_BARS if natural else fixed.MAX_BARS)
-    return _numbered(bars, *by).select(
-        "position", "label", "value", shown.number_text(F.col("value"), unit).alias("display"), "n"
+    return _all_groups(groups, _numbered(bars, *by)).select(
+        "position", "label", "value", shown.number_text(F.col("value"), unit).alias("display"), "n", "drawn"
     )
 
 
@@ -112,16 +123,16 @@ def rate_groups(df: DataFrame, dim: str, flag: str) -> DataFrame:
 
 
 def rate_bars(df: DataFrame, dim: str, flag: str, kind: str = "category", order: list[str] | None = None) -> DataFrame:
-    """(position, label, yes, total, rate, display, overall): share of yes per group."""
+    """(position, label, yes, total, rate, display, overall, drawn): share of yes per group; the first are drawn."""
     groups = rate_groups(df, dim, flag)
     groups = groups.withColumn("place", label_position(F.col("label"), F.col("rows"), kind, order))
     natural = kind == "ordinal" or order is not None
     by = [F.col("place"), F.col("label")] if natural else [F.desc("rate"), F.col("place"), F.col("label")]
     overall = groups.agg(F.try_divide(F.sum("yes"), F.sum("total"))).scalar()
     bars = _numbered(groups.orderBy(*by).limit(fixed.MAX_ORDERED_BARS), *by)
-    return bars.select(
+    return _all_groups(groups, bars).select(
         "position", "label", "yes", "total", "rate", shown.share_text(F.col("rate")).alias("display"),
-        overall.alias("overall"),
+        overall.alias("overall"), "drawn",
     )
 
 

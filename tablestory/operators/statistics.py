@@ -141,24 +141,27 @@ def mean_difference(groups: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 # --- quantiles -----------------------------------------------------------------------
-def quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+def quantiles(
+    df: DataFrame, column: str, qs: list[float], exact_limit: int = _EXACT_MAP_LIMIT, collect_limit: int = _COLLECT_LIMIT
+) -> list[float | None]:
     """Exact quantiles of the finite values, interpolated at (n − 1)·q.
 
     Equal values are counted before they are brought together, and the
     built-in exact percentile then holds each different value once. It is used
-    while there are at most a million of them. Beyond that the wanted positions
+    while there are at most ``exact_limit`` of them. Beyond that the wanted positions
     are bracketed by a sketch, everything outside the brackets is only counted,
-    and the brackets shrink until what is left is small.
+    and the brackets shrink until at most ``collect_limit`` rows are left. Both ways
+    give the same values.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and abs(v) < double('Infinity')")
     facts = values.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
     if facts.n == 0:
         return [None] * len(qs)
-    if facts.d <= _EXACT_MAP_LIMIT:
+    if facts.d <= exact_limit:
         counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
         return list(counted.agg(F.percentile("v", [float(q) for q in qs], F.col("n")).alias("q")).first().q)
     wanted = sorted({k for q in qs for k in (math.floor((facts.n - 1) * q), math.ceil((facts.n - 1) * q))})
-    found = _order_statistics(values, facts.n, wanted)
+    found = _order_statistics(values, facts.n, wanted, collect_limit)
     result = []
     for q in qs:
         place = (facts.n - 1) * q

@@ -70,6 +70,25 @@ def write_table(df: DataFrame, path: str, dataset_id: str, order_by: list[str] |
         old.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
 
+def append_rows(df: DataFrame, path: str, dataset_id: str, order_by: list[str]) -> None:
+    """Add rows behind those of a stored dataset, numbered on in order; a new dataset starts at 0.
+
+    Every row is appended, equal ones too. One writer at a time: two would number from the same row.
+    """
+    spark = configure(df.sparkSession)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"dataset_id={dataset_id}")
+    last = None
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        last = spark.read.parquet(path).where(F.col("dataset_id") == dataset_id).agg(F.max("row_index")).first()[0]
+    numbered = row_index(df, order_by).withColumn("row_index", F.col("row_index") + F.lit(0 if last is None else last + 1))
+    stored = numbered.select(
+        F.lit(dataset_id).alias("dataset_id"), "row_index", row_hash(df, df.columns).alias("row_hash"), *df.columns
+    )
+    ranged = stored.repartitionByRange("row_index").sortWithinPartitions("row_index")
+    ranged.write.mode("append").partitionBy("dataset_id").parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
     """The rows of one dataset in row order; only its folder is read."""
     return spark.read.parquet(path).where(F.col("dataset_id") == dataset_id).orderBy("row_index")
