@@ -12,7 +12,7 @@
 Large groups of near copies would give all their pairs. So the join runs twice over the shared
 prefix shingles: first each text only meets its predecessor and the first of a shingle's list;
 the components of the links found are then contracted, and the second time only texts of
-different components meet. Components are exact: a pair that never meets is already linked.
+different components meet: those outside the largest component of a list, with the whole list. Components are exact: a pair that never meets is already linked.
 
 Documents are rows; rows with equal ids are one document, which links when one of its texts does.
 """
@@ -170,13 +170,16 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         named = postings.select("token", "doc", "n", "at").join(
             label.select(F.col("node").alias("doc"), "component"), "doc", "left")
         named = named.withColumn("component", F.coalesce("component", "doc"))
-        open_lists = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        named = s.keep(named.join(open_lists.select("token"), "token", "left_semi"), "open")
-        x, y = named.alias("x"), named.alias("y")
+        # Of two texts in different components, one at least is outside the list's largest component.
+        parts = named.groupBy("token", "component").count().groupBy("token").agg(
+            F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"))
+        open_lists = parts.where("parts > 1").select("token", "largest")
+        named = s.keep(named.join(open_lists, "token").withColumn("minor", F.col("component") != F.col("largest")).drop("largest"), "open")
+        x, y = named.where("minor").alias("x"), named.alias("y")
         apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component"))
-                       & (F.col("x.doc") < F.col("y.doc"))
+                       & (~F.col("y.minor") | (F.col("x.doc") < F.col("y.doc")))
                        & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent))
-        pairs = apart.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        pairs = apart.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
         pairs = pairs.join(first, ["a", "b"], "left_anti")
         second = s.keep(_suffix_filter(pairs, reps, percent), "pairs2")
         links = links.unionByName(s.keep(_verified(second, docs, key, text, size, percent), "links2"))
