@@ -32,6 +32,8 @@ from .url_filter import possible_rows
 from .words import shingle_rows, words
 
 SKETCH_BITS = 20
+#: Postings of one shingle that one task sorts; longer lists are dealt into slices.
+LIST_ROWS = 1 << 20
 _PARTS = 64
 
 
@@ -150,18 +152,27 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         reps = s.keep(full.groupBy(*same).agg(F.min("doc").alias("doc"), F.first("parts").alias("parts"),
                                               F.first("prefix").alias("prefix")), "reps")
         # A set with few shingles of its own before a shared one is near the middle of its group, so lists start with it.
-        in_list = Window.partitionBy("token").orderBy("at", "n", "doc")
+        in_list = Window.partitionBy("token", "slice").orderBy("at", "n", "doc")
         postings = reps.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
+        long = s.keep(postings.groupBy("token").count().where(F.col("count") > LIST_ROWS).select(
+            "token", F.ceil(F.col("count") / LIST_ROWS).alias("slices")), "long")
+        postings = postings.join(long, "token", "left").withColumn(
+            "slice", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("slices")), F.lit(0).cast("bigint")))
         postings = postings.withColumns({
             **{f"{c}_before": F.lag(c).over(in_list) for c in ("doc", "n", "at")},
             **{f"{c}_first": F.first(c).over(in_list) for c in ("doc", "n", "at")},
             "after": F.lead("doc").over(in_list),
-        }).where("doc_before IS NOT NULL OR after IS NOT NULL")
+        }).where("doc_before IS NOT NULL OR after IS NOT NULL OR slices IS NOT NULL")
         postings = s.keep(postings, "postings")
 
         met = postings.where("doc_before IS NOT NULL").select("doc", "n", "at", F.explode(F.array(*(
             F.struct(*(F.col(f"{c}_{which}").alias(c) for c in ("doc", "n", "at"))) for which in ("before", "first")
-        ))).alias("o")).where("doc <> o.doc").where(_may_link(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), percent))
+        ))).alias("o"))
+        # The firsts of the slices of one list meet the first of them all.
+        heads = postings.where("slices IS NOT NULL").groupBy("token", "slice").agg(F.min(F.struct("at", "n", "doc")).alias("head"))
+        heads = heads.join(heads.groupBy("token").agg(F.min("head").alias("o")), "token")
+        met = met.unionByName(heads.select("head.doc", "head.n", "head.at", F.struct("o.doc", "o.n", "o.at").alias("o")))
+        met = met.where("doc <> o.doc").where(_may_link(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), percent))
         pairs = met.select(F.least("doc", "o.doc").alias("a"), F.greatest("doc", "o.doc").alias("b")).distinct()
         first = s.keep(_suffix_filter(pairs, reps, percent), "pairs1")
         links = s.keep(_verified(first, docs, key, text, size, percent), "links1")

@@ -29,7 +29,9 @@ def prose(rng, n, size=60):
     return [rng.choice(["so", "word", "Été", "stone", "river", "cloud"]) + str(rng.randint(0, size)) for _ in range(n)]
 
 
-def test_ngram_components_match_all_pairs(spark):
+@pytest.mark.parametrize("list_rows", [1 << 20, 3])
+def test_ngram_components_match_all_pairs(spark, list_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", list_rows)
     rng = random.Random(4)
     base = prose(rng, 80)
     texts = [None, "", " \t", "one two", "ONE  two", "one"]
