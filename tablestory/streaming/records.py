@@ -56,9 +56,11 @@ def replay(keys: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("missed", F.col("__found").isNull()).drop("__found")
 
 
-def list_by_key(records: DataFrame, key: str, value, order_by: list[str], limit: int | None = None) -> DataFrame:
-    """Records of one key in time order, 64 unless another number up to 128 is asked for."""
-    return records.where(F.col(key) == value).orderBy(*order_by).limit(max(1, min(limit if limit is not None else 64, 128)))
+def list_by_key(records: DataFrame, key: str, value, order_by: list[str], limit: int = 64) -> DataFrame:
+    """The first ``limit`` records of one key in time order; a limit below 1 is an error."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return records.where(F.col(key) == value).orderBy(*order_by).limit(limit)
 
 
 # --- budgets -------------------------------------------------------------------------------------

@@ -102,6 +102,13 @@ def test_versions_batch_and_stream_agree(spark, tmp_path):
     assert {x.n: x.verdict for x in spark.read.parquet(str(tmp_path / "out")).collect()} == wanted
 
 
+def test_a_listing_has_as_many_records_as_asked_for(spark):
+    df = spark.range(300).selectExpr("id", "1 AS key")
+    assert K.list_by_key(df, "key", 1, ["id"], 200).count() == 200 and K.list_by_key(df, "key", 1, ["id"]).count() == 64
+    with pytest.raises(ValueError):
+        K.list_by_key(df, "key", 1, ["id"], 0)
+
+
 def test_first_write_wins_across_batches(spark, tmp_path):
     path = str(tmp_path / "records")
     write = K.append_new(path, "key", ["at"])
