@@ -270,6 +270,46 @@ def test_latent_search(spark):
     assert latent_search.find_items(docs.limit(0), items).count() == latent_search.find_items(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("axes", ["fitted", "blind"])
+def test_latent_search_holds_all_that_brute_force_holds(spark, monkeypatch, axes):
+    if axes == "blind":
+        monkeypatch.setattr(latent_search, "latent_axes", lambda sample, idf: np.zeros((1 << latent_search.TERM_BITS, 1)))
+        monkeypatch.setattr(latent_search, "ANCHORED", 7)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(700)] + ["the"] * 300
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [text(rng.randint(12, 60)) for _ in range(80)]
+    answers = [item[-rng.randint(3, 6):] if k % 3 else [] for k, item in enumerate(items)]
+    table = [(k, ". ".join(" ".join(part) for part in (item[:len(item) - len(a)], a) if part)) for k, (item, a) in enumerate(zip(items, answers))]
+    texts = [None, "", "the " * 50]
+    for k in range(150):
+        own, number = text(rng.randint(0, 200)), rng.randrange(len(items))
+        cut = len(items[number]) - len(answers[number])
+        held = [rng.choice(vocabulary) if rng.random() < (0, 0.15, 0.35)[k % 3] and (i < cut or k % 2) else word for i, word in enumerate(items[number])]
+        at = rng.randint(0, len(own))
+        texts.append(" ".join(own[:at] + held + own[at:]))
+    want, low = set(), 0
+    for doc, t in enumerate(texts):
+        own = split_words(t)
+        for k, item in enumerate(items):
+            places, window = {}, 32
+            for i, word in enumerate(item):
+                places[word] = places.get(word, 0) | 1 << i
+            while len(item) > window * 3 // 4:
+                window *= 2
+            for start in range(0, max(1, -(-len(own) // 8) * 8 - window + window // 4), window // 4):
+                part = own[max(0, start - window // 4):start + window + window // 4]
+                common = latent_search.common_subsequence(places, len(item), part) / len(item)
+                answered = answers[k] and any(part[a:a + len(answers[k])] == answers[k] for a in range(len(part)))
+                if common >= 0.8 or common >= 0.6 and answered:
+                    want.add((doc, k))
+                    low += common < 0.8
+    docs, items = documents(spark, texts), spark.createDataFrame(table, "item_id bigint, text string")
+    assert low and {(r.doc_id, r.item_id) for r in latent_search.find_items(docs, items).collect()} == want
+    if axes == "blind":
+        assert {r.doc_id for r in latent_search.without_items(docs, items).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
