@@ -131,6 +131,12 @@ def trend_stream(t):
     return _finish(t, steps, "trend").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS rows FROM events GROUP BY 1""")
+def trend_stream_all(t):
+    steps = L.trend_stream(_stream(t), "ts", "1 day", lateness=None)
+    return L.finish_steps(steps, scratch(t.spark)).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 # --- keys and stored records ---------------------------------------------------------------------------
 @query("""SELECT event_id, length(CAST(user_id AS VARCHAR)) || ':' || user_id || '|' || length(event_type) || ':' || event_type || '|' || CASE WHEN event_id % 4 = 0 THEN '5:event' ELSE length(CAST(event_id AS VARCHAR)) || ':' || event_id END
   || '|64:' || sha256('{"event_type":"' || event_type || '","props":' || to_json(props) || '}') AS key FROM events""")

@@ -5,6 +5,7 @@ Every stream operator has a batch form that gives the same answer on stored data
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -162,9 +163,26 @@ def state_at(states: DataFrame, index: int, order_by: list[str]) -> DataFrame:
     return numbered.where(F.col("__place") == F.greatest(F.lit(0), F.least(F.lit(index), last))).drop("__place")
 
 
-def trend_stream(events: DataFrame, time: str, width: str, measure: str | None = None, lateness: str = LATENESS) -> DataFrame:
-    """Counts (and a total) per time step on a stream."""
+def trend_stream(events: DataFrame, time: str, width: str, measure: str | None = None, lateness: str | None = LATENESS) -> DataFrame:
+    """Counts (and a total) per time step on a stream; rows without a time are in none.
+
+    In append mode a step comes out when it is over, so the last ones stay open. Without ``lateness``
+    no row is too late and all steps are kept as state; see ``finish_steps``.
+    """
     aggregates = [F.count(F.lit(1)).alias("rows")] + ([F.sum(measure).alias("total")] if measure else [])
     timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    stepped = timed.withWatermark(time, lateness).groupBy(F.window(time, width)).agg(*aggregates)
+    stepped = (timed.withWatermark(time, lateness) if lateness else timed).groupBy(F.window(time, width)).agg(*aggregates)
     return stepped.select(F.col("window.start").alias("bucket"), *[c for c in stepped.columns if c != "window"])
+
+
+def finish_steps(steps: DataFrame, path: str) -> DataFrame:
+    """All steps of a stream at the end of its input, the open ones too, as a stored table with one row per bucket.
+
+    Complete mode gives every bucket anew, so only the last count of each is kept. The driver holds one row per bucket.
+    """
+    spark, name = steps.sparkSession, f"steps_{uuid.uuid4().hex}"
+    sink = steps.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}-state")
+    sink.trigger(availableNow=True).outputMode("complete").start().awaitTermination()
+    spark.table(name).write.parquet(path)
+    spark.catalog.dropTempView(name)
+    return spark.read.schema(steps.schema).parquet(path)

@@ -10,6 +10,7 @@ from tablestory.operators.scoring import score_rows
 from tablestory.operators.series import scatter_points
 from tablestory.session import checkpoint_dir
 from tablestory.sources.tables import read_table, write_table
+from tablestory.streaming import feed
 
 
 @pytest.mark.parametrize("pairs, stride", [(15, 67), (2, 3), (7, 3)])
@@ -55,3 +56,13 @@ def test_long_decimals_stay_different(spark):
     assert df.select(label_text(F.col("v"), df.schema["v"].dataType)).distinct().count() == 1000
     small = spark.createDataFrame([("1.50",), ("2.00",), ("0.00",), ("-30.00",), ("0.05",)], "v string").select(F.col("v").cast("decimal(12,2)"))
     assert [r[0] for r in small.select(label_text(F.col("v"), small.schema["v"].dataType)).collect()] == ["1.5", "2", "0", "-30", "0.05"]
+
+
+def test_a_stream_of_steps_ends_with_the_open_and_the_late_ones(spark, tmp_path):
+    folder = f"{checkpoint_dir(spark)}/{tmp_path.name}"
+    for days in (["2024-01-03 10:00", "2024-01-04 23:59", "2024-01-04 08:00"], ["2024-01-01 05:00", "2024-01-03 00:00", "2024-01-05 00:01"]):
+        df = spark.createDataFrame([(d,) for d in days], "at string").select(F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(f"{folder}-in")
+    reader = spark.readStream.schema("at timestamp").option("maxFilesPerTrigger", 1)
+    out = feed.finish_steps(feed.trend_stream(reader.parquet(f"{folder}-in"), "at", "1 day", lateness=None), f"{folder}-out")
+    assert {r.bucket.day: r.rows for r in out.collect()} == {1: 1, 3: 2, 4: 2, 5: 1} and out.count() == 4
