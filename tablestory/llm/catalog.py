@@ -13,7 +13,7 @@ from .latent_search import find_items
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
-from . import pii, quality
+from . import merkle, pii, quality
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -149,6 +149,73 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+_FOLDED = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    parts = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.digest(merkle.framed(*parts, F.col("text")))
+    lowered = merkle.digest(merkle.framed(*parts, F.translate("text", *_FOLDED)))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered)
+    made = merkle.prove(docs, "doc_id", "source", leaf, {"tampered": tampered}).withColumn(
+        "folded", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return made.select(
+        "doc_id", *[merkle.shown(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.shown(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+#: CRC-32 of ASCII or Latin-1 text: eight shifts for every byte of its UTF-8.
+_CRC = """xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform({bytes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
+
+
+def _merkle_sql(levels: int = 6, fanout: int = 16) -> str:
+    """Trees of up to ``fanout ** levels`` leaves a source, and as many sources."""
+    steps = ["""
+    framed AS (
+        SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+               dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree FROM documents),
+    leaves AS (
+        SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST) - 1 AS pos,
+               sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered
+        FROM framed)"""]
+
+    def tree(name: str, start: str, group: str) -> None:
+        steps.append(f"{name}0 AS ({start})")
+        for k in range(levels):
+            steps.append(f"{name}c{k} AS (SELECT *, count(*) OVER (PARTITION BY {group}) AS n FROM {name}{k})")
+            steps.append(f"{name}p{k} AS (SELECT {group}, pos // {fanout} AS pos, list(digest ORDER BY pos) AS children, any_value(n) AS n FROM {name}c{k} GROUP BY 1, 2)")
+            steps.append(f"{name}{k + 1} AS (SELECT {group}, pos, CASE WHEN n > 1 THEN sha256(array_to_string(children, '')) ELSE children[1] END AS digest FROM {name}p{k})")
+
+    tree("r", "SELECT tree, pos, leaf AS digest FROM leaves", "tree")
+    tree("g", f"SELECT 0 AS one, tree - 1 AS pos, digest FROM r{levels}", "one")
+    crc = _CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)")
+    steps.append(f"""w0 AS (
+        SELECT doc_id, tree, pos, leaf, '' AS proof, CASE WHEN {crc} % 5 = 0 THEN lowered ELSE leaf END AS folded FROM leaves)""")
+    k = 0
+    for name, place, on in (("r", "w.pos", "p.tree = w.tree"), ("g", "(w.tree - 1)", "true")):
+        for level in range(levels):
+            pos = f"({place} // {fanout ** level})"
+            left, right = f"array_to_string(p.children[1:{pos} % {fanout}], '')", f"array_to_string(p.children[{pos} % {fanout} + 2:], '')"
+            steps.append(f"""w{k + 1} AS (
+        SELECT doc_id, w.tree, w.pos, leaf, proof || {left} || {right} AS proof,
+               CASE WHEN p.n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded
+        FROM w{k} w JOIN {name}p{level} p ON {on} AND p.pos = {pos} // {fanout})""")
+            k += 1
+    return f"""
+    WITH {", ".join(steps)}
+    SELECT doc_id, leaf, r.digest AS subroot, g.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = g.digest AS verified
+    FROM w{k} w JOIN r{levels} r USING (tree) CROSS JOIN g{levels} g"""
+
+
+SQL["op13_merkle"] = _merkle_sql()
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
