@@ -83,9 +83,9 @@ def _ranked(s: Scratch, leaves: DataFrame, name: str) -> DataFrame:
     part = F.shiftright("at", _PART)
     runs = dealt.groupBy(part.alias("part"), "group").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
     whole = Window.partitionBy("group")
-    runs = s.keep(runs.select(
+    runs = runs.select(
         "part", F.col("group").alias("of"), "first", F.min("first").over(whole).alias("tree"), F.sum("rows").over(whole).alias("n"),
-        F.coalesce(F.sum("rows").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), f"{name}-runs")
+        F.coalesce(F.sum("rows").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     both = dealt.join(runs, (part == F.col("part")) & F.col("group").eqNullSafe(F.col("of")))
     lo = F.col("at") - F.col("first") + F.col("before")
     return both.select("tree", lo.alias("lo"), (lo + 1).alias("hi"), "n", "digest", "key", "carried")
@@ -148,7 +148,7 @@ def prove(docs: DataFrame, key: str, group: str, leaf: Column, carry: dict[str,
         carried = F.struct(*[c.alias(n) for n, c in (carry or {}).items()], F.lit(0).alias("_"))
         leaves = s.keep(docs.select(F.col(group).alias("group"), F.col(key).alias("key"), leaf.alias("digest"), carried.alias("carried")), "leaves")
         lower = grow(s, leaves, "rows", fanout)
-        subroots = s.keep(lower.roots().select(F.lit(0).alias("group"), F.col("tree").alias("key"), "digest", F.lit(0).alias("carried")), "subroots")
+        subroots = lower.roots().select(F.lit(0).alias("group"), F.col("tree").alias("key"), "digest", F.lit(0).alias("carried"))
         upper = grow(s, subroots, "groups", fanout)
         root = upper.roots().select("digest").first()
         root = F.lit(bytes(root.digest) if root else None).cast("binary")
