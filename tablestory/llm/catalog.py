@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
 from . import merkle, pii, quality
+from .spelling import spelling_variants
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -149,6 +150,46 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+@query
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(_table(spark, folder, "documents"), delete_every=97)
+
+
+#: CRC-32 of Latin-1 text: eight shifts for every byte of its UTF-8.
+_CRC = """xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform({bytes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
+_RUN_CRC = _CRC.format(bytes="""flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))""")
+SQL["op12_spelling"] = rf"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+    counted AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM runs GROUP BY 1, 2),
+    hashed AS (SELECT *, {_RUN_CRC} AS h FROM counted WHERE length(run) >= 5),
+    words AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word,
+               sum(n)::BIGINT AS n
+        FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    less AS (
+        SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    shorter AS (SELECT DISTINCT l.word AS a, l.n AS a_n, w.word AS b, w.n AS b_n FROM less l JOIN words w ON l.rest = w.word),
+    near AS (
+        SELECT a AS word, a_n AS n, b AS other, b_n AS other_n FROM shorter UNION ALL SELECT b, b_n, a, a_n FROM shorter UNION ALL
+        SELECT DISTINCT x.word, x.n, y.word, y.n FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+    best AS (
+        SELECT word, count(*) AS n_near, max(other_n) AS top, min(other) FILTER (WHERE other_n = most) AS other
+        FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS most FROM near) GROUP BY word),
+    formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN other END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+        FROM words w LEFT JOIN best USING (word)),
+    followed AS (
+        SELECT word, word AS root, form AS next FROM formed UNION ALL
+        SELECT f.word, f.next, t.form FROM followed f JOIN formed t ON f.next = t.word)
+    SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN followed r ON f.word = r.word AND r.next IS NULL"""
+
 _FOLDED = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -166,12 +207,6 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
         merkle.shown(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
-#: CRC-32 of ASCII or Latin-1 text: eight shifts for every byte of its UTF-8.
-_CRC = """xor(4294967295, list_reduce(
-        list_prepend(4294967295::BIGINT, flatten(list_transform({bytes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
-        lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END))"""
-
-
 def _merkle_sql(levels: int = 6, fanout: int = 16) -> str:
     """Trees of up to ``fanout ** levels`` leaves a source, and as many sources."""
     steps = ["""
