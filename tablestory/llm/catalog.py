@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack
 from . import merkle, pii, quality
+from .repeats import remove_repeats
 from .spelling import spelling_variants
 from .url_filter import judge_urls
 from .warc import archive_pages
@@ -150,6 +151,26 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+@query
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(_table(spark, folder, "documents"), finish=lambda kept: kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
+
+
+SQL["op11_repeats"] = r"""
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS run FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM split)),
+    firsts AS (SELECT run, min(doc_id) AS least FROM windows GROUP BY run),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (run) WHERE least < doc_id),
+    flat AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM split),
+    kept AS (
+        SELECT f.doc_id, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY f.k) FILTER (WHERE g.k IS NULL) AS left_over
+        FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.k = g.k GROUP BY f.doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id)"""
+
+
 @query
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(_table(spark, folder, "documents"), delete_every=97)

@@ -19,17 +19,28 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *error) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         delete(self.spark, self.folder)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def keep_by(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """Like ``keep``, in buckets by a column, so that grouping and joining by it need no shuffle of this frame."""
+        buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+        table = f"{self.folder.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
+        self.tables.append(table)
+        df.write.bucketBy(buckets, column).options(path=f"{self.folder}/{name}", compression="zstd").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.folder}/{name}")
 

@@ -92,7 +92,7 @@ class Words:
         return self.hashes[self.bounds[row - self.first]:self.bounds[row - self.first + 1]]
 
 
-def _piece(data: np.ndarray, edges: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, edges: np.ndarray, gaps: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of some bytes; edges: where a new row begins."""
     n = len(data)
     up, down = _power(n + 1)
@@ -104,15 +104,15 @@ def _piece(data: np.ndarray, edges: np.ndarray, gaps: np.ndarray) -> tuple[np.nd
         starts = np.flatnonzero(word[1:] & (~word[:-1] | cut))
         ends = np.flatnonzero(word[:-1] & (~word[1:] | cut))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_OF[data] * up[:n], out=sums[1:])
+        np.cumsum(byte[data] * up[:n], out=sums[1:])
         found = (sums[ends] - sums[starts]) * down[starts]
         return starts, ends, mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES, gaps: np.ndarray = SPACE) -> Iterator[Words]:
+def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES, gaps: np.ndarray = SPACE, lower: bool = True) -> Iterator[Words]:
     """The words of a text column, group by group; starts and ends are byte places in the column's data.
 
-    ``gaps`` tells which bytes part words.
+    ``gaps`` tells which bytes part words; without ``lower``, A-Z differ from a-z.
     """
     data, offsets = plain(column)
     for first, last in groups(offsets, limit):
@@ -126,7 +126,7 @@ def words(column: pa.Array | pa.ChunkedArray, limit: int = GROUP_BYTES, gaps: np
                     spaces = np.flatnonzero(gaps[data[to:to + limit]])
                     to = to + int(spaces[0]) if len(spaces) else min(high, to + limit)
             edges = offsets[first:last + 1] - at if to == high and at == low else np.zeros(0, np.int64)
-            starts, ends, found = _piece(data[at:to], edges, gaps)
+            starts, ends, found = _piece(data[at:to], edges, gaps, _BYTE_OF if lower else _BYTE)
             parts.append((starts + at, ends + at, found))
             at = to
             if low == high:
