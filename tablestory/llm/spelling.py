@@ -203,7 +203,10 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 def _routed(vocabulary: DataFrame, shard_words: int) -> DataFrame:
-    """Every word once for each half it may be found by, with the shard; ``asked`` where the half is its own."""
+    """Every word once for each half it may be found by; ``asked`` where the half is its own.
+
+    A half in slices is ``alone``: its slices and blocks share no shard with others, so no search meets a word twice.
+    """
     m = F.length("word")
     sides = [(0, F.col("word"), [F.floor((m - 1) / 2), F.floor((m + 1) / 2)], F.floor(m / 2)),
              (1, F.reverse("word"), [F.floor(m / 2), F.floor((m + 2) / 2)], F.floor((m + 1) / 2))]
@@ -220,8 +223,8 @@ def _routed(vocabulary: DataFrame, shard_words: int) -> DataFrame:
         F.transform(every, lambda b: F.struct(F.lit(True).alias("listed"), F.lit(False).alias("asked"), own.alias("slice"), b.alias("block"))),
         F.when(F.col("asked"), F.transform(every, lambda s: F.struct(F.lit(False).alias("listed"), F.lit(True).alias("asked"), s.alias("slice"), own.alias("block"))))
         .otherwise(F.filter(both, lambda x: F.lit(False))))
-    return rows.select("side", "half", "word", "n", F.explode(F.when(F.col("slices") > 1, spread).otherwise(both)).alias("r")).select(
-        "side", "half", "word", "n", "r.*")
+    return rows.select("side", "half", F.when(F.col("slices") > 1, F.col("half")).alias("alone"), "word", "n", F.explode(
+        F.when(F.col("slices") > 1, spread).otherwise(both)).alias("r")).select("side", "half", "alone", "word", "n", "r.*")
 
 
 def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -233,7 +236,7 @@ def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
     shards = max(1, -(-4 * vocabulary.count() // shard_words))
     rows = _routed(vocabulary, shard_words)
     shard = 2 * F.pmod(F.xxhash64("half", "slice", "block"), F.lit(shards)) + F.col("side")
-    found = rows.select(shard.alias("shard"), "side", "word", "n", "listed", "asked").groupBy("shard").applyInArrow(
+    found = rows.select(shard.alias("shard"), "alone", "slice", "block", "side", "word", "n", "listed", "asked").groupBy("shard", "alone", "slice", "block").applyInArrow(
         _search, "word string, n_near bigint, near_n bigint, near string")
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best"))
     return found.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.n")).alias("near_n"))
