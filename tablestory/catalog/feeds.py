@@ -224,7 +224,16 @@ def _requests(t):
                            pick(F.col("event_id"), "consumed", "released", "consumed").alias("outcome"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS m, CASE event_id % 3 WHEN 1 THEN 'released' ELSE 'consumed' END AS outcome,
+    row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+  a AS (SELECT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS verdict, NULL::BIGINT AS last, 0::BIGINT AS consumed, []::BIGINT[] AS recent FROM r GROUP BY 1 UNION ALL
+    SELECT event_type, n, event_id, verdict, CASE WHEN verdict = 'ADMITTED' THEN m ELSE last END, CASE WHEN verdict = 'ADMITTED' AND outcome = 'consumed' THEN consumed + 1 ELSE consumed END,
+      CASE WHEN verdict = 'ADMITTED' AND outcome = 'consumed' THEN list_append(recent, m) ELSE recent END
+    FROM (SELECT r.event_type, r.n, r.event_id, r.m, r.outcome, a.last, a.consumed, list_filter(a.recent, lambda x: x >= r.m - 600000) AS recent,
+        CASE WHEN r.m - a.last < 90000 THEN 'CADENCE_LIMIT' WHEN a.consumed >= 5000 THEN 'REQUEST_LIMIT' WHEN len(list_filter(a.recent, lambda x: x >= r.m - 600000)) >= 2 THEN 'RATE_LIMIT'
+          WHEN a.consumed + 1 > 5000 THEN 'SPEND_LIMIT' ELSE 'ADMITTED' END AS verdict
+      FROM a JOIN r ON r.event_type = a.event_type AND r.n = a.n + 1))
+  SELECT event_id, event_type, verdict FROM a WHERE n > 0""")
 def admit(t):
     limits = {"max_requests_per_window": 2, "rate_window_ms": 600_000, "max_requests": 5_000, "max_spend_cents": 5_000}
     return K.admit(_requests(t), "event_type", "at_ms", ["event_id"], limits, "outcome").select("event_id", "event_type", "verdict")

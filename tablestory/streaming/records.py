@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators.ordering import Running, running
+from .budgets import Budget, admit  # noqa: F401  part of the records
 
 
 def state_hash(*fields: Column | str) -> Column:
@@ -73,91 +73,6 @@ def stricter_limits(configurations: DataFrame, scope: str) -> DataFrame:
     )
 
 
-class Budget:
-    """What a scope has used so far. A refused request changes nothing."""
-
-    def __init__(self, limits: dict, used: tuple | None = None):
-        self.limits = limits
-        self.last, self.consumed, self.active, self.recent = used or (None, 0, 0, [])
-
-    def used(self) -> tuple:
-        return self.last, self.consumed, self.active, list(self.recent)
-
-    def verdict(self, at: int) -> str:
-        l = self.limits
-        if self.last is not None and at - self.last < l["cadence_ms"]:
-            return "CADENCE_LIMIT"
-        if self.consumed + self.active >= l["max_requests"]:
-            return "REQUEST_LIMIT"
-        self.recent = [t for t in self.recent if t >= at - l["rate_window_ms"]]
-        if len(self.recent) + self.active >= l["max_requests_per_window"]:
-            return "RATE_LIMIT"
-        if (self.consumed + self.active + 1) * l["cost_cents"] > l["max_spend_cents"]:
-            return "SPEND_LIMIT"
-        return "ADMITTED"
-
-    def admit(self, at: int, outcome: str | None) -> None:
-        self.last = at
-        if outcome == "consumed":
-            self.consumed += 1
-            self.recent.append(at)
-        elif outcome != "released":
-            self.active += 1
-
-    def decide(self, times: np.ndarray, outcomes) -> np.ndarray:
-        """Verdicts of requests in time order; runs of equal verdicts are filled at once."""
-        verdicts = np.empty(len(times), dtype=object)
-        i = 0
-        while i < len(times):
-            at = int(times[i])
-            verdict = self.verdict(at)
-            if verdict == "ADMITTED":
-                self.admit(at, outcomes[i])
-                verdicts[i] = verdict
-                i += 1
-                continue
-            until = None  # the moment from which the verdict may change
-            if verdict == "CADENCE_LIMIT":
-                until = self.last + self.limits["cadence_ms"]
-            elif verdict == "RATE_LIMIT" and self.recent:
-                until = min(self.recent) + self.limits["rate_window_ms"] + 1
-            stop = len(times) if until is None else max(i + 1, int(np.searchsorted(times, until, side="left")))
-            verdicts[i:stop] = verdict
-            i = stop
-        return verdicts
-
-
-def admit(
-    requests: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None,
-    outcome: str | None = None,
-) -> DataFrame:
-    """Add ``verdict`` to every request: ADMITTED, or the limit that refused it.
-
-    Decisions of a scope depend on earlier decisions, so its requests are read
-    in order by one task, but as a stream of sorted batches: what is held is
-    the state of the current scope, never its rows. ``outcome`` names a column
-    with consumed/released for admitted requests; others stay reserved.
-    """
-    limits = {**fixed.FORECAST_LIMITS, **(limits or {})}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", verdict string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, budget = object(), None
-        for pdf in batches:
-            verdicts = np.empty(len(pdf), dtype=object)
-            scopes = pdf[scope].to_numpy()
-            starts = np.flatnonzero(np.r_[True, scopes[1:] != scopes[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(pdf)]):
-                if scopes[a] != current:
-                    current, budget = scopes[a], Budget(limits)
-                ends = pdf[outcome].to_numpy()[a:b] if outcome else [None] * (b - a)
-                verdicts[a:b] = budget.decide(pdf[at_ms].to_numpy()[a:b], ends)
-            yield pdf.assign(verdict=verdicts)
-
-    ordered = requests.repartition(scope).sortWithinPartitions(scope, at_ms, *order_by)
-    return ordered.mapInPandas(run, schema)
-
-
 def admit_stream(
     requests: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None
 ) -> DataFrame:

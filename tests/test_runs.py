@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablestory.operators import proposals as Q, scoring as R
-from tablestory.streaming import feed as L, records as K
+from tablestory.streaming import budgets, feed as L, records as K
 
 
 def test_a_run_resumes_where_it_stopped(spark):
@@ -169,6 +169,51 @@ def test_admit_over_scopes_and_batches(spark):
         assert [found[m[0]] for m in own] == plain_budget([(m[2], m[3]) for m in own], LIMITS)
 
 
+@pytest.mark.parametrize("change", [
+    {}, {"cadence_ms": 400, "max_requests": 10**6, "max_spend_cents": 10**6}, {"max_requests": 10**6, "max_spend_cents": 10**6},
+    {"cadence_ms": 300, "rate_window_ms": 300, "max_requests_per_window": 1, "max_requests": 17}, {"cadence_ms": 0, "max_spend_cents": 10**6, "max_requests": 10**6},
+])
+@pytest.mark.parametrize("open_share", [0.0, 0.02])
+def test_admit_over_ranges_of_one_scope(spark, change, open_share):
+    r = random.Random(len(change) + int(open_share * 100))
+    limits = {**LIMITS, **change}
+    made = [(i, None if r.random() < 0.2 else "hot" if r.random() < 0.8 else f"s{i % 90}", r.randint(0, 8000),
+             None if r.random() < open_share else r.choice(["consumed", "released"])) for i in range(1500)]
+    df = spark.createDataFrame(made, "id int, scope string, at bigint, outcome string").repartition(3)
+    found = {x.id: x.verdict for x in K.admit(df, "scope", "at", ["id"], limits, "outcome", ranges=12).collect()}
+    assert len(found) == len(made)
+    for scope in {m[1] for m in made}:
+        own = sorted((m for m in made if m[1] == scope), key=lambda m: (m[2], m[0]))
+        assert [found[m[0]] for m in own] == plain_budget([(m[2], m[3]) for m in own], limits)
+
+
+def test_dense_requests_need_few_rounds(monkeypatch):
+    """A request every millisecond: admissions keep the phase they began with, and every range follows from its summary."""
+    limits = {**LIMITS, "cadence_ms": 70, "rate_window_ms": 60, "max_requests": 10**6, "max_spend_cents": 10**6}
+    scopes, times = {"x": [budgets.Unit(k, 1000 * k) for k in range(50)]}, {k: np.arange(1000 * k, 1000 * k + 1000) for k in range(50)}
+    rounds = []
+
+    def run(asked):
+        rounds.append(len(asked))
+        for (k, scope), state in asked.items():
+            made = K.Budget(limits, (*state[:3], list(state[3])))
+            made.decide(times[k], ["consumed"] * 1000)
+            ended = made.used()
+            yield k, scope, state, (*ended[:3], tuple(ended[3])), budgets.Steps.of(times[k], np.ones(1000, bool), budgets.waits(limits))
+
+    entered = budgets._entered(scopes, limits, run)
+    assert rounds == [50]
+    whole = K.Budget(limits)
+    for k in range(50):
+        last, consumed, active, _ = entered[k, "x"]
+        assert (last, consumed, active) == ((whole.last if whole.last is not None and 1000 * k - whole.last < 70 else None), whole.consumed, 0)
+        whole.decide(times[k], ["consumed"] * 1000)
+
+
+def test_admit_of_an_empty_table(spark):
+    assert K.admit(spark.createDataFrame([], "id int, scope string, at bigint"), "scope", "at", ["id"]).count() == 0
+
+
 def test_keys_do_not_collide(spark):
     df = spark.createDataFrame([("a|1", "b", None), ("a", "1|b", None), ("a", "b", "")], "g string, e string, p string")
     keys = [r.k for r in df.select(K.idempotency_key(F.col("g"), F.col("e"), F.col("p"), F.lit("s")).alias("k")).collect()]
