@@ -7,8 +7,11 @@ parsed once per different value instead of once per row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import cells, fixed
@@ -18,7 +21,10 @@ from ..plans.kinds import Field
 from .ordering import previous
 from .statistics import pearson
 
+#: Texts beyond this length are grouped by their hash; what they say is read from the whole cell beforehand.
 _LONG_TEXT = 256
+#: Pairs of columns that share one aggregate of sketches, and the slack of a sketch's count (six standard errors).
+_PAIRS_AT_ONCE, _SLACK = 64, 1.1
 _TOP = 24
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -52,12 +58,21 @@ def _families(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     return found
 
 
-def value_counts(df: DataFrame, columns: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """(column, value, n[, first_row]): how often each present value of like columns occurs.
+def _read_text(text: Column) -> Column:
+    """What the text of a cell says: a flag, a number with its unit, the parts of a date."""
+    number = cells.as_number(text)
+    return F.struct(
+        cells.as_flag(text).isNotNull().alias("flag"), number.alias("num"), F.when(number.isNotNull(), cells.number_unit(text)).alias("unit"),
+        cells.date_parts(text).alias("parts"), cells.date_first_part(text).alias("first_part"), cells.has_clock(text).alias("clock"))
+
+
+def value_counts(df: DataFrame, columns: list[str], order_by: list[str] | None = None, read: bool = False) -> DataFrame:
+    """(column, value, n[, first_row][, read]): how often each present value of like columns occurs.
 
     One pre-aggregated shuffle for all of them. Numbers and moments are
     counted as such; very long texts are counted by their SHA-256, which keeps
-    the shuffle small.
+    the shuffle small. With ``read``, these carry what the whole text says, and
+    of short ones it is read once per different value.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
 
@@ -74,10 +89,17 @@ def value_counts(df: DataFrame, columns: list[str], order_by: list[str] | None =
         return text
 
     order = [F.struct(*order_by).alias("__row")] if order_by else []
-    flat = df.select(*order, *[value(c).alias(c) for c in columns])
-    long = flat.unpivot(["__row"] if order_by else [], columns, "column", "value").where("value is not null")
+    def both(c: str) -> Column:
+        text = cell_text(c, types[c])
+        return F.struct(value(c).alias("value"), F.when(F.length(text) > _LONG_TEXT, _read_text(text)).alias("read"))
+
+    flat = df.select(*order, *[(both(c) if read else value(c)).alias(c) for c in columns])
+    long = flat.unpivot(["__row"] if order_by else [], columns, "column", "cell")
+    long = long.select(*(["__row"] if order_by else []), "column", *(["cell.value", "cell.read"] if read else [F.col("cell").alias("value")]))
     first = [F.min("__row").alias("first_row")] if order_by else []
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), *first)
+    keys = ["column", "value"] + (["read"] if read else [])
+    counted = long.where("value is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
+    return counted.withColumn("read", F.coalesce("read", _read_text(F.col("value")))) if read else counted
 
 
 def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -174,6 +196,55 @@ def restatements(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     )
 
 
+def near_pairs(df: DataFrame, pairs: dict[tuple[str, str], int]) -> list[tuple[str, str]]:
+    """The pairs of columns that may restate each other; ``pairs`` gives the different values of either column.
+
+    One sketch of the different value pairs each, many pairs in one aggregate: rows are never multiplied.
+    """
+    found, names = [], list(pairs)
+    for at in range(0, len(names), _PAIRS_AT_ONCE):
+        some = names[at:at + _PAIRS_AT_ONCE]
+        counts = df.agg(*[
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.xxhash64(a, b)), F.lit(12))).alias(f"p{k}")
+            for k, (a, b) in enumerate(some)]).first()
+        found += [p for p, n in zip(some, counts) if (n or 0) <= pairs[p] * _SLACK + 1]
+    return found
+
+
+def flag_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``restatements`` of all pairs of flag columns, from the four counts of yes and no.
+
+    A task adds up the products of its columns as matrices and sends one row per pair.
+    """
+    k = len(columns)
+    low, high = np.triu_indices(k, 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yes, known = np.zeros((k, k)), np.zeros((k, k))
+        mixed = np.zeros((k, k))
+        for batch in batches:
+            there = np.stack([np.asarray(c.is_valid()) for c in batch.columns], axis=1).astype(np.float64)
+            true = np.stack([np.asarray(c.fill_null(False)) for c in batch.columns], axis=1).astype(np.float64)
+            yes, known, mixed = yes + true.T @ true, known + there.T @ there, mixed + true.T @ there
+        counts = [yes[low, high], mixed[low, high] - yes[low, high], mixed[high, low] - yes[low, high]]
+        counts.append(known[low, high] - sum(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (low, high, *counts)], ["a", "b", "yy", "yn", "ny", "nn"])
+
+    made = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
+        products, "a bigint, b bigint, yy bigint, yn bigint, ny bigint, nn bigint")
+    cells_ = ["yy", "yn", "ny", "nn"]
+    sums = made.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in cells_])
+    name = F.array(*map(F.lit, columns))
+
+    def values(*sides: str) -> Column:
+        return sum(((F.expr(side) > 0).cast("int") for side in sides), F.lit(0))
+
+    different = values(*cells_)
+    return sums.select(
+        name[F.col("a").cast("int")].alias("first"), name[F.col("b").cast("int")].alias("second"), F.expr("yy + yn + ny + nn").alias("paired"),
+        ((different == values("yy + yn", "ny + nn")) & (different == values("yy + ny", "yn + nn"))).alias("bijective"))
+
+
 # --- the whole table ----------------------------------------------------------------------
 @dataclass
 class TableProfile:
@@ -244,7 +315,8 @@ def _column_facts(df: DataFrame, order_by: list[str]) -> DataFrame:
     """One row of facts per column; only text is parsed, once per different value."""
     facts = None
     for family, columns in _families(df, df.columns).items():
-        counts = value_counts(df, columns, order_by if family == "string" else None)
+        text = family == "string"
+        counts = value_counts(df, columns, order_by if text else None, read=text)
         part = {"string": _text_facts, "timestamp_ntz": _moment_facts}.get(family, _number_facts)(counts, bool(order_by))
         facts = part if facts is None else facts.unionByName(part)
     return facts
@@ -301,15 +373,11 @@ def _moment_facts(counts: DataFrame, ordered: bool) -> DataFrame:
 
 
 def _text_facts(counts: DataFrame, ordered: bool) -> DataFrame:
-    v, n = F.col("value"), F.col("n")
+    n = F.col("n")
     # Staged, so that each step is computed once per different value.
-    parsed = counts.withColumns({
-        "flag": cells.as_flag(v).isNotNull(), "num": cells.as_number(v), "parts": cells.date_parts(v),
-        "first_part": cells.date_first_part(v), "raw_unit": cells.number_unit(v),
-    }).withColumns({
+    parsed = counts.select("column", "n", *(["first_row"] if ordered else []), "read.*").withColumns({
         "month_first": cells.moment_of(F.col("parts"), False), "day_first": cells.moment_of(F.col("parts"), True),
         "compact": cells.compact_date(F.col("num")),
-        "unit": F.when(F.col("num").isNotNull(), F.col("raw_unit")),
     })
     # The unit is the one met first in row order; without an order, the most frequent one.
     if ordered:
@@ -321,7 +389,7 @@ def _text_facts(counts: DataFrame, ordered: bool) -> DataFrame:
         *_number_columns(F.col("num"), n, F.col("flag")),
         unit.alias("unit"),
         F.coalesce(F.max("first_part") > 12, F.lit(False)).alias("day_first"),
-        F.coalesce(F.bool_or(cells.has_clock(v)), F.lit(False)).alias("clock"),
+        F.coalesce(F.bool_or("clock"), F.lit(False)).alias("clock"),
         _calendar(F.col("compact"), n).alias("compact"), _calendar(_year_start(F.col("num")), n).alias("year"),
         _calendar(F.col("month_first"), n).alias("mdy"), _calendar(F.col("day_first"), n).alias("dmy"),
     )
@@ -428,20 +496,22 @@ def _add_labels(df: DataFrame, profile: TableProfile) -> None:
 
 
 def _drop_restatements(df: DataFrame, profile: TableProfile) -> None:
+    """Of two columns that say the same thing, the one that reads worse becomes text."""
     grouping = [f for f in profile.fields if f.kind in kinds.GROUPABLE]
-    pairs = [
-        (a, b) for i, a in enumerate(grouping) for b in grouping[i + 1:] if a.distinct == b.distinct
-    ]
+    pairs = {
+        (a.name, b.name): (a, b) for i, a in enumerate(grouping) for b in grouping[i + 1:] if a.distinct == b.distinct
+    }
     if not pairs:
         return
-    typed = profile.typed(df, list({f.name for p in pairs for f in p}))
-    found = set()
-    needed = {(a.name, b.name): max(4, min(a.present, b.present) * 0.9) for a, b in pairs}
-    for row in restatements(typed, list(needed)).collect():
-        pair = (row["first"], row["second"])
-        if row.bijective and row.paired >= needed[pair]:
-            found.add(pair)
-    kinds.drop_restatements(profile.fields, found)
+    typed = profile.typed(df, list(dict.fromkeys(c for p in pairs for c in p)))
+    flags = [f.name for f in grouping if f.kind == "flag"]
+    near = near_pairs(typed, {p: a.distinct for p, (a, b) in pairs.items() if not (a.kind == b.kind == "flag")})
+    rows = flag_pairs(typed, flags).collect() if len(flags) > 1 else []
+    rows += restatements(typed, near).collect() if near else []
+    same = {(r["first"], r["second"]): r.paired for r in rows if r.bijective}
+    for pair, (a, b) in pairs.items():
+        if "text" not in (a.kind, b.kind) and same.get(pair, 0) >= max(4, min(a.present, b.present) * 0.9):
+            kinds.worse(a, b).kind = "text"
 
 
 # --- shape of a table -----------------------------------------------------------------------

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from tablestory.operators.profile import profile_table, schema_summary, table_shape
+from tablestory.operators.profile import flag_pairs, near_pairs, profile_table, restatements, schema_summary, table_shape
 
 
 def kinds(df, order_by=("__n",)):
@@ -99,6 +99,41 @@ def test_restatements(rows):
                          "player_name": "category", "sex": "category"}
 
 
+@pytest.mark.parametrize("blanks", [0, 3, 300])
+def test_padded_cells_keep_their_kind(rows, blanks):
+    pad = " " * blanks
+    p = profile_table(rows([{
+        "cost": f"{pad}${i}.25{pad}", "paid": pad + "yes" if i % 3 else "no" + pad, "day": f"{pad}2024-01-{i % 28 + 1:02d}{pad}",
+        "seen": f"{i % 12 + 13}/01/2024 10:3{i % 10}{pad}", "exact": "1." + "0" * blanks + f"{i}"} for i in range(40)]), ["__n"])
+    assert [(f.name, f.kind) for f in p.fields[:5]] == [("cost", "measure"), ("paid", "flag"), ("day", "time"), ("seen", "time"), ("exact", "measure")]
+    assert p.field("cost").unit == "$" and p.field("seen").day_first and p.field("seen").has_clock
+
+
+def test_flags_are_paired_without_more_rows(spark):
+    import random
+
+    r = random.Random(5)
+    made = [[r.choice([True, False, None]) for _ in range(56)] for _ in range(200)]
+    made = [[*row, row[0], None if row[1] is None else not row[1], True, None] for row in made]
+    names = [f"f{i}" for i in range(60)]
+    df = spark.createDataFrame(made, ", ".join(f"{c} boolean" for c in names))
+    found = flag_pairs(df, names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    got = {(x["first"], x["second"]): (x.paired, x.bijective) for x in found.collect()}
+    assert len(got) == 60 * 59 // 2
+    for x in restatements(df, [p for p in got if p[0] in ("f0", "f1", "f58") or p[1] in ("f57", "f59")]).collect():
+        assert got[x["first"], x["second"]] == (x.paired, x.bijective)
+    assert got["f0", "f56"][1] and got["f1", "f57"][1] and got["f0", "f59"][0] == 0
+
+
+def test_near_pairs_hold_every_restatement(spark):
+    df = spark.createDataFrame([(i % 7, f"k{i % 7}", i % 5, None if i % 11 == 0 else f"x{i % 7}", i, f"{i}") for i in range(3000)], "a int, b string, c int, d string, e int, f string")
+    distinct = {"a": 7, "b": 7, "c": 5, "d": 7, "e": 3000, "f": 3000}
+    pairs = {(x, y): min(distinct[x], distinct[y]) for x in distinct for y in distinct if x < y}
+    assert near_pairs(df, pairs) == [("a", "b"), ("a", "d"), ("b", "d"), ("e", "f")]
+
+
 def test_calendar_labels(rows):
     months = ["March", "January", "February", "April"]
     field = profile_table(rows([{"month": months[i % 4]} for i in range(24)])).field("month")
