@@ -64,7 +64,15 @@ def coerce(t):
 def csv_round_trip(t):
     path = scratch(t.spark)
     C.write_csv(t.customer, path)
-    return rounded(C.load_table(t.spark, path, sep=",", multi_line=False), "c_acctbal")
+    return rounded(C.load_table(t.spark, path, sep=","), "c_acctbal")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS chars, sha256(replace(text, chr(13), '')) AS text_hash, lang, source FROM documents""")
+def csv_quoted_large(t):
+    path = scratch(t.spark)
+    C.write_csv(t.documents.select("doc_id", "text", "lang", "source"), path)
+    read = C.read_csv(t.spark, path)
+    return read.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("text_hash"), "lang", "source")
 
 
 @query("""SELECT CASE WHEN commas >= greatest(tabs, semis, bars) AND commas > 0 THEN ',' WHEN tabs >= greatest(semis, bars) AND tabs > 0 THEN '\t'

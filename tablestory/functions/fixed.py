@@ -11,6 +11,7 @@ FALSE_TOKENS = ("false", "no", "n", "f")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 DELIMITERS = (",", "\t", ";", "|")
+NOT_DELIMITED = r"(?i)^\s*<(!doctype\s+html|html|head|body|script|div)\b|^%PDF"
 WHITESPACE = " \t\n\r\f\u000b\u00a0\ufeff"
 
 # --- column names (matched without regard to case) ---------------------------

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import cells, fixed
+from ..session import pinned
+from . import quoted_lines
 
 
 class TableError(ValueError):
@@ -46,14 +50,33 @@ def tidy_header(names: list[str]) -> list[str]:
     return tidy
 
 
+def _header(text: str, sep: str) -> list[str]:
+    return tidy_header(next(csv.reader(io.StringIO(text.lstrip("\ufeff")), delimiter=sep), []))
+
+
+def _reject(found: DataFrame) -> tuple[bool, str]:
+    """Whether lines break inside quotes, and the first line, of files that are delimited text."""
+    head = F.decode(F.min(F.when(F.col("start") == 0, F.col("head"))), "UTF-8")
+    seen = found.agg(
+        F.bool_or("breaks").alias("breaks"), F.bool_or("spoilt").alias("spoilt"), F.sum("filled").alias("filled"), head.alias("head"),
+        F.bool_or(F.decode("head", "UTF-8").rlike(fixed.NOT_DELIMITED)).alias("other")).first()
+    if seen.spoilt or seen.other:
+        raise TableError("The file is not delimited text")
+    if not seen.filled:
+        raise TableError("The file has no data rows")
+    return bool(seen.breaks), seen.head
+
+
 def read_csv(
-    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True,
+    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None,
     required: list[str] = (), row_index: str | None = None,
 ) -> DataFrame:
     """Read delimited text (plain or gzip) as strings: short rows padded, blank rows dropped.
 
-    ``multi_line`` allows line breaks inside quotes; without it large files are
-    split between tasks. ``row_index`` adds the position of each record.
+    A first pass over the lines rejects HTML, NUL bytes and text that is not UTF-8, and finds out whether
+    quoted fields hold line breaks; such files are still read in blocks, by many tasks, and the breaks
+    become line feeds. ``multi_line`` says what the pass would find. No data rows are an error. ``row_index``
+    adds a number that grows with the place in a file.
     """
     if sep is None:
         first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1)
@@ -61,23 +84,33 @@ def read_csv(
         if found is None:
             raise TableError("The file has no data rows")
         sep = found.delimiter
-    raw = spark.read.csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, inferSchema=False, enforceSchema=True,
-    )
-    names = tidy_header([c.lstrip("﻿") for c in raw.columns])
+    found = pinned(quoted_lines.blocks(spark, path, sep))
+    breaks, head = _reject(found)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if breaks if multi_line is None else multi_line:
+        records = quoted_lines.records(spark, path, sep, found)
+        names = _header(records.where("first").agg(F.min("record").cast("string").alias("header")).first().header or "", sep)
+        columns = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = F.from_csv(F.col("record").cast("string"), columns, {**options, "lineSep": "\x01"})
+        df = records.where("NOT first").select((F.col("start") + F.col("k")).alias("__at"), parsed.alias("row"))
+        df = df.select(*[F.col(f"row.c{i}").alias(n) for i, n in enumerate(names)], F.col("__at").alias(row_index or "__at"))
+        df = df if row_index else df.drop("__at")
+    else:
+        names = _header(head, sep)
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options).toDF(*names)
+        if row_index:
+            df = df.withColumn(row_index, F.monotonically_increasing_id())
     missing = [c for c in required if c not in names]
     if missing:
         raise TableError(f"Required columns are missing: {', '.join(missing)}")
-    df = raw.toDF(*names)
     filled = None
     for c in names:
         here = F.length(F.trim(F.col(f"`{c}`"))) > 0
         filled = here if filled is None else filled | here
     df = df.where(F.coalesce(filled, F.lit(False)))
-    if row_index:
-        # Increases with the position in the file; consecutive only inside a split.
-        df = df.withColumn(row_index, F.monotonically_increasing_id())
+    if df.isEmpty():
+        raise TableError("The file has no data rows")
     return df
 
 

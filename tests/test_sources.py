@@ -1,9 +1,11 @@
+import csv
 import gzip
+import random
 
 import pytest
 
 from tablestory.operators import jobs as J
-from tablestory.sources import tables as S, text_tables as C
+from tablestory.sources import quoted_lines as Q, tables as S, text_tables as C
 
 
 def put(tmp_path, text, name="t.csv"):
@@ -18,6 +20,75 @@ def test_quotes_breaks_and_padding(spark, tmp_path):
     assert sorted(tuple(r) for r in df.collect()) == [("a, b", "1", "two\nlines"), ('say "hi"', "2", None)]
 
 
+@pytest.mark.parametrize("text", [
+    "", " \n\n", "a,b\n", "a,b\n,,\n \n", "<html><body>not csv</body></html>", "  <!DOCTYPE html>\n<p>1,2", "%PDF-1.7\n1,2", "a,b\n1,\0\n", b"a,b\n1,\xff\xfe\n", "a,A\n1,2", "a,,c\n1,2,3"])
+def test_what_is_not_a_table(spark, tmp_path, text):
+    path = tmp_path / "t.csv"
+    path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    with pytest.raises(C.TableError):
+        C.read_csv(spark, str(path))
+
+
+def test_unclosed_quotes_end_with_the_file(spark, tmp_path):
+    assert [tuple(r) for r in C.read_csv(spark, put(tmp_path, 'a,b\n1,2\n"unclosed,value')).collect()] == [("1", "2"), ("unclosed,value", None)]
+
+
+def split(record, sep):
+    """Fields of a record, a character at a time."""
+    fields, now, inside, fresh, at = [], "", False, True, 0
+    while at < len(record):
+        c = record[at]
+        if inside and c == '"' and record[at + 1:at + 2] == '"':
+            now, at = now + c, at + 1
+        elif inside and c == '"':
+            inside = False
+        elif not inside and fresh and c == '"':
+            inside = True
+        elif not inside and c == sep:
+            fields, now, fresh, at = [*fields, now], "", True, at + 1
+            continue
+        else:
+            now += c
+        fresh, at = False, at + 1
+    return [*fields, now], inside
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_open_quotes_match_a_plain_reader(seed):
+    r = random.Random(seed)
+    for _ in range(3000):
+        line = "".join(r.choice('",;ab ""') for _ in range(r.randint(0, 12)))
+        assert Q.ends_inside(line.encode(), False, b",") == split(line, ",")[1]
+        assert Q.ends_inside(line.encode(), True, b",") == split('"' + line, ",")[1]
+
+
+@pytest.mark.parametrize("block", [40, 97, 1000, 1 << 20])
+def test_quoted_breaks_are_read_by_many_tasks(spark, tmp_path, block):
+    r = random.Random(block)
+    cells = ["plain", "x y", 'say "hi"', "two\nlines", "a, b", "many\n\n\nlines, \"q\"\n", "Été\n", "1", "stray\"s", "long " * 40 + "\nend"]
+    rows = [[str(k), *(r.choice(cells) for _ in range(2))] for k in range(300)]
+    for name, part in (("p1.csv", rows[:200]), ("p2.csv", rows[200:])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["id", "the\nfirst", "second"])
+            out.writerows(part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = Q.blocks(spark, str(tmp_path), ",")
+        assert found.count() > 100 or block > 97
+        df = C.read_csv(spark, str(tmp_path), row_index="at")
+        got = df.collect()
+        multi = spark.read.csv(str(tmp_path), header=True, quote='"', escape='"', multiLine=True)
+        assert df.rdd.getNumPartitions() > 50 or block > 97
+        assert sorted(tuple(x)[:3] for x in got) == sorted(map(tuple, multi.collect())) == sorted(map(tuple, rows))
+        for low, high in ((0, 200), (200, 300)):
+            own = sorted((x.at, int(x.id)) for x in got if low <= int(x.id) < high)
+            assert [k for _, k in own] == list(range(low, high))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("header, delimiter", [("a;b;c", ";"), ("a\tb", "\t"), ("a|b|c", "|"), ("a", ","), ('"x;y",b', ","), ("a,b;c", ",")])
 def test_delimiters(spark, header, delimiter):
     assert C.sniff_delimiter(spark.createDataFrame([(header,)], "value string")).first().delimiter == delimiter
