@@ -236,7 +236,10 @@ def neighbours(vocabulary: DataFrame, shard_words: int = SHARD_WORDS) -> DataFra
     shards = max(1, -(-4 * vocabulary.count() // shard_words))
     rows = _routed(vocabulary, shard_words)
     shard = 2 * F.pmod(F.xxhash64("half", "slice", "block"), F.lit(shards)) + F.col("side")
-    found = rows.select(shard.alias("shard"), "alone", "slice", "block", "side", "word", "n", "listed", "asked").groupBy("shard", "alone", "slice", "block").applyInArrow(
+    # Searches take far longer than their bytes suggest: a partition for each shard, however small.
+    keys = ["shard", "alone", "slice", "block"]
+    dealt = rows.select(shard.alias("shard"), "alone", "slice", "block", "side", "word", "n", "listed", "asked").repartition(2 * shards, *keys)
+    found = dealt.groupBy(*keys).applyInArrow(
         _search, "word string, n_near bigint, near_n bigint, near string")
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best"))
     return found.select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.n")).alias("near_n"))
