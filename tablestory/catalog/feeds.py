@@ -119,22 +119,63 @@ def dedupe_stream(t):
     return _finish(t, single, "dedupe")
 
 
+def _arrive(t, rows, part, write, parts: int = 5) -> None:
+    """Hand a table to a ``foreachBatch`` function in files, one micro-batch each, with a restart after the second."""
+    path, cut = scratch(t.spark), rows.withColumn("__part", part)
+    for k in range(parts):
+        cut.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+        if k in (1, parts - 1):
+            stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            sink = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-progress")
+            sink.trigger(availableNow=True).start().awaitTermination()
+
+
+_FIFTH = "event_id * 5 // (SELECT max(event_id) + 1 FROM events)"
+
+
+def _fifth(t):
+    return F.floor(F.col("event_id") * 5 / (t.events.agg(F.max("event_id")).scalar() + 1))
+
+
 @query(_VERDICT)
 def version_verdicts_stream(t):
-    states = _stream(t).select("event_id", "user_id", F.floor("value").cast("bigint").alias("version"))
-    return _finish(t, L.flag_versions_stream(states, "user_id", "version", "event_id"), "versions").select("event_id", "verdict")
+    rows, path = _versions(t), scratch(t.spark)
+    _arrive(t, rows, _fifth(t), L.flag_versions_batches(path, "user_id", "version", ["event_id"]))
+    return K.read_batches(t.spark, path, "user_id", "event_id bigint, verdict string")
 
 
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS rows FROM events WHERE ts < (SELECT date_trunc('day', max(ts) - INTERVAL 10 MINUTE) FROM events) GROUP BY 1""")
+_STEPS_SQL = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS rows FROM events GROUP BY 1"
+
+
+def _steps(t, stream):
+    path = scratch(t.spark)
+    sink = stream.writeStream.foreachBatch(L.trend_batches(path, "ts", "1 day")).option("checkpointLocation", f"{path}-progress")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    steps = K.read_stored(t.spark, path, "bucket", "bucket timestamp, rows bigint", latest=True)
+    return steps.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@query(_STEPS_SQL)
 def trend_stream(t):
-    steps = L.trend_stream(_stream(t), "ts", "1 day")
-    return _finish(t, steps, "trend").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return _steps(t, _stream(t))
 
 
-@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS rows FROM events GROUP BY 1""")
+@query(_STEPS_SQL)
 def trend_stream_all(t):
-    steps = L.trend_stream(_stream(t), "ts", "1 day", lateness=None)
-    return L.finish_steps(steps, scratch(t.spark)).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    path = scratch(t.spark)
+    for k in range(4):  # four micro-batches, times in no order
+        t.events.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(path)
+    return _steps(t, t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+@query(f"""WITH parts AS (SELECT event_id, ts, least(4, {_FIFTH} + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END) AS part FROM events),
+  tops AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM parts GROUP BY part)
+  SELECT event_id, ts FROM parts JOIN tops USING (part) WHERE ts < seen - INTERVAL 10 MINUTE""")
+def late_rows_stream(t):
+    path = scratch(t.spark)
+    behind = F.least(F.lit(4), _fifth(t) + F.when(F.col("event_id") % 20 == 0, 1).otherwise(0))  # every twentieth comes a batch late
+    _arrive(t, t.events.select("event_id", "ts"), behind, L.late_batches(path, "ts"))
+    return K.read_batches(t.spark, path, "__all", "event_id bigint, ts timestamp_ntz")
 
 
 # --- keys and stored records ---------------------------------------------------------------------------
@@ -146,11 +187,17 @@ def idempotency_key(t):
     return t.events.select("event_id", key.alias("key"))
 
 
-@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, event_id) AS n FROM events
-  WHERE event_type IN ('click', 'view')) WHERE n = 1""")
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN 0 ELSE 1 END, event_id) AS n FROM events) WHERE n = 1""")
 def put_if_absent(t):
     clicks = t.events.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    return K.put_if_absent(clicks, t.events.where("event_type = 'view'").select("user_id", "event_id"), "user_id", ["event_id"])
+    return K.put_if_absent(clicks, t.events.where("event_type <> 'click'").select("user_id", "event_id"), "user_id", ["event_id"])
+
+
+@query(f"""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_FIFTH}, ts, event_id) AS n FROM events) WHERE n = 1""")
+def put_if_absent_stream(t):
+    path = scratch(t.spark)
+    _arrive(t, t.events.select("user_id", "event_id", "event_type", "ts"), _fifth(t), K.append_new(path, "user_id", ["ts", "event_id"]))
+    return K.read_stored(t.spark, path, "user_id", "user_id bigint, event_id bigint, event_type string")
 
 
 def _records(t):
@@ -224,7 +271,7 @@ def _requests(t):
                            pick(F.col("event_id"), "consumed", "released", "consumed").alias("outcome"))
 
 
-@query("""WITH RECURSIVE r AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS m, CASE event_id % 3 WHEN 1 THEN 'released' ELSE 'consumed' END AS outcome,
+_ADMITTED = """WITH RECURSIVE r AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS m, CASE event_id % 3 WHEN 1 THEN 'released' ELSE 'consumed' END AS outcome,
     row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
   a AS (SELECT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::VARCHAR AS verdict, NULL::BIGINT AS last, 0::BIGINT AS consumed, []::BIGINT[] AS recent FROM r GROUP BY 1 UNION ALL
     SELECT event_type, n, event_id, verdict, CASE WHEN verdict = 'ADMITTED' THEN m ELSE last END, CASE WHEN verdict = 'ADMITTED' AND outcome = 'consumed' THEN consumed + 1 ELSE consumed END,
@@ -233,10 +280,21 @@ def _requests(t):
         CASE WHEN r.m - a.last < 90000 THEN 'CADENCE_LIMIT' WHEN a.consumed >= 5000 THEN 'REQUEST_LIMIT' WHEN len(list_filter(a.recent, lambda x: x >= r.m - 600000)) >= 2 THEN 'RATE_LIMIT'
           WHEN a.consumed + 1 > 5000 THEN 'SPEND_LIMIT' ELSE 'ADMITTED' END AS verdict
       FROM a JOIN r ON r.event_type = a.event_type AND r.n = a.n + 1))
-  SELECT event_id, event_type, verdict FROM a WHERE n > 0""")
+  SELECT event_id, event_type, verdict FROM a WHERE n > 0"""
+_LIMITS = {"max_requests_per_window": 2, "rate_window_ms": 600_000, "max_requests": 5_000, "max_spend_cents": 5_000}
+
+
+@query(_ADMITTED)
 def admit(t):
-    limits = {"max_requests_per_window": 2, "rate_window_ms": 600_000, "max_requests": 5_000, "max_spend_cents": 5_000}
-    return K.admit(_requests(t), "event_type", "at_ms", ["event_id"], limits, "outcome").select("event_id", "event_type", "verdict")
+    return K.admit(_requests(t), "event_type", "at_ms", ["event_id"], _LIMITS, "outcome").select("event_id", "event_type", "verdict")
+
+
+@query(_ADMITTED)
+def admit_stream(t):
+    path = scratch(t.spark)
+    days = F.least(F.floor((F.col("at_ms") - F.unix_millis(F.lit("2024-01-01").cast("timestamp"))) / (6 * 86_400_000)), F.lit(4))
+    _arrive(t, _requests(t), F.greatest(days, F.lit(0)), K.admit_batches(path, "event_type", "at_ms", ["event_id"], _LIMITS, "outcome"))
+    return K.read_batches(t.spark, path, "event_type", "event_id bigint, event_type string, verdict string")
 
 
 @query("""SELECT event_id, CASE WHEN n <= 25 THEN 'ADMITTED' ELSE 'SPEND_LIMIT' END AS verdict FROM (

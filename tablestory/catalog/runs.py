@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import normalize_text as normalized
 from ..operators import grouping as G, profile as P, proposals as Q, scoring as R
-from .common import Tables, pick, r6, rounded
+from ..streaming.stored import KeyedStore
+from .common import Tables, pick, r6, rounded, scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,6 +128,15 @@ def upsert_latest(t):
     return R.upsert_rows(old, new, ["user_id"], "event_id").select(*columns)
 
 
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def upsert_stored(t):
+    store = KeyedStore(t.spark, scratch(t.spark), "user_id")
+    for k in range(3):
+        delta = t.events.where(F.col("event_id") % 3 == k).select("user_id", "event_id", "event_type", "value")
+        R.upsert_stored(store, delta, "event_id", k)
+    return store.read(delta.schema, latest=True)
+
+
 @query("""SELECT o_orderkey, sha256('{"v":1,"dataset":"' || o_orderstatus || '","question":"Is it ' || lower(o_orderpriority) || '?","kind":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'choice","classes":["High","Low","Mid"]}' ELSE 'probability","classes":[]}' END) AS content_key FROM orders""")
 def content_key(t):
     shuffled = pick(F.col("o_orderkey"), F.array(F.lit("Mid "), F.lit("High"), F.lit("Low")), F.array(F.lit("b"), F.lit("a")),

@@ -180,6 +180,11 @@ def upsert_rows(results: DataFrame, delta: DataFrame, keys: list[str], version:
     return newest.select(*keys, "__row.*")
 
 
+def upsert_stored(store, delta: DataFrame, order: str, version: int) -> None:
+    """``upsert_rows`` into a stored run (a ``KeyedStore``): only the files of buckets with keys of the delta are written anew."""
+    store.replace(delta, version, lambda held, rows: upsert_rows(held, rows, [store.key], order))
+
+
 def completed_prefix(results: DataFrame, row: str = "row_index") -> DataFrame:
     """(completed): how many rows from 0 on have a result without a gap.
 

@@ -24,7 +24,7 @@ from ..session import pinned
 
 #: A range's summary for all states has at most so many steps; a longer one is run from its state instead.
 MOST_STEPS = 4096
-_STATE = "last bigint, consumed bigint, active bigint, recent array<bigint>"
+STATE = "last bigint, consumed bigint, active bigint, recent array<bigint>"
 
 
 class Budget:
@@ -168,13 +168,16 @@ def _left(unit: Unit, state: tuple, limits: dict) -> tuple | None:
     return None
 
 
-def _entered(scopes: dict, limits: dict, run) -> dict:
-    """The state that every range is entered with, by range and scope; ``run`` runs ranges from given states."""
-    found: dict = {}
+def _entered(scopes: dict, limits: dict, run, begun: dict | None = None) -> dict:
+    """The state that every range is entered with, by range and scope; ``run`` runs ranges from given states.
+
+    ``begun`` has the states that scopes begin with; others begin with nothing used.
+    """
+    found, begun = {}, begun or {}
     while True:
         asked: dict = {}
         for scope, units in scopes.items():
-            state, sure = (None, 0, 0, ()), True
+            state, sure = begun.get(scope, (None, 0, 0, ())), True
             for unit in units:
                 state = _seen(state, unit.first_at, limits)
                 if sure:
@@ -194,7 +197,7 @@ def _entered(scopes: dict, limits: dict, run) -> dict:
             unit.steps = unit.steps or steps
 
 
-def _carried(slim: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict) -> DataFrame | None:
+def _carried(slim: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict, states: DataFrame | None) -> DataFrame | None:
     """``(range, scope, state)`` for the scopes in more than one range, at most one row per range."""
     spark = slim.sparkSession
     order = F.struct(at_ms, *order_by)
@@ -214,7 +217,13 @@ def _carried(slim: DataFrame, scope: str, at_ms: str, order_by: list[str], limit
         scopes.setdefault(r[scope], []).append(Unit(r[RANGE], r.first_at))
     if not scopes:
         return None
-    state = f"struct<{', '.join(x.replace(' ', ':', 1) for x in _STATE.split(', '))}>"
+    begun: dict = {}
+    if states is not None:
+        spanning = names.select("__s").distinct()
+        for r in states.join(F.broadcast(spanning), F.col(scope).eqNullSafe(F.col("__s")), "left_semi").collect():
+            begun[r[scope]] = r.last, r.consumed, r.active, tuple(r.recent)
+        settled = settled and not any(x[2] for x in begun.values())
+    state = f"struct<{', '.join(x.replace(' ', ':', 1) for x in STATE.split(', '))}>"
     kind = units.schema["scope"].dataType.simpleString()
     asked_schema, ended_schema = f"range int, scope {kind}, state {state}", (
         f"range int, scope {kind}, state {state}, ended {state}, steps struct<upto:array<bigint>,last:array<bigint>,spent:array<boolean>,consumed:array<bigint>>")
@@ -238,13 +247,13 @@ def _carried(slim: DataFrame, scope: str, at_ms: str, order_by: list[str], limit
             plain = [(x.last, x.consumed, x.active, tuple(x.recent)) for x in (r.state, r.ended)]
             yield r.range, r.scope, *plain, Steps(*map(list, r.steps)) if r.steps else None
 
-    found = _entered(scopes, limits, run)
+    found = _entered(scopes, limits, run, begun)
     return spark.createDataFrame([(r, s, (*x[:3], list(x[3]))) for (r, s), x in found.items()], asked_schema)
 
 
 def admit(
     requests: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None,
-    outcome: str | None = None, ranges: int | None = None,
+    outcome: str | None = None, ranges: int | None = None, states: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``verdict`` to every request: ADMITTED, or the limit that refused it.
 
@@ -252,20 +261,23 @@ def admit(
     count for ever. ``at_ms`` has no nulls; a null scope is one like others. A scope of any size is read by
     many tasks: its rows in ``ranges`` of (scope, time), twice a partition by default. If the cadence does
     not bring two ranges' admissions together and the window decides, a scope needs as many short jobs as
-    it has ranges; otherwise two or three.
+    it has ranges; otherwise two or three. ``states`` (scope and the columns of ``STATE``) is what scopes have used before.
     """
     limits = {**fixed.FORECAST_LIMITS, **(limits or {})}
     ranged = with_ranges(requests, [scope, at_ms, *order_by], ranges)
     ended = F.col(outcome) if outcome else F.lit(None).cast("string")
     slim = ranged.select(RANGE, scope, F.col(at_ms).cast("bigint").alias(at_ms), *order_by, ended.alias("outcome"))
     slim = slim.select(*dict.fromkeys(slim.columns))
-    entered = _carried(slim, scope, at_ms, order_by, limits)
+    entered = _carried(slim, scope, at_ms, order_by, limits, states)
     if entered is None:
         rows = ranged.withColumn("__state", F.lit(None).cast("struct<last:bigint,consumed:bigint,active:bigint,recent:array<bigint>>"))
     else:
         here = (F.col(RANGE) == F.col("__r")) & F.col(scope).eqNullSafe(F.col("__s"))
         entered = entered.select(F.col("range").alias("__r"), F.col("scope").alias("__s"), F.col("state").alias("__state"))
         rows = ranged.join(F.broadcast(entered), here, "left").drop("__r", "__s")
+    if states is not None:
+        before = states.select(F.col(scope).alias("__b"), F.struct("last", "consumed", "active", "recent").alias("__begun"))
+        rows = rows.join(before, F.col(scope).eqNullSafe(F.col("__b")), "left").withColumn("__state", F.coalesce("__state", "__begun")).drop("__b", "__begun")
     own = requests.columns
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,3 +297,19 @@ def admit(
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", verdict string"
     return rows.repartition(RANGE).sortWithinPartitions(RANGE, scope, at_ms, *order_by).mapInPandas(label, schema)
+
+
+def after(states: DataFrame, verdicts: DataFrame, scope: str, at_ms: str, limits: dict | None = None, outcome: str | None = None) -> DataFrame:
+    """The states of all scopes of ``states`` or ``verdicts`` after these verdicts: scope and the columns of ``STATE``."""
+    limits = {**fixed.FORECAST_LIMITS, **(limits or {})}
+    spent = F.col(outcome) == "consumed" if outcome else F.lit(False)
+    open_ = F.coalesce(~F.col(outcome).isin("consumed", "released"), F.lit(True)) if outcome else F.lit(True)
+    times = F.col(at_ms).cast("bigint")
+    keep = max(1, min(limits["max_requests_per_window"], most_admissions(limits)))  # no more than these can fill the window
+    admitted = verdicts.where("verdict = 'ADMITTED'").groupBy(scope).agg(
+        F.max(times).alias("last"), F.count_if(spent).alias("consumed"), F.count_if(open_).alias("active"),
+        F.collect_list(F.when(spent, times)).alias("recent"))  # consumed admissions, of which the limits allow few
+    both = states.select(scope, "last", "consumed", "active", "recent").unionByName(admitted)
+    recent = F.sort_array(F.slice(F.sort_array(F.flatten(F.collect_list("recent")), False), 1, keep))
+    return both.groupBy(scope).agg(
+        F.max("last").alias("last"), F.sum("consumed").alias("consumed"), F.sum("active").alias("active"), recent.alias("recent"))

@@ -5,15 +5,11 @@ Every stream operator has a batch form that gives the same answer on stored data
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
 from ..operators.ordering import Running, row_index, running
+from .stored import Batches, KeyedStore
 
 LATENESS = "10 minutes"
 
@@ -110,42 +106,37 @@ def flag_versions(df: DataFrame, key: str, version: str, arrival: list[str]) ->
 
 
 def latest_state(df: DataFrame, key: str, version: str, arrival: list[str]) -> DataFrame:
-    """The newest state of every key; of equal versions the one that came first.
-
-    Works on a stream too (update mode): it is a plain aggregate.
-    """
+    """The newest state of every key; of equal versions the one that came first."""
     rest = [c for c in df.columns if c != key]
-    first = F.struct(F.col(version), *[(-F.col(a)).alias(f"__a{i}") for i, a in enumerate(arrival)])
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), first).alias("__row"))
-    return newest.select(key, "__row.*")
+    # Of the largest version the first arrival: the version is found first, so that arrivals of any type are compared as they are.
+    arrivals = F.struct(*[F.col(a).alias(f"__a{i}") for i, a in enumerate(arrival)])
+    first = df.groupBy(key, version).agg(F.min_by(F.struct(*[c for c in rest if c != version]), arrivals).alias("__row"))
+    newest = first.groupBy(key).agg(F.max(F.col(version)).alias(version), F.max_by("__row", F.col(version)).alias("__row"))
+    return newest.select(key, version, "__row.*").select(key, *rest)
 
 
-def flag_versions_stream(events: DataFrame, key: str, version: str, arrival: str) -> DataFrame:
-    """``flag_versions`` on a stream; the state of a key is one number.
+def flag_versions_batches(path: str, key: str, version: str, arrival: list[str]):
+    """``flag_versions`` on a stream, as a ``foreachBatch`` function: the newest version of each key goes from batch to batch.
 
-    The rows of a key in one micro-batch are put in arrival order first; the
-    rate options of the source bound how many there are.
+    Rows of a batch arrive after those of the batches before. Verdicts are read with ``records.read_batches``.
     """
-    schema = events.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", verdict string"
-
-    def flag(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else None
-        pdf = pd.concat(batches).sort_values(arrival, kind="stable").reset_index(drop=True)
-        versions = pdf[version].astype("int64")
-        before = versions.cummax().shift()
-        if newest is not None:
-            before = before.fillna(newest).clip(lower=newest)
-        verdict = pd.Series("STALE", index=pdf.index)
-        verdict[versions == before] = "SAME"
-        verdict[before.isna() | (versions > before)] = "LIVE"
-        top = int(versions.max())
-        state.update((top if newest is None else max(newest, top),))
-        yield pdf.assign(verdict=verdict)
-
-    return events.groupBy(key).applyInPandasWithState(
-        flag, out, "newest bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def write(batch: DataFrame, number: int) -> None:
+        kinds = {f.name: f.dataType for f in batch.schema.fields}
+
+        def flag(rows: DataFrame, held: DataFrame) -> DataFrame:
+            known = held.select(*[F.col(c) if c in (key, version) else F.lit(None).cast(kinds[c]).alias(c) for c in rows.columns], F.lit(0).alias("__turn"))
+            known = known.join(rows.select(key).distinct(), key, "left_semi")
+            both = known.unionByName(rows.withColumn("__turn", F.lit(1)))
+            order = ["__turn", *[f"__o{i}" for i in range(len(arrival))]]
+            # A state has no place in the arrival order; ranges are cut where all order columns have values.
+            both = both.withColumns({f"__o{i}": F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for i, c in enumerate(arrival)})
+            return flag_versions(both, key, version, order).where("__turn = 1").select(*rows.columns, "verdict")
+
+        Batches(batch.sparkSession, path, key).write(
+            batch, number, ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in (key, version)), flag,
+            lambda held, rows: held.unionByName(rows.select(key, version)).groupBy(key).agg(F.max(version).alias(version)))
+
+    return write
 
 
 def staleness(df: DataFrame, moment: str, now: Column, limit_seconds: int = fixed.STALE_AFTER_SECONDS) -> DataFrame:
@@ -163,26 +154,40 @@ def state_at(states: DataFrame, index: int, order_by: list[str]) -> DataFrame:
     return numbered.where(F.col("__place") == F.greatest(F.lit(0), F.least(F.lit(index), last))).drop("__place")
 
 
-def trend_stream(events: DataFrame, time: str, width: str, measure: str | None = None, lateness: str | None = LATENESS) -> DataFrame:
-    """Counts (and a total) per time step on a stream; rows without a time are in none.
+def trend_batches(path: str, time: str, width: str, measure: str | None = None):
+    """Counts (and a total) per time step on a stream, as a ``foreachBatch`` function: a store with one row per bucket.
 
-    In append mode a step comes out when it is over, so the last ones stay open. Without ``lateness``
-    no row is too late and all steps are kept as state; see ``finish_steps``.
+    A batch is counted by itself and added to the buckets it touches, and only their files are written anew;
+    open steps are there at once, late rows add to theirs, and no state is kept in memory. Rows without a
+    time are in none. Read with ``records.read_stored(..., latest=True)``.
     """
-    aggregates = [F.count(F.lit(1)).alias("rows")] + ([F.sum(measure).alias("total")] if measure else [])
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    stepped = (timed.withWatermark(time, lateness) if lateness else timed).groupBy(F.window(time, width)).agg(*aggregates)
-    return stepped.select(F.col("window.start").alias("bucket"), *[c for c in stepped.columns if c != "window"])
+    def write(batch: DataFrame, number: int) -> None:
+        aggregates = [F.count(F.lit(1)).alias("rows")] + ([F.sum(measure).alias("total")] if measure else [])
+        stepped = batch.withColumn(time, F.col(time).cast("timestamp")).groupBy(F.window(time, width)).agg(*aggregates)
+        steps = stepped.select(F.col("window.start").alias("bucket"), *[c for c in stepped.columns if c != "window"]).where("bucket IS NOT NULL")
+        added = [F.sum(c).alias(c) for c in steps.columns if c != "bucket"]
+        KeyedStore(batch.sparkSession, path, "bucket").replace(
+            steps, number, lambda held, rows: held.unionByName(rows).groupBy("bucket").agg(*added))
+
+    return write
 
 
-def finish_steps(steps: DataFrame, path: str) -> DataFrame:
-    """All steps of a stream at the end of its input, the open ones too, as a stored table with one row per bucket.
+def late_batches(path: str, time: str, lateness: str = LATENESS):
+    """A ``foreachBatch`` function that keeps the rows which are behind the watermark when they arrive.
 
-    Complete mode gives every bucket anew, so only the last count of each is kept. The driver holds one row per bucket.
+    The watermark of a batch is the largest time of all batches before it less ``lateness``. Rows are read
+    with ``records.read_batches`` by the key ``__all``; those that are not late are not kept.
     """
-    spark, name = steps.sparkSession, f"steps_{uuid.uuid4().hex}"
-    sink = steps.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}-state")
-    sink.trigger(availableNow=True).outputMode("complete").start().awaitTermination()
-    spark.table(name).write.parquet(path)
-    spark.catalog.dropTempView(name)
-    return spark.read.schema(steps.schema).parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        moment = F.col(time)
+
+        def late(rows: DataFrame, held: DataFrame) -> DataFrame:
+            seen = held.agg(F.max("seen")).scalar()
+            return rows.drop("__all").where(moment < seen - F.expr(f"INTERVAL {lateness}"))
+
+        top = batch.agg(F.lit(0).alias("__all"), F.max(time).cast("timestamp_ntz").alias("seen"))
+        Batches(batch.sparkSession, path, "__all", 1).write(
+            batch.withColumn("__all", F.lit(0)), number, "__all int, seen timestamp_ntz", late,
+            lambda held, _: held.unionByName(top).groupBy("__all").agg(F.max("seen").alias("seen")))
+
+    return write

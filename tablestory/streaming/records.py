@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import fixed
 from ..operators.ordering import Running, running
-from .budgets import Budget, admit  # noqa: F401  part of the records
+from .budgets import STATE as BUDGET_STATE, Budget, admit, after  # noqa: F401  part of the records
+from .stored import Batches, KeyedStore
 
 
 def state_hash(*fields: Column | str) -> Column:
@@ -33,22 +29,21 @@ def put_if_absent(stored: DataFrame, incoming: DataFrame, key: str, order_by: li
 
 
 def append_new(path: str, key: str, order_by: list[str]):
-    """A ``foreachBatch`` function that appends only keys the table does not hold yet."""
-    def write(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        rest = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("__row")).select(key, "__row.*")
-        try:
-            stored = spark.read.parquet(path).select(key)
-        except Exception as missing:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            stored = None
-        (first if stored is None else first.join(stored, key, "left_anti")).write.mode("append").parquet(path)
+    """A ``foreachBatch`` function that adds the first record of every key that the store at ``path`` does not hold.
+
+    It reads the buckets of the batch's keys only; a batch that is played again writes nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        KeyedStore(batch.sparkSession, path, key).put(batch, number, order_by)
 
     return write
 
 
+def read_stored(spark: SparkSession, path: str, key: str, schema, latest: bool = False) -> DataFrame:
+    """The rows of a keyed store, or the last version of each bucket."""
+    return KeyedStore(spark, path, key).read(schema, latest=latest)
+
+
 def replay(keys: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Answer from stored records; ``missed`` marks keys without a usable one."""
     usable = records.where("choice is not null and probabilities is not null and confidence is not null")
@@ -73,29 +68,24 @@ def stricter_limits(configurations: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def admit_stream(
-    requests: DataFrame, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None
-) -> DataFrame:
-    """``admit`` on a stream: the state of a scope is its budget."""
-    limits = {**fixed.FORECAST_LIMITS, **(limits or {})}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields) + ", verdict string"
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = None
-        if state.exists:
-            last, consumed, active, recent = state.get
-            used = (last, consumed, active, list(recent))
-        budget = Budget(limits, used)
-        # In time order within the micro-batch, which the rate options of the source bound.
-        pdf = pd.concat(batches).sort_values([at_ms, *order_by], kind="stable").reset_index(drop=True)
-        verdicts = budget.decide(pdf[at_ms].to_numpy(), [None] * len(pdf))
-        state.update(budget.used())
-        yield pdf.assign(verdict=verdicts)
-
-    return requests.groupBy(scope).applyInPandasWithState(
-        run, schema, "last bigint, consumed bigint, active bigint, recent array<bigint>", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def admit_batches(path: str, scope: str, at_ms: str, order_by: list[str], limits: dict | None = None, outcome: str | None = None):
+    """``admit`` on a stream, as a ``foreachBatch`` function: the budgets of the scopes go from batch to batch.
+
+    Requests of a later batch are not earlier than those decided. Verdicts are read with ``read_batches``.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        kind = batch.schema[scope].dataType.simpleString()
+        Batches(batch.sparkSession, path, scope).write(
+            batch, number, f"`{scope}` {kind}, {BUDGET_STATE}",
+            lambda rows, held: admit(rows, scope, at_ms, order_by, limits, outcome, states=held),
+            lambda held, rows: after(held, rows, scope, at_ms, limits, outcome))
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
+    """The rows of all finished micro-batches."""
+    return Batches(spark, path, key).read(schema)
 
 
 def settle(reservations: DataFrame, outcomes: DataFrame) -> DataFrame:

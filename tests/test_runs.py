@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablestory.operators import proposals as Q, scoring as R
 from tablestory.streaming import budgets, feed as L, records as K
+from tablestory.streaming.stored import KeyedStore
 
 
 def test_a_run_resumes_where_it_stopped(spark):
@@ -96,10 +97,21 @@ def test_versions_batch_and_stream_agree(spark, tmp_path):
         df.where(f"n div 100 = {i}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     reader = spark.readStream.schema("n int, game string, version bigint").option("maxFilesPerTrigger", 1)
     stream = reader.option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out = L.flag_versions_stream(stream, "game", "version", "n")
-    sink = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    sink.trigger(availableNow=True).start().awaitTermination()
-    assert {x.n: x.verdict for x in spark.read.parquet(str(tmp_path / "out")).collect()} == wanted
+    write = L.flag_versions_batches(str(tmp_path / "out"), "game", "version", ["n"])
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    for i in range(400, 500):  # a restart, with one more batch
+        best = newest["hot"]
+        wanted[i] = "LIVE" if i % 50 > best else "SAME" if i % 50 == best else "STALE"
+        newest["hot"] = max(best, i % 50)
+    spark.range(400, 500).selectExpr("int(id) AS n", "'hot' AS game", "id % 50 AS version").coalesce(1).write.parquet(str(tmp_path / "in" / "part=9"))
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {x.n: x.verdict for x in K.read_batches(spark, str(tmp_path / "out"), "game", "n int, verdict string").collect()} == wanted
+
+
+def test_latest_state_takes_arrivals_of_any_type(spark):
+    df = spark.createDataFrame([("a", 2, "b", "x"), ("a", 2, "a", "y"), ("a", 1, "0", "z"), ("b", 0, "q", "w")], "k string, v int, at string, what string")
+    got = {r.k: r.what for r in L.latest_state(df.withColumn("stamp", F.lit("2024-01-01").cast("timestamp")), "k", "v", ["stamp", "at"]).collect()}
+    assert got == {"a": "y", "b": "w"}
 
 
 def test_a_listing_has_as_many_records_as_asked_for(spark):
@@ -115,7 +127,35 @@ def test_first_write_wins_across_batches(spark, tmp_path):
     batch = lambda *v: spark.createDataFrame(v, "key string, at int, v string")
     write(batch(("a", 2, "late"), ("a", 1, "first"), ("b", 1, "b")), 0)
     write(batch(("a", 0, "again"), ("c", 5, "c")), 1)
-    assert {r.key: r.v for r in spark.read.parquet(path).collect()} == {"a": "first", "b": "b", "c": "c"}
+    stored = lambda: sorted((r.key, r.v) for r in K.read_stored(spark, path, "key", "key string, v string").collect())
+    assert stored() == [("a", "first"), ("b", "b"), ("c", "c")]
+    files = sorted(p.name for p in tmp_path.rglob("*.parquet"))
+    write(batch(("d", 0, "played again"), ("c", 5, "c")), 1)
+    assert stored() == [("a", "first"), ("b", "b"), ("c", "c")] and files == sorted(p.name for p in tmp_path.rglob("*.parquet"))
+    # What a failed attempt left behind does not count, and the next one replaces it.
+    batch(("e", 1, "half")).withColumns({"__b": F.lit(3), "__v": F.lit(2)}).write.partitionBy("__b", "__v").mode("append").parquet(f"{path}/rows")
+    assert stored() == [("a", "first"), ("b", "b"), ("c", "c")]
+    write(batch(("e", 1, "whole")), 2)
+    assert stored() == [("a", "first"), ("b", "b"), ("c", "c"), ("e", "whole")]
+
+
+def test_an_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    store = KeyedStore(spark, str(tmp_path), "id", 16)
+    R.upsert_stored(store, spark.range(100).selectExpr("id", "0 AS at", "'old' AS v"), "at", 0)
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    R.upsert_stored(store, spark.createDataFrame([(5, 1, "new"), (7, -1, "older"), (500, 1, "more")], "id bigint, at int, v string"), "at", 1)
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert all(after[p] == t for p, t in before.items()) and 1 <= len(after) - len(before) <= 3
+    got = {r.id: r.v for r in store.read("id bigint, at int, v string", latest=True).collect()}
+    assert got == {**{k: "old" for k in range(100)}, 5: "new", 500: "more"}
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 64, 300])
+def test_the_log_names_its_buckets(spark, tmp_path, buckets):
+    store = KeyedStore(spark, str(tmp_path), "id", buckets)
+    store.put(spark.range(1000), 3, ["id"])
+    wanted = {r[0] for r in spark.range(1000).select(store.bucket()).collect()}
+    assert set(store.log()[3]) == wanted and store.read("id bigint").count() == 1000
 
 
 LIMITS = {"cadence_ms": 50, "rate_window_ms": 400, "max_requests_per_window": 3, "max_requests": 25, "max_spend_cents": 40, "cost_cents": 2}
@@ -223,12 +263,13 @@ def test_keys_do_not_collide(spark):
 def test_admit_stream_matches_batch(spark, tmp_path):
     r = random.Random(4)
     made = sorted((r.randint(0, 5000), i, f"s{r.randint(0, 2)}") for i in range(300))
-    df = spark.createDataFrame([(i, s, at) for at, i, s in made], "id int, scope string, at bigint")
-    for part, (low, high) in enumerate([(0, 2000), (2000, 5001)]):
+    df = spark.createDataFrame([(i, s, at, r.choice(["consumed", "released"])) for at, i, s in made], "id int, scope string, at bigint, outcome string")
+    for part, (low, high) in enumerate([(0, 700), (700, 2000), (2000, 2100), (2100, 5001)]):
         df.where((F.col("at") >= low) & (F.col("at") < high)).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
     reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-    out = K.admit_stream(reader.parquet(str(tmp_path / "in")), "scope", "at", ["id"], LIMITS)
-    sink = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    sink.trigger(availableNow=True).start().awaitTermination()
-    batch = {x.id: x.verdict for x in K.admit(df, "scope", "at", ["id"], LIMITS).collect()}
-    assert {x.id: x.verdict for x in spark.read.parquet(str(tmp_path / "out")).collect()} == batch
+    for outcome in (None, "outcome"):
+        write = K.admit_batches(str(tmp_path / f"out-{outcome}"), "scope", "at", ["id"], LIMITS, outcome)
+        stream = reader.parquet(str(tmp_path / "in")).writeStream.foreachBatch(write)
+        stream.option("checkpointLocation", str(tmp_path / f"cp-{outcome}")).trigger(availableNow=True).start().awaitTermination()
+        batch = {x.id: x.verdict for x in K.admit(df, "scope", "at", ["id"], LIMITS, outcome).collect()}
+        assert {x.id: x.verdict for x in K.read_batches(spark, str(tmp_path / f"out-{outcome}"), "scope", "id int, verdict string").collect()} == batch

@@ -10,7 +10,7 @@ from tablestory.operators.scoring import score_rows
 from tablestory.operators.series import scatter_points
 from tablestory.session import checkpoint_dir
 from tablestory.sources.tables import read_table, write_table
-from tablestory.streaming import feed
+from tablestory.streaming import feed, records
 
 
 @pytest.mark.parametrize("pairs, stride", [(15, 67), (2, 3), (7, 3)])
@@ -64,5 +64,7 @@ def test_a_stream_of_steps_ends_with_the_open_and_the_late_ones(spark, tmp_path)
         df = spark.createDataFrame([(d,) for d in days], "at string").select(F.col("at").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(f"{folder}-in")
     reader = spark.readStream.schema("at timestamp").option("maxFilesPerTrigger", 1)
-    out = feed.finish_steps(feed.trend_stream(reader.parquet(f"{folder}-in"), "at", "1 day", lateness=None), f"{folder}-out")
+    sink = reader.parquet(f"{folder}-in").writeStream.foreachBatch(feed.trend_batches(f"{folder}-out", "at", "1 day"))
+    sink.option("checkpointLocation", f"{folder}-progress").trigger(availableNow=True).start().awaitTermination()
+    out = records.read_stored(spark, f"{folder}-out", "bucket", "bucket timestamp, rows bigint", latest=True)
     assert {r.bucket.day: r.rows for r in out.collect()} == {1: 1, 3: 2, 4: 2, 5: 1} and out.count() == 4
