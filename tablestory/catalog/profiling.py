@@ -101,8 +101,8 @@ def preview(t):
     return S.preview(t.events.select("event_id", "ts", "user_id", "event_type"), ["ts", "event_id"]).drop("ts")
 
 
-_ROW_JSON = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}'"""
-_ROW_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_ROW_JSON = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice
+  || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '","o_orderpriority":"' || o_orderpriority || '"}'"""
 _HASHED = f"(SELECT sha256({_ROW_JSON}) AS h FROM orders)"
 _SUMS = " || '|' || ".join(
     f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS UBIGINT)) AS VARCHAR)" for i in range(8)
@@ -111,19 +111,27 @@ _SUMS = " || '|' || ".join(
 
 @query(f"SELECT o_orderkey, sha256({_ROW_JSON}) AS row_hash FROM orders")
 def row_hash(t):
-    return t.orders.select("o_orderkey", S.row_hash(t.orders, _ROW_COLUMNS).alias("row_hash"))
+    return t.orders.select("o_orderkey", S.row_hash(t.orders).alias("row_hash"))
 
 
 @query(f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '|' || {_SUMS}) AS content_hash FROM {_HASHED}")
 def content_hash(t):
-    return S.content_hash(t.orders, _ROW_COLUMNS)
+    return S.content_hash(t.orders)
+
+
+@query(f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '|' || {_SUMS}) AS content_hash FROM {_HASHED}")
+def content_hash_appended(t):
+    path = scratch(t.spark)
+    for k in range(3):
+        S.append_rows(t.orders.where(F.col("o_orderkey") % 3 == k), path, "orders", ["o_orderdate", "o_orderkey"])
+    return S.stored_hash(t.spark, path, "orders")
 
 
 @query(f"""SELECT 'orders' AS dataset_id, 'upload' AS source_type, 'Orders' AS display_name,
-  sha256(CAST(count(*) AS VARCHAR) || '|' || {_SUMS}) AS content_hash, 4 AS column_count,
+  sha256(CAST(count(*) AS VARCHAR) || '|' || {_SUMS}) AS content_hash, 6 AS column_count,
   count(*) AS accepted_row_count, CAST(1700000000000 AS BIGINT) AS created_at FROM {_HASHED}""")
 def table_metadata(t):
-    made = S.table_metadata(t.orders, "orders", "Orders", created_at=1_700_000_000_000, columns=_ROW_COLUMNS)
+    made = S.table_metadata(t.orders, "orders", "Orders", created_at=1_700_000_000_000)
     return made.withColumn("column_count", F.size("columns")).drop("columns")
 
 

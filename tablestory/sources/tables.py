@@ -17,19 +17,36 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
-def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(rows, content_hash): one hash for the rows of a table, whatever their order and partitions.
+def hash_sums(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(rows, sums): what a content hash is made of, eight sums over the pieces of all row hashes.
 
-    Row hashes are added up piece by piece, so nothing but a few numbers is
-    brought together.
+    Sums of parts of a table add up to those of the whole, so nothing but a few numbers is brought together.
     """
     hashed = df.select(row_hash(df, columns).alias("h"))
-    pieces = [
-        F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(8)
-    ]
-    total = hashed.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("|", *pieces).alias("sums"))
-    text = F.concat_ws("|", F.col("rows").cast("string"), F.coalesce("sums", F.lit("")))
-    return total.select("rows", F.sha2(text, 256).alias("content_hash"))
+    pieces = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for i in range(8)]
+    zero = F.lit(0).cast("decimal(38,0)")
+    return hashed.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.coalesce(p, zero) for p in pieces]).alias("sums"))
+
+
+def add_sums(*parts: DataFrame) -> DataFrame:
+    """The sums of a table from those of its parts."""
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionAll(more)
+    sums = [F.sum(F.col("sums")[i]).cast("decimal(38,0)") for i in range(8)]
+    return both.agg(F.sum("rows").alias("rows"), F.array(*sums).alias("sums"))
+
+
+def finish_hash(sums: DataFrame) -> DataFrame:
+    """(rows, content_hash) from ``hash_sums``."""
+    text = F.array_join(F.transform("sums", lambda s: s.cast("string")), "|")
+    whole = F.concat_ws("|", F.col("rows").cast("string"), F.when(F.col("rows") > 0, text).otherwise(""))
+    return sums.select("rows", F.sha2(whole, 256).alias("content_hash"))
+
+
+def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(rows, content_hash): one hash for the rows of a table, whatever their order and partitions."""
+    return finish_hash(hash_sums(df, columns))
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = fixed.CSV_PREVIEW_ROWS) -> DataFrame:
@@ -51,6 +68,41 @@ def table_metadata(
     )
 
 
+_SUMS = "rows bigint, sums array<decimal(38,0)>"
+
+
+def _sums_path(path: str, dataset_id: str) -> str:
+    return f"{path}/_sums/{dataset_id}"  # readers of the rows pass over names with an underscore
+
+
+def _kept_sums(spark: SparkSession, path: str, dataset_id: str, rows: int) -> DataFrame | None:
+    """The sums kept for a dataset, if they are there and speak of so many rows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_sums_path(path, dataset_id))
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    kept = spark.read.schema(_SUMS).parquet(_sums_path(path, dataset_id)).collect()
+    return spark.createDataFrame(kept, _SUMS) if len(kept) == 1 and kept[0].rows == rows else None
+
+
+def _keep_sums(sums: DataFrame, path: str, dataset_id: str) -> None:
+    made = sums.sparkSession.createDataFrame(sums.collect(), _SUMS)  # one row; the old one was read from the same place
+    made.coalesce(1).write.mode("overwrite").parquet(_sums_path(path, dataset_id))
+
+
+def stored_hash(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
+    """(rows, content_hash) of a stored dataset: from the sums kept beside it, without its rows.
+
+    Sums that do not go with the number of rows, as after a write that failed, are made anew.
+    """
+    own = spark.read.parquet(path).where(F.col("dataset_id") == dataset_id)
+    rows = own.count()
+    kept = _kept_sums(spark, path, dataset_id, rows)
+    if kept is None:
+        kept = hash_sums(own, [c for c in own.columns if c not in ("dataset_id", "row_index", "row_hash")])
+        _keep_sums(kept, path, dataset_id)
+    return finish_hash(kept)
+
+
 def write_table(df: DataFrame, path: str, dataset_id: str, order_by: list[str] | None = None) -> None:
     """Replace the rows of one dataset: one partition folder per dataset, rows numbered in order."""
     configure(df.sparkSession)
@@ -64,6 +116,7 @@ def write_table(df: DataFrame, path: str, dataset_id: str, order_by: list[str] |
     )
     ranged = stored.repartitionByRange("row_index").sortWithinPartitions("row_index")
     ranged.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+    _keep_sums(hash_sums(df, values), path, dataset_id)
     if stored.isEmpty():  # such a write replaces no partition
         jvm = df.sparkSession._jvm
         old = jvm.org.apache.hadoop.fs.Path(path, f"dataset_id={dataset_id}")
@@ -73,20 +126,27 @@ def write_table(df: DataFrame, path: str, dataset_id: str, order_by: list[str] |
 def append_rows(df: DataFrame, path: str, dataset_id: str, order_by: list[str]) -> None:
     """Add rows behind those of a stored dataset, numbered on in order; a new dataset starts at 0.
 
-    Every row is appended, equal ones too. One writer at a time: two would number from the same row.
+    Every row is appended, equal ones too. One writer at a time: two would number from the same row. The
+    content hash of the dataset follows from the appended rows alone, see ``stored_hash``.
     """
     spark = configure(df.sparkSession)
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path, f"dataset_id={dataset_id}")
-    last = None
+    last, held = None, spark.createDataFrame([], _SUMS)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        last = spark.read.parquet(path).where(F.col("dataset_id") == dataset_id).agg(F.max("row_index")).first()[0]
+        own = spark.read.parquet(path).where(F.col("dataset_id") == dataset_id)
+        last, count = own.agg(F.max("row_index"), F.count("*")).first()
+        held = _kept_sums(spark, path, dataset_id, count)
+        held = held if held is not None else hash_sums(own, df.columns)
     numbered = row_index(df, order_by).withColumn("row_index", F.col("row_index") + F.lit(0 if last is None else last + 1))
     stored = numbered.select(
         F.lit(dataset_id).alias("dataset_id"), "row_index", row_hash(df, df.columns).alias("row_hash"), *df.columns
     )
     ranged = stored.repartitionByRange("row_index").sortWithinPartitions("row_index")
+    sums = add_sums(held, hash_sums(df, df.columns))
+    sums = spark.createDataFrame(sums.collect(), _SUMS)  # before the rows that it speaks of are there
     ranged.write.mode("append").partitionBy("dataset_id").parquet(path)
+    _keep_sums(sums, path, dataset_id)
 
 
 def read_table(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:

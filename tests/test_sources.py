@@ -162,3 +162,24 @@ def test_constraints_catch_changes(spark, change, broken):
     if df.where("play is not null").groupBy("play").count().where("count > 1").count():
         found.add("unique")
     assert found == broken
+
+
+def test_content_hash_follows_appended_rows_alone(spark, tmp_path):
+    path = str(tmp_path / "tables")
+    rows = [(k, f"v{k % 3}", None if k % 4 == 0 else k / 2) for k in range(50)]
+    make = lambda part: spark.createDataFrame(part, "k int, s string, d double")
+    whole = S.content_hash(make(rows)).first()
+    S.append_rows(make(rows[:20]), path, "a", ["k"])
+    S.append_rows(make(rows[20:21]), path, "a", ["k"])
+    S.append_rows(make([]), path, "a", ["k"])
+    S.write_table(make(rows[:5]), path, "b", ["k"])
+    S.append_rows(make(rows[21:]), path, "a", ["k"])
+    assert S.stored_hash(spark, path, "a").first() == whole and S.read_table(spark, path, "a").count() == 50
+    assert S.stored_hash(spark, path, "b").first() == S.content_hash(make(rows[:5])).first()
+    S.write_table(make([]), path, "b", ["k"])
+    assert S.stored_hash(spark, path, "b").first() == S.content_hash(make([])).first()
+    changed = S.content_hash(make([(0, "v0", 1.0), *rows[1:]])).first()
+    assert changed.rows == 50 and changed.content_hash != whole.content_hash
+    # Sums that a failed write left behind are made anew.
+    S._keep_sums(S.hash_sums(make(rows[:3])), path, "a")
+    assert S.stored_hash(spark, path, "a").first() == whole
