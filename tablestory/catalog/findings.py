@@ -446,17 +446,30 @@ def candidate_views(t):
     return S.catalogue(t.spark, V.candidate_views(t.events, profile))
 
 
-@query("""SELECT 'Rows' AS label, format('{:,}', count(*)) AS value, NULL AS detail FROM documents UNION ALL
-  SELECT 'Average n chars', format('{:,}', CAST(floor(avg(n_chars) + 0.5) AS BIGINT)), NULL FROM documents UNION ALL
+_SHOWN = """CASE WHEN v >= 1e6 THEN rtrim(rtrim(printf('%.2f', round(v / 1e6, 2)), '0'), '.') || 'M' WHEN v >= 1e5 THEN printf('%.0f', round(v / 1e3, 0)) || 'K'
+   WHEN v >= 1e4 THEN regexp_replace(printf('%.1f', round(v / 1e3, 1)), '\\.0$', '') || 'K' ELSE format('{:,}', CAST(floor(v + 0.5) AS BIGINT)) END"""
+
+
+@query(f"""SELECT 'Rows' AS label, format('{{:,}}', count(*)) AS value, NULL AS detail FROM documents UNION ALL
+  SELECT 'Average n chars', {_SHOWN.replace('v >=', 'a >=').replace('round(v', 'round(a').replace('floor(v', 'floor(a')}, 'Range ' || {_SHOWN.replace('v >=', 'l >=').replace('round(v', 'round(l').replace('floor(v', 'floor(l')} || ' to '
+    || {_SHOWN.replace('v >=', 'h >=').replace('round(v', 'round(h').replace('floor(v', 'floor(h')} FROM (SELECT avg(n_chars) AS a, min(n_chars)::DOUBLE AS l, max(n_chars)::DOUBLE AS h FROM documents) UNION ALL
   SELECT * FROM (SELECT 'Top lang', lang, floor(100.0 * count(*) / (SELECT count(*) FROM documents) + 0.5)::INT || '% of rows' FROM documents GROUP BY lang ORDER BY count(*) DESC LIMIT 1)""")
 def kpis(t):
     tiles = S.kpis(P.profile_table(t.documents))
-    return t.spark.createDataFrame(tiles, "label string, value string, detail string").withColumn(
-        "detail", F.when(~F.col("label").startswith("Average"), F.col("detail"))
-    )
-
-
-@query()
+    return t.spark.createDataFrame(tiles, "label string, value string, detail string")
+
+
+@query("""WITH RECURSIVE made AS (SELECT p_brand, p_type, avg(p_size) / 100 + 0.2 AS score, min(p_partkey) AS position FROM part GROUP BY 1, 2),
+  tables AS (SELECT p_brand, list({'item': p_type, 'score': score, 'kind': ['ranking', 'rate', 'trend', 'histogram', 'scatter', 'map'][position % 6 + 1], 'fields': [['size', 'price'][position % 2 + 1], p_type]} ORDER BY position) AS c FROM made GROUP BY 1),
+  picked AS (SELECT p_brand, c, []::BIGINT[] AS picks, 0 AS step, NULL::STRUCT(w DOUBLE, i BIGINT) AS best FROM tables UNION ALL
+    SELECT p_brand, c, list_append(picks, -best.i), step + 1, best FROM (SELECT p_brand, c, picks, step, list_sort(list_transform(
+        list_filter(range(1, len(c) + 1), lambda i: c[i].score >= 0.3 AND NOT list_contains(picks, i)), lambda i: {'w': CASE
+          WHEN len(list_filter(picks, lambda p: c[p].kind = c[i].kind)) >= CASE c[i].kind WHEN 'map' THEN 1 WHEN 'trend' THEN 2 WHEN 'ranking' THEN 3 WHEN 'rate' THEN 2 ELSE 1 END THEN 0.0
+          ELSE c[i].score * pow(0.85, len(list_filter(picks, lambda p: c[p].kind = c[i].kind)))
+            * pow(CASE WHEN c[i].fields[1] = 'price' THEN 0.9 ELSE 0.6 END, len(list_filter(picks, lambda p: list_contains(c[p].fields, c[i].fields[1]))))
+            * pow(0.6, len(list_filter(picks, lambda p: list_contains(c[p].fields, c[i].fields[2])))) END, 'i': -i}), 'DESC')[1] AS best
+      FROM picked WHERE step < 3) WHERE best.w > 0 AND best.w >= 0.24)
+  SELECT p_brand, c[-best.i].item AS p_type, step::BIGINT AS pick FROM picked WHERE step > 0""")
 def diversified_top_k(t):
     kinds = ["ranking", "rate", "trend", "histogram", "scatter", "map"]
     made = t.part.groupBy("p_brand", "p_type").agg(
@@ -495,11 +508,14 @@ def answered_by_columns(t):
     return S.answered_by_columns(questions, "doc_id", "text", "kind", "classes", P.profile_table(t.labels))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 4 = 1 THEN 1 ELSE 2 END AS place FROM part""")
+@query("""WITH v AS (SELECT p_partkey, p_partkey // 7 AS story, CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size % 4 = 1 THEN 1 ELSE 2 END AS o FROM part),
+  n AS (SELECT *, count(*) FILTER (WHERE o > 0) OVER (PARTITION BY story) AS narrow, max(p_partkey) FILTER (WHERE o > 0) OVER (PARTITION BY story) AS last FROM v)
+  SELECT story, p_partkey, row_number() OVER (PARTITION BY story ORDER BY o, p_partkey) AS place FROM n WHERE NOT (narrow >= 3 AND narrow % 2 = 1 AND p_partkey = last AND o > 0)""")
 def arrange_views(t):
     kind = pick(F.col("p_size"), "trend", "ranking", "histogram", "scatter")
     chart = pick(F.col("p_size"), "line", "bars", "histogram", "scatter")
-    return t.part.select("p_partkey", S.arrange_order(kind, chart).alias("place"))
+    views = t.part.select("p_partkey", F.floor(F.col("p_partkey") / 7).alias("story"), kind.alias("kind"), chart.alias("chart"))
+    return S.arrange_catalogue(views, "story", "p_partkey", "p_partkey", "kind", "chart")
 
 
 # --- formats ---------------------------------------------------------------------------------------

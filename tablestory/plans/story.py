@@ -4,55 +4,76 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..functions.names import capitalize, lower_first, name_stems, plural_label, question_stems, humanize_name
 from ..functions.shown import format_count, format_day, format_number, format_share, half_up
 from ..operators.profile import TableProfile, profile_table
 from .kinds import Field, ranked_measures
-from .views import ROW, Noun, View, aggregate_name, candidate_views
+from .views import ROW, Breadth, Noun, View, aggregate_name, candidate_views
 
 
 # --- tiles -----------------------------------------------------------------------------------
-def kpis(profile: TableProfile, noun: Noun = ROW) -> list[tuple[str, str, str | None]]:
-    """(label, value, detail) of the first four headline figures the table has. All come from the profile."""
-    tiles: list[tuple[str, str, str | None]] = [(capitalize(noun.plural), format_count(profile.row_count), None)]
+Tile = tuple[str, str, str | None]
+
+
+def _size_tile(profile: TableProfile, noun: Noun) -> Tile:
+    return capitalize(noun.plural), format_count(profile.row_count), None
+
+
+def _lead_tile(profile: TableProfile, noun: Noun) -> Tile | None:
+    """The total of the first measure that adds up, or the mean of the first one."""
     lead = next(iter(ranked_measures(profile.fields)), None)
-    if lead:
-        total, mean = format_number(lead.sum, lead.unit), format_number(lead.mean, lead.unit)
-        if lead.additive:
-            tiles.append((aggregate_name(lead, True), total, f"{mean} per {noun.singular}"))
-        else:
-            low, high = format_number(lead.min, lead.unit), format_number(lead.max, lead.unit)
-            tiles.append((aggregate_name(lead, False), mean, f"Range {low} to {high}"))
-    time = next(iter(profile.of_kind("time")), None)
-    if time and time.present > 1:
-        days = half_up((time.time_max - time.time_min).total_seconds() / 86_400) + 1
-        years = days / 365.25
-        if years >= 2:
-            span = f"{half_up(years)} years"
-        else:
-            span = f"{half_up(days / 30.44)} months" if days > 120 else f"{format_count(days)} days"
-        tiles.append(("Time span", span, f"{format_day(time.time_min)} to {format_day(time.time_max)}"))
-    entity = next(iter(profile.of_kind("entity")), None)
-    if entity:
-        tiles.append((f"Distinct {plural_label(entity.label)}", format_count(entity.distinct), None))
-    flags = sorted(profile.of_kind("flag"), key=lambda f: -f.yes / f.present)
-    if flags:
-        f = flags[0]
-        tiles.append((
-            f.label, format_share(f.yes / f.present),
-            f"{format_count(f.yes)} of {format_count(f.present)} {noun.plural}",
-        ))
-    clear = next(
-        (f for f in profile.of_kind("category") if len(f.top) >= 2 and f.top[0][1] >= f.top[1][1] * 1.15), None
-    )
-    if clear:
-        label, count = clear.top[0]
-        tiles.append((f"Top {lower_first(clear.label)}", label, f"{format_share(count / clear.present)} of {noun.plural}"))
-    return tiles[:4]
+    if lead is None:
+        return None
+    total, mean, low, high = (format_number(v, lead.unit) for v in (lead.sum, lead.mean, lead.min, lead.max))
+    details = {True: (total, f"{mean} per {noun.singular}"), False: (mean, f"Range {low} to {high}")}
+    return aggregate_name(lead, lead.additive), *details[bool(lead.additive)]
+
+
+#: (from how many days on, days in one, its name), the longest first.
+_SPANS = ((730.5, 365.25, "years"), (120 + 1, 30.44, "months"), (0, 1, "days"))
+
+
+def _span_tile(profile: TableProfile, noun: Noun) -> Tile | None:
+    time = next((f for f in profile.of_kind("time")[:1] if f.present > 1), None)
+    if time is None:
+        return None
+    days = half_up((time.time_max - time.time_min).total_seconds() / 86_400) + 1
+    size, name = next((size, name) for least, size, name in _SPANS if days >= least)
+    count = format_count(days) if size == 1 else half_up(days / size)
+    return "Time span", f"{count} {name}", f"{format_day(time.time_min)} to {format_day(time.time_max)}"
+
+
+def _entity_tile(profile: TableProfile, noun: Noun) -> Tile | None:
+    found = [(f"Distinct {plural_label(f.label)}", format_count(f.distinct), None) for f in profile.of_kind("entity")]
+    return found[0] if found else None
+
+
+def _flag_tile(profile: TableProfile, noun: Noun) -> Tile | None:
+    """The flag that is set most often, by share of the rows that have it."""
+    most = max(profile.of_kind("flag"), key=lambda f: f.yes / f.present, default=None)
+    return most and (most.label, format_share(most.yes / most.present), f"{format_count(most.yes)} of {format_count(most.present)} {noun.plural}")
+
+
+def _leader_tile(profile: TableProfile, noun: Noun) -> Tile | None:
+    """The first category whose first label is 15 % ahead of the second."""
+    for f in profile.of_kind("category"):
+        counts = [n for _, n in f.top[:2]]
+        if len(counts) == 2 and counts[0] >= 1.15 * counts[1]:
+            return f"Top {lower_first(f.label)}", f.top[0][0], f"{format_share(counts[0] / f.present)} of {noun.plural}"
+    return None
+
+
+#: Headline figures by rank.
+_TILES = (_size_tile, _lead_tile, _span_tile, _entity_tile, _flag_tile, _leader_tile)
+
+
+def kpis(profile: TableProfile, noun: Noun = ROW, most: int | None = 4) -> list[Tile]:
+    """(label, value, detail) of the ``most`` first headline figures the table has (None: all), from its profile alone."""
+    made = [tile(profile, noun) for tile in _TILES]
+    return [t for t in made if t][:most]
 
 
 # --- choice ----------------------------------------------------------------------------------
@@ -92,18 +113,34 @@ def diversified_top_k(
 ) -> DataFrame:
     """(by, item, pick): the diversified choice for every table of a catalogue, tables in parallel.
 
-    A group holds the candidates of one table, a number bounded by its columns.
+    A group holds the candidates of one table, a number bounded by its columns. The choice is a fold over
+    the picks: what a candidate is still worth follows from the kinds and columns picked before it.
     """
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable").reset_index(drop=True)
-        known = {m for row in pdf[measures] for m in (row if row is not None else [])}
-        picks = pick_diverse(list(pdf[score]), list(pdf[kind]), [list(f) for f in pdf[fields]], known, k)
-        chosen = pdf.loc[picks, [by, item]].copy()
-        chosen["pick"] = range(1, len(picks) + 1)
-        return chosen
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.groupBy(by).applyInPandas(choose, f"{by} {types[by]}, {item} {types[item]}, pick bigint")
+    row = F.struct(F.col(position).alias("position"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"),
+                   F.col(kind).alias("kind"), F.col(fields).alias("fields"))
+    tables = df.groupBy(by).agg(
+        F.sort_array(F.collect_list(row)).alias("all"), F.array_distinct(F.flatten(F.collect_list(F.coalesce(measures, F.array().cast("array<string>"))))).alias("known"))
+    limits = F.create_map(*[F.lit(x) for pair in fixed.KIND_LIMIT.items() for x in pair])
+    every = F.col("all")
+
+    def worth(i: Column, picks: Column) -> Column:
+        own = F.get(every, i)
+        used = F.size(F.filter(picks, lambda p: F.get(every, p)["kind"] == own["kind"]))
+        seen = F.flatten(F.transform(picks, lambda p: F.get(every, p)["fields"]))
+        discounted = F.aggregate(own["fields"], own["score"] * F.pow(F.lit(0.85), used), lambda value, f: value * F.pow(
+            F.when(F.array_contains("known", f), 0.9).otherwise(0.6), F.size(F.filter(seen, lambda g: g == f))))
+        return F.when(used >= F.coalesce(F.try_element_at(limits, own["kind"]), F.lit(k)), 0.0).otherwise(discounted)
+
+    def step(picks: Column, _: Column) -> Column:
+        left = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (F.get(every, i)["score"] >= fixed.MIN_SCORE) & ~F.array_contains(picks, i))
+        # The first of equal candidates.
+        best = F.array_max(F.transform(left, lambda i: F.struct(worth(i, picks).alias("worth"), (-i).alias("back"))))
+        good = (best["worth"] > 0) & (best["worth"] >= fixed.MIN_FILL)
+        return F.when(F.coalesce(good, F.lit(False)), F.concat(picks, F.array(-best["back"]))).otherwise(picks)
+
+    chosen = tables.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array().cast("array<int>"), step))
+    return chosen.select(by, "all", F.posexplode("picks").alias("at", "pick")).select(
+        by, F.get(F.col("all"), F.col("pick"))["item"].alias(item), (F.col("at") + 1).cast("bigint").alias("pick"))
 
 
 def select_views(views: list[View], profile: TableProfile, k: int = fixed.MAX_STORY_VIEWS, scores: list[float] | None = None) -> list[View]:
@@ -114,10 +151,20 @@ def select_views(views: list[View], profile: TableProfile, k: int = fixed.MAX_ST
 
 def arrange_views(views: list[View]) -> list[View]:
     """Wide views first, then bars, then plots; an odd last one of three or more is left out."""
-    narrow = [v for v in views if not v.wide]
-    if len(narrow) >= 3 and len(narrow) % 2:
-        narrow.pop()
-    return [v for v in views if v.wide] + sorted(narrow, key=lambda v: v.chart != "bars")
+    narrow = [v.view_id for v in views if not v.wide]
+    single = narrow[-1:] if len(narrow) in range(3, len(narrow) + 1, 2) else []
+    shown = [v for v in views if v.view_id not in single]
+    return sorted(shown, key=lambda v: (not v.wide, not v.wide and v.chart != "bars"))
+
+
+def arrange_catalogue(views: DataFrame, by: str, item: str, position: str, kind: str, chart: str) -> DataFrame:
+    """(by, item, place): ``arrange_views`` for every catalogue of a frame; a catalogue is a handful of rows."""
+    own = Window.partitionBy(by)
+    place = arrange_order(F.col(kind), F.col(chart))
+    ranked = views.withColumn("__order", place).withColumn("__narrow", F.count_if(F.col("__order") > 0).over(own)).withColumn(
+        "__later", F.count_if(F.col("__order") > 0).over(own.orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)))
+    odd = (F.col("__narrow") >= 3) & (F.col("__narrow") % 2 == 1) & (F.col("__order") > 0) & (F.col("__later") == 0)
+    return ranked.where(~odd).select(by, item, F.row_number().over(own.orderBy("__order", position)).cast("bigint").alias("place"))
 
 
 def arrange_order(kind: Column, chart: Column) -> Column:
@@ -223,15 +270,15 @@ def matched_fields(question: str, profile: TableProfile) -> list[Field]:
     return [f for f in profile.fields if f.name in named]
 
 
-def focus_views(views: list[View], matched: list[Field], profile: TableProfile, k: int) -> list[View]:
-    """Views about the named columns first, up to four; the rest of the choice follows."""
+def focus_views(views: list[View], matched: list[Field], profile: TableProfile, k: int, most: int = 4) -> list[View]:
+    """Views about the named columns first, up to ``most``; the rest of the choice follows."""
     names = {f.name for f in matched}
-    hits = [sum(f in names for f in v.fields) for v in views]
-    about = [(v, v.score + h + (0.5 if h == len(v.fields) else 0)) for v, h in zip(views, hits) if h]
-    leading = select_views([v for v, _ in about], profile, min(4, k), [s for _, s in about])
-    ids = {v.view_id for v in leading}
-    rest = [v for v in views if v.view_id not in ids]
-    return leading + select_views(rest, profile, k - len(leading))
+    shares = {v.view_id: (sum(f in names for f in v.fields), len(v.fields)) for v in views}
+    named_ones = [v for v in views if shares[v.view_id][0]]
+    bonus = [named_in + 0.5 * (named_in == size) for named_in, size in (shares[v.view_id] for v in named_ones)]
+    chosen = select_views(named_ones, profile, min(most, k), [v.score + more for v, more in zip(named_ones, bonus)])
+    others = [v for v in views if v.view_id not in {c.view_id for c in chosen}]
+    return chosen + select_views(others, profile, k - len(chosen))
 
 
 # --- the story -----------------------------------------------------------------------------------
@@ -264,17 +311,20 @@ def catalogue(spark: SparkSession, views: list[View]) -> DataFrame:
 
 def story(
     df: DataFrame, noun: Noun = ROW, question: str | None = None, max_views: int = fixed.MAX_STORY_VIEWS,
-    order_by: list[str] | None = None,
+    order_by: list[str] | None = None, breadth: Breadth = Breadth(), tiles: int | None = 4,
 ) -> Story:
-    """Profile a table and pick what is worth saying about it."""
+    """Profile a table and pick what is worth saying about it.
+
+    ``breadth`` says how many measures are compared, ``tiles`` how many headline figures there are; None is all.
+    """
     profile = profile_table(df, order_by)
     if profile.row_count == 0:
         return Story([], [], profile, noun)
-    views = candidate_views(df, profile, noun)
+    views = candidate_views(df, profile, noun, breadth)
     matched = matched_fields(question, profile) if question else []
     if matched:
         chosen = focus_views(views, matched, profile, max_views)
     else:
         chosen = arrange_views(select_views(views, profile, max_views))
     focus = [f.label for f in matched] if question and question.strip() else None
-    return Story(kpis(profile, noun), chosen, profile, noun, focus)
+    return Story(kpis(profile, noun, tiles), chosen, profile, noun, focus)

@@ -308,8 +308,8 @@ def traits_view(typed: DataFrame, flags: list[Field], noun: Noun) -> View | None
 
 
 # --- time ------------------------------------------------------------------------------------
-def trend_views(typed: DataFrame, time: Field, measures: list[Field], noun: Noun) -> list[View]:
-    """Rows, and up to two measures, along a date column: one grouping for all of them."""
+def trend_views(typed: DataFrame, time: Field, measures: list[Field], noun: Noun, most: int | None = 2) -> list[View]:
+    """Rows, and the ``most`` first measures, along a date column: one grouping for all of them."""
     low, high = time.time_min, time.time_max
     known = time.present
     if low is None or low == high or known < 3:
@@ -317,7 +317,7 @@ def trend_views(typed: DataFrame, time: Field, measures: list[Field], noun: Noun
     hourly = series.hours_usable(low, high, time.has_clock)
     counts = {r.grain: r.buckets for r in series.grain_counts(typed, time.name, hourly).collect()}
     grain = series.choose_grain(counts, known, low, high, bool(time.has_clock), time.resolution)
-    drawn = measures[:2]
+    drawn = measures[:most]
     steps = series.time_buckets(typed, time.name, grain, [m.name for m in drawn])
     # One row per calendar step: small by construction, so it is kept as a local frame.
     spark = typed.sparkSession
@@ -603,7 +603,7 @@ def scatter_view(typed: DataFrame, fields: dict[str, Field], pairs: list, order_
 
 
 def map_view(typed: DataFrame, profile: TableProfile, lat: Field, lng: Field, noun: Noun) -> View | None:
-    """Every row placed by its coordinates, and the busiest place."""
+    """Every row placed by its coordinates, and the busiest place; the fact ``places`` makes the bars of all places."""
     box = series.place_bounds(typed, lat.name, lng.name).first()
     if box.located < 5 or box.min_lat == box.max_lat or box.min_lng == box.max_lng:
         return None
@@ -623,18 +623,28 @@ def map_view(typed: DataFrame, profile: TableProfile, lat: Field, lng: Field, no
             f"{format_count(lost)} {noun.singular if lost == 1 else noun.plural} with no coordinates "
             f"{'is' if lost == 1 else 'are'} not shown."
         )
-    ranking = [(group_name(place, label), n) for label, n in place.top[:fixed.MAX_BARS]] if place and place.label_count >= 3 else None
+    places = (lambda: grouping.count_bars(typed, place.name, place.kind, place.ordered_labels)) if place and place.label_count >= 3 else None
     return View(
         "map", [lat.name, lng.name] + ([place.name] if place else []), capitalize(title),
         f"Each dot is one {noun.singular}, placed by its coordinates", 0.95, "map",
         lambda: series.place_points(typed, lat.name, lng.name, [place.name] if place else []), note,
-        {"aspect": box.aspect, "ranking": ranking}, named_after=[lat.name, lng.name],
+        {"aspect": box.aspect, "places": places}, named_after=[lat.name, lng.name],
     )
 
 
 # --- all of them -----------------------------------------------------------------------------------
-def candidate_views(df: DataFrame, profile: TableProfile, noun: Noun = ROW) -> list[View]:
-    """Every view the table can support, in a fixed order."""
+@dataclass(frozen=True)
+class Breadth:
+    """How many measures, totals first, are followed in time, compared between groups, spread out and related; None: all."""
+
+    trends: int | None = 2
+    groups: int | None = 4
+    spreads: int | None = 3
+    related: int | None = 8
+
+
+def candidate_views(df: DataFrame, profile: TableProfile, noun: Noun = ROW, breadth: Breadth = Breadth()) -> list[View]:
+    """Every view the table can support within a breadth, in a fixed order."""
     dims = [f for f in profile.fields if f.is_dimension]
     flags = profile.of_kind("flag")
     measures = ranked_measures(profile.fields)
@@ -651,7 +661,7 @@ def candidate_views(df: DataFrame, profile: TableProfile, noun: Noun = ROW) -> l
     if first["latitude"] and first["longitude"]:
         views.append(map_view(typed, profile, first["latitude"], first["longitude"], noun))
     if first["time"]:
-        views += trend_views(typed, first["time"], measures, noun)
+        views += trend_views(typed, first["time"], measures, noun, breadth.trends)
     related = measures
     if first["sequence"] and measures:
         facts = order_facts(typed, first["sequence"], measures)
@@ -661,12 +671,12 @@ def candidate_views(df: DataFrame, profile: TableProfile, noun: Noun = ROW) -> l
         related = [m for m in measures if smoothness(facts[m.name]) < 0.7]
     views.append(traits_view(typed, flags, noun))
     if dims:
-        facts = group_facts(typed, dims, measures[:4], flags)
+        facts = group_facts(typed, dims, measures[:breadth.groups], flags)
         for dim in dims:
             views.append(count_view(typed, dim, facts, noun))
-            views += [measure_view(typed, dim, m, facts, noun) for m in measures[:4]]
+            views += [measure_view(typed, dim, m, facts, noun) for m in measures[:breadth.groups]]
             views += [rate_view(typed, dim, f, facts, noun) for f in flags]
-    spread, pairs = value_facts(typed, measures[:3], related[:8]) if measures else ({}, [])
-    views += [histogram_view(typed, m, spread.get(m.name), noun) for m in measures[:3]]
+    spread, pairs = value_facts(typed, measures[:breadth.spreads], related[:breadth.related]) if measures else ({}, [])
+    views += [histogram_view(typed, m, spread.get(m.name), noun) for m in measures[:breadth.spreads]]
     views.append(scatter_view(typed, {f.name: f for f in measures}, pairs, order, noun))
     return [v for v in views if v]

@@ -6,7 +6,8 @@ import re
 import pytest
 
 from tablestory.operators.profile import profile_table
-from tablestory.plans.story import pick_diverse, story
+from tablestory.plans.story import arrange_catalogue, arrange_views, diversified_top_k, pick_diverse, story
+from tablestory.plans.views import Breadth, View, candidate_views
 from tablestory.plans.views import Noun, candidate_views
 
 
@@ -72,7 +73,7 @@ def test_map(rows):
     assert lead.kind == "map" and lead.title == "Harbor has the most stops: 90 of 200"
     points = lead.result.collect()
     assert len(points) == 200 and all(0 <= p.x <= 1 and 0 <= p.y <= 1 for p in points)
-    assert 0.5 < lead.facts["aspect"] < 0.7 and lead.facts["ranking"][0] == ("Harbor", 90)
+    assert 0.5 < lead.facts["aspect"] < 0.7 and next((r.label, r.value) for r in lead.facts["places"]().collect() if r.position == 1) == ("Harbor", 90)
 
 
 def test_sequence(rows):
@@ -140,3 +141,44 @@ def test_choice():
     assert pick_diverse([0.9, 0.85, 0.6], ["rate", "rate", "ranking"], [["region", "returned"], ["region", "late"], ["category"]], set(), 2) == [0, 2]
     assert pick_diverse([0.2], ["ranking"], [["x"]], set()) == []
     assert pick_diverse([0.5, 0.5], ["histogram", "histogram"], [["x"], ["y"]], set()) == [0]
+
+
+def test_diversified_choice_matches_the_one_of_a_single_table(spark):
+    import random
+
+    r = random.Random(6)
+    kinds, names = ["ranking", "rate", "trend", "scatter", "map", "other"], list("abcdef")
+    rows = [(t, f"i{k}", round(r.random(), 2), r.choice(kinds), [r.choice(names) for _ in range(r.randint(0, 3))], ["a", "b"], k) for t in range(40) for k in range(r.randint(1, 14))]
+    df = spark.createDataFrame(rows, "t int, item string, score double, kind string, fields array<string>, measures array<string>, position int")
+    got = {}
+    for x in diversified_top_k(df, "t", "item", "score", "kind", "fields", "measures", "position", 5).collect():
+        got.setdefault(x.t, {})[x.pick] = x.item
+    for t in range(40):
+        own = [x for x in rows if x[0] == t]
+        picks = pick_diverse([x[2] for x in own], [x[3] for x in own], [x[4] for x in own], {"a", "b"}, 5)
+        assert got.get(t, {}) == {n + 1: own[i][1] for n, i in enumerate(picks)}
+
+
+def test_catalogues_are_arranged_like_single_stories(spark):
+    import random
+
+    r = random.Random(1)
+    made = []
+    for t in range(30):
+        made += [(t, f"k{i}", i, r.choice(["map", "trend", "ranking", "scatter", "histogram"]), r.choice(["bars", "scatter"])) for i in range(r.randint(0, 7))]
+    df = spark.createDataFrame(made, "t int, item string, position int, kind string, chart string")
+    got = {}
+    for x in arrange_catalogue(df, "t", "item", "position", "kind", "chart").collect():
+        got.setdefault(x.t, {})[x.place] = x.item
+    for t in range(30):
+        views = [View(kind, [item], "", "", 0.5, chart, lambda: None) for u, item, _, kind, chart in made if u == t]
+        assert got.get(t, {}) == {i + 1: v.fields[0] for i, v in enumerate(arrange_views(views))}
+
+
+def test_breadth_and_tiles_can_be_all(rows):
+    df = rows([{f"m{k}": (i * (k + 3)) % 37 + 0.5 for k in range(6)} | {"g": "abc"[i % 3]} for i in range(120)])
+    narrow, wide = story(df), story(df, breadth=Breadth(None, None, None, None), tiles=None)
+    profile = narrow.profile
+    every = candidate_views(df, profile, breadth=Breadth(None, None, None, None))
+    assert sum(v.fields[0] == "g" and len(v.fields) == 2 for v in every) > sum(v.fields[0] == "g" and len(v.fields) == 2 for v in candidate_views(df, profile))
+    assert len(narrow.kpis) <= 4 and wide.kpis[:len(narrow.kpis)] == narrow.kpis
