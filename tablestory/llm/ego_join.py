@@ -2,10 +2,13 @@
 
 Unit vectors with a cosine of at least c are within epsilon = sqrt(2 - 2c) of each other, in every
 rotation and in any of its dimensions. Vectors are sorted by the grid cells (of width epsilon) they
-have on the leading principal dimensions, and cut into sequence intervals with bounding boxes there.
-Intervals are joined recursively from the whole sequence down to blocks, and inside a task on to
-smaller runs; what is provably further apart than epsilon is skipped, the rest is compared exactly.
+have on the leading principal dimensions, and the sequence is cut into blocks, consecutive blocks into
+groups. Bounding boxes of groups are joined recursively from the whole sequence down; a task gets two
+groups that may hold near vectors and goes on to their blocks and to short runs of rows. What is
+provably further apart than epsilon is skipped, the rest is compared exactly.
 
+A block is sent once to every group its own is near to, not once to every near block: while the groups
+fit a task's memory there are as many of them at every size, and what is sent grows as the table.
 Equal vectors are one class with a count. A task returns link counts and a spanning forest of
 the links it found, never the links; components follow from the forests.
 """
@@ -16,20 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, forest
 from .scratch import Scratch
 
-DIMENSIONS = 8
-BLOCK_ROWS = 4096
-RUN_ROWS = 256
-MOST_BLOCKS = 1000
-PAIRS_A_TASK = 8
+#: Principal dimensions that sort the vectors, and that boxes have.
+DIMENSIONS, BOX_DIMENSIONS = 8, 64
+FINER = 4
+BLOCK_ROWS, RUN_ROWS = 1024, 256
+#: At least so many groups, so that their pairs keep a cluster busy, and more once a group would exceed so many bytes.
+GROUPS, GROUP_BYTES = 8, 32 << 20
 FIT_ROWS = 4096
+_EDGES = 1 << 17
 #: Room for rounding when boxes are compared, far above double precision and far below epsilon.
 _ROOM = 1e-9
+#: Room for rounding of single-precision products of unit vectors.
+_SINGLE = 1e-4
 
 
 def _unit(vectors: pa.Array, width: int) -> np.ndarray:
@@ -82,12 +90,13 @@ def near_intervals(low: np.ndarray, high: np.ndarray, epsilon: float) -> tuple[n
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, rows: int) -> DataFrame:
-    """The sequence in grid order, cut into blocks with their boxes."""
+    """The sequence in grid order, cut into blocks with their boxes, numbered by (part, number)."""
     shared = classes.sparkSession.sparkContext.broadcast(axes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.floor(_unit(batch.column("vector"), shared.value.shape[0]) @ shared.value / epsilon).astype(np.int32)
+            at = _unit(batch.column("vector"), shared.value.shape[0]) @ shared.value[:, :DIMENSIONS] / epsilon
+            cells = np.floor(np.concatenate([at, FINER * at], axis=1)).astype(np.int32)  # inside a cell by smaller ones
             flat = pa.array(cells.reshape(-1), pa.int32())
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, cells.shape[1], dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
@@ -99,71 +108,135 @@ def _blocks(classes: DataFrame, axes: np.ndarray, epsilon: float, rows: int) ->
             new = pa.Table.from_batches([batch]).select(["id", "count", "vector"])
             held = new if held is None else pa.concat_tables([held, new])
             while held.num_rows >= rows:
-                number += 1
-                yield block((part << 24) + number, held[:rows])
+                yield block(part, number, held[:rows])
                 held = held[rows:]
+                number += 1
         if held is not None and held.num_rows:
-            yield block((part << 24) + number + 1, held)
+            yield block(part, number, held)
 
-    def block(name: int, held: pa.Table) -> pa.RecordBatch:
+    def block(part: int, number: int, held: pa.Table) -> pa.RecordBatch:
         ids, counts, vectors = (held.column(c).combine_chunks() for c in ("id", "count", "vector"))
         at = _unit(vectors, shared.value.shape[0]) @ shared.value
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         box = lambda x: one(pa.array(x, pa.float64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([name], pa.int64()), one(ids), one(counts), one(vectors), box(at.min(axis=0)), box(at.max(axis=0))],
-            ["block", "ids", "counts", "vectors", "low", "high"])
+            [pa.array([part], pa.int64()), pa.array([number], pa.int64()), one(ids), one(counts), one(vectors), box(at.min(axis=0)), box(at.max(axis=0))],
+            ["part", "number", "ids", "counts", "vectors", "low", "high"])
 
     kind = classes.schema["vector"].dataType.elementType.simpleString()
-    parts = max(1, -(-classes.count() // (4 * rows)))
+    parts = max(1, -(-classes.count() // (16 * rows)))
     placed = classes.mapInArrow(place, f"id bigint, count bigint, vector array<{kind}>, cells array<int>")
     placed = placed.repartitionByRange(parts, "cells", "id").sortWithinPartitions("cells", "id")
-    return placed.mapInArrow(cut, f"block bigint, ids array<bigint>, counts array<bigint>, vectors array<array<{kind}>>, low array<double>, high array<double>")
+    return placed.mapInArrow(cut, f"part bigint, number bigint, ids array<bigint>, counts array<bigint>, vectors array<array<{kind}>>, low array<double>, high array<double>")
+
+
+def _grouped(blocks: DataFrame, total: int, width: int) -> tuple[DataFrame, int]:
+    """Blocks with the group of consecutive blocks they are in, and the number of groups. One row per part comes to the driver."""
+    counts = {r.part: r["count"] for r in blocks.groupBy("part").count().collect()}
+    before, all_blocks = {}, 0
+    for part in sorted(counts):
+        before[part], all_blocks = all_blocks, all_blocks + counts[part]
+    wanted = max(min(GROUPS, all_blocks), -(-8 * width * total // GROUP_BYTES), 1)
+    each = -(-all_blocks // wanted) or 1
+    starts = blocks.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part bigint, before bigint")
+    placed = blocks.join(F.broadcast(starts), "part")  # one row per part
+    return placed.withColumn("group", F.floor((F.col("before") + F.col("number")) / each).cast("bigint")), -(-all_blocks // each)
+
+
+def _trees(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges with the components of the links between two runs of rows, fewer than there are rows."""
+    open_ = linked.any(axis=1)
+    while open_.any():
+        row = int(open_.argmax())
+        rows, cols = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        rows[row] = True
+        new = rows.copy()
+        while new.any():
+            more = linked[new].any(axis=0) & ~cols
+            cols |= more
+            new = linked[:, more].any(axis=1) & ~rows
+            rows |= new
+        ends = np.append(x[rows], y[cols])
+        ends = ends[ends != x[row]]
+        yield np.full(len(ends), x[row]), ends
+        open_ &= ~rows
+
+
+class _Side:
+    """The blocks of a group end to end, with the boxes of blocks and of runs of rows."""
+
+    def __init__(self, table: pa.Table, width: int, axes: np.ndarray):
+        arrays = {c: pa.concat_arrays([b.values for b in table.column(c)]) if table.num_rows else None for c in ("ids", "counts", "vectors")}
+        self.ids, self.counts = (np.asarray(arrays[c]) for c in ("ids", "counts"))
+        self.rows = _unit(arrays["vectors"], width)
+        at = self.rows @ axes
+        starts, self.block = [], []
+        for k, n in enumerate(len(b) for b in table.column("ids")):
+            first = starts[-1][1] if starts else 0
+            for i in range(first, first + n, RUN_ROWS):
+                starts.append((i, min(i + RUN_ROWS, first + n)))
+                self.block.append(k)
+        self.runs = starts
+        self.low, self.high = (np.array([f(at[i:j], axis=0) for i, j in starts]) for f in (np.min, np.max))
+        lead = -(-at.shape[1] // 2)
+        self.lead = at[:, :lead].astype(np.float32)
+        self.rest = np.sqrt(np.maximum(0, 1 - (at[:, :lead] ** 2).sum(axis=1))).astype(np.float32)
+
+
+def _linked(a: _Side, b: _Side, i: int, j: int, least: float) -> np.ndarray | None:
+    """Which rows of two runs link; None for none.
+
+    A product is at most that of the leading dimensions plus that of the lengths of what is left, so only
+    rows and columns where this bound is reached are multiplied out, in double precision.
+    """
+    (p, q), (r, t) = a.runs[i], b.runs[j]
+    bound = a.lead[p:q] @ b.lead[r:t].T + np.outer(a.rest[p:q], b.rest[r:t])
+    near = bound >= least - _SINGLE
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return None
+    hit = a.rows[p:q][rows] @ b.rows[r:t][cols].T >= least
+    if not hit.any():
+        return None
+    linked = np.zeros(near.shape, bool)
+    linked[np.ix_(rows, cols)] = hit
+    return linked
 
 
 def _compare(least: float, width: int, axes, epsilon: float):
-    """Compare two blocks run by run; give link counts (n > 0) and forest edges (n = 0)."""
-    def tree(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
-        open_ = linked.any(axis=1)
-        while open_.any():
-            row = int(open_.argmax())
-            rows, cols = np.zeros(len(x), bool), np.zeros(len(y), bool)
-            rows[row] = True
-            new = rows.copy()
-            while new.any():
-                more = linked[new].any(axis=0) & ~cols
-                cols |= more
-                new = linked[:, more].any(axis=1) & ~rows
-                rows |= new
-            for other in (*x[rows], *y[cols]):
-                if other != x[row]:
-                    yield int(x[row]), int(other)
-            open_ &= ~rows
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (batch.column(c)[k].as_py() for c in (0, 1))
-                ids_a, counts_a, rows_a, ids_b, counts_b, rows_b = (batch.column(c)[k].values for c in range(2, 8))
-                ids_a, ids_b, counts_a, counts_b = (np.asarray(v) for v in (ids_a, ids_b, counts_a, counts_b))
-                x, y = _unit(rows_a, width), _unit(rows_b, width)
-                u, v = x @ axes.value, y @ axes.value
-                linked = np.zeros((len(x), len(y)), bool)
-                for i in range(0, len(x), RUN_ROWS):
-                    for j in range(i if a == b else 0, len(y), RUN_ROWS):
-                        p, q = u[i:i + RUN_ROWS], v[j:j + RUN_ROWS]
-                        gap = np.maximum(0, np.maximum(p.min(axis=0) - q.max(axis=0), q.min(axis=0) - p.max(axis=0)))
-                        if (gap**2).sum() <= (epsilon + _ROOM) ** 2:
-                            linked[i:i + RUN_ROWS, j:j + RUN_ROWS] = x[i:i + RUN_ROWS] @ y[j:j + RUN_ROWS].T >= least
-                if a == b:
+    """Compare two groups run by run; give link counts (n > 0) and forest edges (n = 0)."""
+    def compare(table: pa.Table) -> pa.Table:
+        first, second = (table.filter(pc.equal(table.column("side"), k)).sort_by([("part", "ascending"), ("number", "ascending")]) for k in (0, 1))
+        a = _Side(first, width, axes.value)
+        same = not second.num_rows
+        b = a if same else _Side(second, width, axes.value)
+        found_a, found_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
+        x, y, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for i, (p, q) in enumerate(a.runs):
+            gap = np.maximum(0, np.maximum(a.low[i] - b.high, b.low - a.high[i]))
+            close = np.flatnonzero((gap**2).sum(axis=1) <= (epsilon + _ROOM) ** 2)
+            for j in close[close >= i].tolist() if same else close.tolist():
+                linked = _linked(a, b, i, j, least)
+                if linked is None:
+                    continue
+                r, t = b.runs[j]
+                if same and i == j:
                     linked |= linked.T
                     np.fill_diagonal(linked, False)
-                out = list(zip(ids_a.tolist(), ids_a.tolist(), (linked @ counts_b).tolist()))
-                if a != b:
-                    out += zip(ids_b.tolist(), ids_b.tolist(), (counts_a @ linked).tolist())
-                out = [r for r in out if r[2]] + [(p, q, 0) for p, q in tree(linked, ids_a, ids_b)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "n"])
+                found_a[p:q] += linked @ b.counts[r:t]
+                if not (same and i == j):
+                    (found_a if same else found_b)[r:t] += a.counts[p:q] @ linked
+                for u, v in _trees(linked, a.ids[p:q], b.ids[r:t]):
+                    x.append(u)
+                    y.append(v)
+                    held += len(u)
+                if held > _EDGES:
+                    u, v = forest(np.concatenate(x), np.concatenate(y))
+                    x, y, held = [u], [v], 0
+        u, v = forest(np.concatenate(x), np.concatenate(y))
+        links = [(a.ids, found_a)] + ([] if same else [(b.ids, found_b)])
+        ids, n = (np.concatenate(c) for c in zip(*[(k[m > 0], m[m > 0]) for k, m in links]))
+        return pa.table({"a": np.concatenate([ids, u]), "b": np.concatenate([ids, v]), "n": np.concatenate([n, np.zeros(len(u), np.int64)])})
 
     return compare
 
@@ -194,21 +267,24 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         width = width or 1
         sample = classes.orderBy(F.xxhash64("h1"), "id").limit(FIT_ROWS).select("vector")
         sample = sample.toArrow().column("vector").combine_chunks()
-        axes = principal(_unit(sample, width), min(DIMENSIONS, width))
-        rows = max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
-        blocks = s.keep(_blocks(classes.select("id", "count", "vector"), axes, epsilon, rows), "blocks")
-        boxes = blocks.select("block", "low", "high").orderBy("block").collect()
-        low, high = (np.array([r[c] for r in boxes], float).reshape(-1, axes.shape[1]) for c in ("low", "high"))
+        axes = principal(_unit(sample, width), min(BOX_DIMENSIONS, width))
+        blocks = s.keep(_blocks(classes.select("id", "count", "vector"), axes, epsilon, BLOCK_ROWS), "blocks")
+        placed, groups = _grouped(blocks, total, width)
+        sides = [F.struct(*[f(F.get(side, F.lit(k))).alias(f"d{k}") for k in range(axes.shape[1])]).alias(side) for side, f in (("low", F.min), ("high", F.max))]
+        boxes = placed.groupBy("group").agg(*sides).orderBy("group").collect()
+        low, high = (np.array([list(r[c]) for r in boxes], float).reshape(-1, axes.shape[1]) for c in ("low", "high"))
+        names = np.array([r.group for r in boxes], np.int64)
         i, j = near_intervals(low, high, epsilon) if boxes else (np.zeros(0, np.int64),) * 2
-        names = np.array([r.block for r in boxes], np.int64)
-        pairs = spark.createDataFrame(pa.table({"a": names[i], "b": names[j]}), "a bigint, b bigint") if len(i) else spark.createDataFrame([], "a bigint, b bigint")
-        held = ["block", "ids", "counts", "vectors"]
-        tasks = max(1, -(-len(i) // PAIRS_A_TASK), min(len(i), 4 * spark.sparkContext.defaultParallelism))
-        met = pairs.join(blocks.select(*held).toDF("a", "ids_a", "counts_a", "rows_a"), "a").join(
-            blocks.select(*held).toDF("b", "ids_b", "counts_b", "rows_b"), "b")
-        met = met.select("a", "b", "ids_a", "counts_a", "rows_a", "ids_b", "counts_b", "rows_b").repartition(tasks)
+        task, apart = np.arange(len(i)), i != j
+        deal = pa.table({"group": np.append(names[i], names[j][apart]) if len(i) else i, "task": np.append(task, task[apart]),
+                         "side": np.append(np.zeros(len(i), np.int32), np.ones(apart.sum(), np.int32))})
+        kind_of = "group bigint, task bigint, side int"
+        deal = spark.createDataFrame(deal, kind_of) if deal.num_rows else spark.createDataFrame([], kind_of)
+        met = placed.join(deal, "group").select("task", "side", "part", "number", "ids", "counts", "vectors")
+        # Comparing takes far longer than its bytes suggest: a partition for each pair of groups.
+        met = met.repartition(max(1, min(len(i), 10_000)), "task").groupBy("task")
         compare = _compare(least, width, spark.sparkContext.broadcast(axes), epsilon)
-        found = s.keep(met.mapInArrow(compare, "a bigint, b bigint, n bigint"), "found")
+        found = s.keep(met.applyInArrow(compare, "a bigint, b bigint, n bigint"), "found")
         sums = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("links"))
         label = components(found.where("n = 0"), "a", "b")
         facts = classes.select("h1", "h2", "id", "count").join(sums, F.col("id") == sums.a, "left").join(
