@@ -1,13 +1,19 @@
 """Personal data in texts: fixed patterns, and a linear-chain conditional random field that adds to them.
 
-The field reads runs of words that hold a digit or an ``@``; any other word is outside by definition,
-so runs are independent of each other and the decoding of a run is exact. Its features are word
-shapes only. It is trained on a small table of texts labelled by the patterns, of at most
-``TRAIN_DOCS`` texts picked by a hash of their id, and decoded by Viterbi over many runs at once.
+The field reads runs of words that hold a digit, an ``@`` or an ``(at)``; any other word is outside by
+definition, so runs are independent of each other and the decoding of a run is exact. Its features are
+word shapes only. It is trained on a small labelled table and decoded by Viterbi over many runs at once.
+
+The table has two parts. Made examples, labelled as they are made, hold what the patterns miss: addresses
+written with ``(at)``, national phone numbers, card numbers whose check digit is wrong, IPv6, numbers that
+run into their neighbours, and what only looks alike (dates, versions, amounts, other identifiers). The
+other part is at most ``TRAIN_DOCS`` texts picked by a hash of their id and labelled by the patterns,
+without the runs that hold longer numbers which no pattern knows.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TRAIN_DOCS = 500
-TRAIN_RUN = 64
+#: Made examples, texts learned from, the words of a run that go together in training, and how many of a run are learned at most.
+TRAIN_MADE, TRAIN_DOCS, TRAIN_RUN, RUN_WORDS = 2500, 500, 64, 256
+#: Words are told apart by the first so many characters of their shape.
+SHAPE_CHARS = 24
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _HASHED = 1 << 14
@@ -28,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
+_SEEN = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
 _GAP = re.compile(r"[ \t\n\v\f\r]")
 
 
@@ -72,10 +81,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring words that hold a digit or an ``@``, as word spans."""
+    """Runs of neighbouring words that hold a digit, an ``@`` or an ``(at)``, as word spans."""
     held: list[tuple[int, int]] = []
     at = 0
-    while found := _SOME.search(text, at):
+    while found := _SEEN.search(text, at):
         start = found.start()
         while start > at and not _GAP.match(text[start - 1]):
             start -= 1
@@ -90,6 +99,7 @@ def runs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield held
 
 
+_SPELLED = re.compile(r"\w[(\[]at[)\]]\w.*\.\w", re.IGNORECASE)
 _shapes: dict[str, tuple[int, ...]] = {}
 
 
@@ -99,14 +109,14 @@ def shape_features(word: str) -> tuple[int, ...]:
         return _shapes[word]
     import zlib
 
-    kinds = "".join("9" if c in "0123456789" else "a" if c.isalpha() else c for c in word[:64])
+    kinds = "".join("9" if c in "0123456789" else "a" if c.isalpha() else c for c in word[:4 * SHAPE_CHARS])
     short = re.sub(r"9+", "9", re.sub(r"a+", "a", kinds))
     digits = "".join(c for c in word if c in "0123456789")
     parts = re.split(r"[^0-9]+", word.strip("().,;:!?*$%&#\"'"))
     small = all(p and len(p) < 4 and int(p) < 256 for p in parts)
     named = [
-        f"short {short[:24]}", f"shape {kinds[:24]}", f"first {kinds[:3]}", f"last {short[-3:]}", f"digits {min(len(digits), 20)}",
-        f"at {word.count('@')} {'.' in word.partition('@')[2]}", f"parts {min(len(parts), 6)} {small} {'.' in word}",
+        f"short {short[:SHAPE_CHARS]}", f"shape {kinds[:SHAPE_CHARS]}", f"first {kinds[:3]}", f"last {short[-3:]}", f"digits {min(len(digits), 20)}",
+        f"at {word.count('@')} {'.' in word.partition('@')[2]} {bool(_SPELLED.search(word))} {word.count(':') > 1}", f"parts {min(len(parts), 6)} {small} {'.' in word}",
         f"sum {13 <= len(digits) <= 19 and luhn(digits)}", f"letters {any(c.isalpha() for c in word)}",
     ]
     out = tuple(zlib.crc32(x.encode()) % _HASHED for x in named)
@@ -210,26 +220,97 @@ def _gold(run: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list
     return out
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS) -> Field:
-    """Fit on the words of at most ``limit`` texts with a digit or ``@``, labelled by the patterns."""
+class _Maker:
+    """Made examples: spans of each kind that the patterns miss, and words that only look alike."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def digits(self, *sizes: int) -> list[str]:
+        return ["".join(self.r.choices("0123456789", k=n)) for n in sizes]
+
+    def name(self) -> str:
+        return "".join(self.r.choices("abcdefghijklmnopqrstuvwxyz", k=self.r.randint(2, 8)))
+
+    def email(self) -> str:
+        at, user = self.r.choice(["(at)", "[at]", "(AT)"]), self.r.choice([self.name(), f"{self.name()}.{self.name()}", f"{self.name()}{self.r.randint(1, 99)}"])
+        return f"{user}{at}{self.name()}{self.r.choice(['', *self.digits(1)])}.{self.r.choice(['com', 'org', 'example.net', 'co.uk'])}"
+
+    def ip(self) -> str:
+        groups = ["".join(self.r.choices("0123456789abcdef", k=self.r.randint(1, 4))) for _ in range(self.r.randint(3, 7))]
+        return self.r.choice(["2001", "fe80", "fd12"]) + ":" + self.r.choice(["db8:", ""]) + self.r.choice([":", ""]) + ":".join(groups)
+
+    def card(self) -> str:
+        while True:
+            found = self.r.choice([self.digits(16), self.digits(16), self.digits(4, 4, 4, 4), self.digits(4, 6, 5)])
+            if not luhn("".join(found)):
+                return self.r.choice([" ", "-"]).join(found)
+
+    def phone(self) -> str:
+        area, three, four, seven = self.digits(3, 3, 4, 7)
+        return self.r.choice([
+            f"{area}-{three}-{four}", f"({area}) {three}-{four}", f"{area}.{three}.{four}", f"0{area} {seven}", f"0{area[:2]}/{seven}", f"0{area}-{seven}",
+            f"0049 {area} {seven}", f"1-{area}-{three}-{four}"])
+
+    def neighbours(self) -> list[tuple[str | None, str]]:
+        """A phone number that runs into an address, so that the pattern reads too many digits."""
+        area, three, four = self.digits(3, 3, 4)
+        return [("phone", f"+{self.r.randint(1, 9)} ({area}) {three}-{four}"), ("ip", ".".join(str(self.r.randint(10, 255)) for _ in range(4)))]
+
+    def other(self) -> str:
+        a, b, c, d = self.digits(1, 2, 3, 4)
+        return self.r.choice([
+            f"20{b}-0{self.r.randint(1, 9)}-{self.r.randint(10, 28)}", f"{self.r.randint(10, 28)}.0{a}.20{b}", f"1{self.r.randint(0, 9)}:{b}", f"{a}.0.", f"{a}.{b}", f"v{a}.{b}.{c}",
+            f"19{b}", f"{b},{c}.00", f"${b}", f"{a}.", b, c, d, f"{c}-{b}-{d}", f"978-{a}-{b}-{self.r.randint(100000, 999999)}-{a}", f"{b}-{c}", f"{a}rd", f"{b}%", f"ORD-{b}{c}",
+            f"B{b}", f"{b}x{b}", f"{b}.{c},{a}.{d}", "".join(self.r.choices("0123456789abcdef", k=self.r.choice([32, 40, 64]))),
+            f'"{"".join(self.r.choices("0123456789abcdef", k=40))}"', f"#{d}", f"{a}/{b}", f"{c}{d}", f"{a},{c},{c}"])
+
+    def example(self) -> tuple[str, list[tuple[int, int, int]]]:
+        """A text, and its spans as (kind, start, end)."""
+        items: list[tuple[str | None, str]] = []
+        for _ in range(self.r.randint(1, 4)):
+            kind = self.r.choice([None, None, *KINDS, "beside"])
+            items += self.neighbours() if kind == "beside" else [(kind, getattr(self, kind)() if kind else self.other())]
+            if self.r.random() < 0.5:
+                items.append((None, self.name()))
+        text, spans = "", []
+        for kind, written in items:
+            if kind:
+                spans.append((KINDS.index(kind), len(text), len(text) + len(written)))
+            text += written + self.r.choice(["", "", "", ".", ",", "!!", "$$$"]) + " "
+        return text, spans
+
+
+def made_examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """A labelled table: texts with what the patterns miss, and the spans of it."""
+    maker = _Maker(seed)
+    return [maker.example() for _ in range(count)]
+
+
+def _learned(text: str, spans: list[tuple[int, int, int]], known: bool) -> Iterator[tuple[list[tuple[int, ...]], list[int]]]:
+    """Shapes and labels of a text's runs; without ``known``, not of those with numbers that no span explains."""
+    for run in runs(text):
+        labels = _gold(run, spans)
+        if not known and any(not y and sum(c.isdigit() for c in text[a:b]) > 8 for (a, b), y in zip(run, labels)):
+            continue
+        for at in range(0, min(len(run), RUN_WORDS), TRAIN_RUN):
+            yield [shape_features(text[a:b]) for a, b in run[at:at + TRAIN_RUN]], labels[at:at + TRAIN_RUN]
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS, made: int = TRAIN_MADE, seed: int = 8) -> Field:
+    """Fit on ``made`` examples and on at most ``limit`` texts with a digit or ``@``, labelled by the patterns."""
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = [], []
-            for t in batch.column(0).to_pylist():
-                spans = base_spans(t)
-                for run in runs(t):
-                    for at in range(0, min(len(run), 4 * TRAIN_RUN), TRAIN_RUN):
-                        part = run[at:at + TRAIN_RUN]
-                        x.append([list(shape_features(t[a:b])) for a, b in part])
-                        y.append(_gold(part, spans))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.list_(pa.int32()))), pa.array(y, pa.list_(pa.int32()))], ["x", "y"])
+            found = [r for t in batch.column(0).to_pylist() for r in _learned(t, base_spans(t), False)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([[list(f) for f in x] for x, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([y for _, y in found], pa.list_(pa.int32()))], ["x", "y"])
 
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("h"))
     chosen = some.select("h").distinct().orderBy("h").limit(limit)
     picked = some.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).select("t")
-    rows = picked.mapInArrow(label, "x array<array<int>>, y array<int>").toArrow().to_pylist()
-    rows.sort(key=repr)
-    return fit([[tuple(f) for f in r["x"]] for r in rows], [r["y"] for r in rows])
+    rows = [([tuple(f) for f in r["x"]], r["y"]) for r in picked.mapInArrow(label, "x array<array<int>>, y array<int>").toArrow().to_pylist()]
+    rows = sorted(rows, key=repr) + [r for t, spans in made_examples(made, seed) for r in _learned(t, spans, True)]
+    return fit([x for x, _ in rows], [y for _, y in rows])
 
 
 def _added(text: str, run: list[tuple[int, int]], labels: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
@@ -243,7 +324,7 @@ def _added(text: str, run: list[tuple[int, int]], labels: np.ndarray, base: list
         while to < len(run) and labels[to] == 2 + 2 * kind:
             to += 1
         start, end = run[at][0], run[to - 1][1]
-        while start < end and not (text[start].isalnum() or text[start] in "+("):
+        while start < end and not (text[start].isalnum() or text[start] in "+(["):
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
