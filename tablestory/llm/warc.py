@@ -8,6 +8,7 @@ write whole or absent when executors are lost.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -19,38 +20,44 @@ ARCHIVE_BYTES = 8 << 20
 LEAST_PAYLOAD = 100
 _END = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_HEADS = ["key", "uri", "payload_digest", "payload_bytes", "record_type", "refers_to"]
+_HEADS = ["key", "uri", "payload_digest", "payload_bytes", "record_type", "refers_to", "refers_uri"]
 RECORDS = ("record_id string, record_type string, key bigint, uri string, date string, payload_digest string, "
-           "payload_bytes bigint, refers_to bigint, content_bytes bigint, payload binary")
+           "payload_bytes bigint, refers_to bigint, refers_to_id string, refers_to_uri string, content_bytes bigint, payload binary")
 
 
-def headers(records: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key``, digest and size of each payload: all that resolution needs to shuffle."""
-    return records.select(F.col(key).cast("bigint").alias("key"), F.sha2(payload, 256).alias("payload_digest"),
+def headers(records: DataFrame, key: str, payload: str, uri: str) -> DataFrame:
+    """``key``, ``uri``, digest and size of each payload: all that resolution needs to shuffle."""
+    return records.select(F.col(key).cast("bigint").alias("key"), F.col(uri).alias("uri"), F.sha2(payload, 256).alias("payload_digest"),
                           F.length(payload).cast("bigint").alias("payload_bytes"))
 
 
 def resolve(heads: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``(key, payload_digest, refers_to)`` of the records that repeat the payload of another one with a smaller key.
+    """``(key, payload_digest, refers_to, refers_uri)`` of the records that repeat the payload of another one with a smaller key.
 
-    Payloads under ``least`` bytes and records without a key repeat nothing. Equal keys are one record.
+    Payloads under ``least`` bytes and records without a key repeat nothing. Equal keys are one record; of its URIs
+    the smallest is named.
     """
     large = heads.where((F.col("payload_bytes") >= least) & F.col("key").isNotNull())
     same = ["payload_digest", "payload_bytes"]
-    originals = large.groupBy(*same).agg(F.min("key").alias("refers_to"), F.max("key").alias("other")).where("refers_to <> other")
-    return large.join(originals, same).where("key <> refers_to").select("key", "payload_digest", "refers_to").distinct()
+    originals = large.groupBy(*same).agg(
+        F.min(F.struct("key", "uri")).alias("first"), F.max("key").alias("other")).where("first.key <> other")
+    originals = originals.select(*same, F.col("first.key").alias("refers_to"), F.col("first.uri").alias("refers_uri"))
+    return large.join(originals, same).where("key <> refers_to").select("key", "payload_digest", "refers_to", "refers_uri").distinct()
 
 
 def _clean(value) -> str:
     return "".join("%%%02X" % ord(c) if c in "\r\n" else c for c in value or "")
 
 
-def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", size: int = ARCHIVE_BYTES) -> None:
-    """Write records (``key``, ``uri``, ``payload`` and what ``resolve`` found) with fresh headers.
+def write_archives(records: DataFrame, folder: str, date: str | None = None, size: int = ARCHIVE_BYTES) -> None:
+    """Write records (``key``, ``uri``, ``payload`` and what ``resolve`` found) with fresh headers, of this moment or of ``date``.
 
-    A revisit carries no payload, but the digest and the length of the one it stands for. An archive
+    A revisit carries no payload, but the digest and the length of the one it stands for, and the id, URI and
+    date of its record, by which any reader finds it. An archive
     closes at ``size`` bytes; a longer record has one for itself.
     """
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         filled = 0
@@ -74,18 +81,23 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     writer.option("compression", "gzip").option("maxRecordsPerFile", 1).text(folder)
 
 
+def _record_id(key: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{"null" if key is None else key} {digest}')}>"
+
+
 def _record(head: dict, payload: bytes | None, date: str) -> bytes:
     revisit = head["record_type"] == "revisit"
     content = b"" if revisit else payload or b""
     number = "null" if head["key"] is None else str(head["key"])
     lines = [
         "WARC/1.1", f"WARC-Type: {head['record_type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, number + ' ' + head['payload_digest'])}>",
+        f"WARC-Record-ID: {_record_id(head['key'], head['payload_digest'])}",
         f"WARC-Date: {date}", f"WARC-Target-URI: {_clean(head['uri'])}", f"WARC-Payload-Digest: sha256:{head['payload_digest']}",
         f"Source-Key: {number}", f"Payload-Length: {head['payload_bytes']}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Key: {head['refers_to']}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(head['refers_to'], head['payload_digest'])}",
+                  f"WARC-Refers-To-Target-URI: {_clean(head['refers_uri'])}", f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Key: {head['refers_to']}"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(content)}"]
     return "\r\n".join(lines).encode() + _END + content + _END
 
@@ -116,12 +128,12 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         digest = hashlib.sha256(content).hexdigest() if response else head["warc-payload-digest"].partition(":")[2]
         return (head["warc-record-id"], head["warc-type"], None if key == "null" else int(key), head.get("warc-target-uri"),
                 head.get("warc-date"), digest, len(content) if response else int(head["payload-length"]),
-                int(refers) if refers else None, len(content), content if response else None)
+                int(refers) if refers else None, head.get("warc-refers-to"), head.get("warc-refers-to-target-uri"), len(content), content if response else None)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for row in range(batch.num_rows):
                 content = batch.column(0)[row].as_py()
@@ -136,10 +148,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def restore(records: DataFrame) -> DataFrame:
-    """Revisits with digest, size and payload of the response they refer to; responses as they are."""
+    """Revisits with digest, size and payload of the response they refer to by its record id; responses as they are."""
     revisits = records.where("record_type = 'revisit'").drop("payload")
-    originals = records.where("record_type = 'response'").select(F.col("key").alias("refers_to"), "payload")
-    return records.where("record_type <> 'revisit'").unionByName(revisits.join(originals, "refers_to", "left"))
+    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload").distinct()
+    return records.where("record_type <> 'revisit'").unionByName(revisits.join(originals, "refers_to_id", "left"))
 
 
 def archive_pages(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", text: str = "html",
@@ -154,10 +166,10 @@ def archive_pages(pages: DataFrame, folder: str, key: str = "page_id", uri: str
     records = pages.select(F.col(key).cast("bigint").alias("key"), F.col(uri).cast("string").alias("uri"),
                            F.coalesce(F.col(text), F.lit("")).cast("binary").alias("payload"))
     records = records.withColumn("payload_digest", F.sha2("payload", 256))
-    found = resolve(headers(records, "key", "payload"), least)
+    found = resolve(headers(records, "key", "payload", "uri"), least)
     out = records.join(found, ["key", "payload_digest"], "left").select(
         "key", "uri", "payload_digest", F.length("payload").cast("bigint").alias("payload_bytes"),
-        F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to",
+        F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to", "refers_uri",
         F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
     write_archives(out, folder, size=size)
     return read_archives(pages.sparkSession, folder)

@@ -121,6 +121,9 @@ def test_warc_round_trip(spark):
         assert (r.record_type, r.refers_to) == ("revisit" if first else "response", first)
         assert r.payload == (None if first else want)
     assert {r.key: bytes(r.payload) for r in warc.restore(out).collect() if r.key is not None} == {k: v for k, v in payload.items() if k is not None}
+    ids = {r.record_id: r for r in out.collect() if r.record_type == "response"}
+    revisits = [r for r in out.collect() if r.record_type == "revisit"]
+    assert revisits and all((ids[r.refers_to_id].key, ids[r.refers_to_id].uri, ids[r.refers_to_id].payload_digest) == (r.refers_to, r.refers_to_uri, r.payload_digest) for r in revisits)
     assert warc.archive_pages(df.limit(0), f"{checkpoint_dir(spark)}/warc-none-{random.random()}").count() == 0
 
 
@@ -356,3 +359,76 @@ def test_distant_intervals_are_skipped():
     low = np.array([[0.0], [1], [5], [5.2], [9]])
     i, j = ego_join.near_intervals(low, low + 0.5, 0.6)
     assert sorted(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 1), (2, 2), (2, 3), (3, 3), (4, 4)]
+
+
+def test_clustered_vectors_are_mostly_skipped_and_none_is_lost(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 32)) * 1.2
+    rows = np.concatenate([centres[rng.integers(0, 10, 19_900)] + rng.normal(scale=0.3, size=(19_900, 32)), rng.normal(size=(100, 32))]).astype(np.float32)
+    df = spark.createDataFrame(((int(k), v) for k, v in enumerate(rows.tolist())), "vec_id bigint, embedding array<float>")
+    out = {r.vec_id: r for r in ego_join.near_vectors(df).collect()}
+    unit = rows.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links, label = np.zeros(len(unit), np.int64), np.arange(len(unit))
+    edges = []
+    for at in range(0, len(unit), 2000):
+        found = unit[at:at + 2000] @ unit.T >= 0.9
+        links[at:at + 2000] = found.sum(axis=1) - 1
+        edges.append(np.argwhere(found) + [at, 0])
+    a, b = np.concatenate(edges).T
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            break
+        label = new
+    assert links.max() > 50 and (links == 0).any()
+    assert [(out[k].n_links, out[k].component_id) for k in range(len(unit))] == list(zip(links.tolist(), label.tolist()))
+    axes = ego_join.principal(unit[:4096], 32)
+    classes = df.selectExpr("vec_id AS id", "1L AS count", "embedding AS vector")
+    epsilon = float(np.sqrt(0.2))
+    boxes = ego_join._blocks(classes, axes, epsilon, 256).select("low", "high").collect()
+    i, _ = ego_join.near_intervals(*(np.array([r[c] for r in boxes]) for c in ("low", "high")), epsilon)
+    assert len(i) < len(boxes) * (len(boxes) + 1) / 4
+
+
+def test_bounds_of_leading_dimensions_lose_no_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(400, 16))
+    rows[200:] = rows[:200] + rng.normal(scale=0.35, size=(200, 16))
+    table = pa.table({"ids": [list(range(400))], "counts": [[1] * 400], "vectors": [rows.tolist()]})
+    side = ego_join._Side(table, 16, ego_join.principal(rows, 16))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for i, (p, q) in enumerate(side.runs):
+        for j, (r, t) in enumerate(side.runs):
+            got = ego_join._linked(side, side, i, j, 0.9)
+            want = unit[p:q] @ unit[r:t].T >= 0.9
+            assert (want == (got if got is not None else False)).all()
+
+
+def test_the_field_adds_what_the_patterns_miss(spark):
+    docs = documents(spark, [f"text {k} with 10.0.0.{k % 250} and a{k}@b.example.com on 2024-01-{k % 28 + 1:02d}" for k in range(120)])
+    model = pii.train(docs)
+    held_out = pii.made_examples(1500, 77)
+    got = {r.doc_id: r for r in pii.find_personal(documents(spark, [t for t, _ in held_out]), model).collect()}
+    hit = wrong = missed = 0
+    for k, (text, gold) in enumerate(held_out):
+        base = pii.base_spans(text)
+        outside = {s for s in gold if not any(a < s[2] and b > s[1] for _, a, b in base)}
+        written = set(got[k].spans.split(",")) - {"", *got[k].base.split(",")}
+        added = {(pii.KINDS.index(kind), int(a), int(b)) for kind, a, b in (x.split(":") for x in written)}
+        hit, wrong, missed = hit + len(outside & added), wrong + len(added - outside), missed + len(outside - added)
+        assert not got[k].base or set(got[k].base.split(",")) <= set(got[k].spans.split(","))
+    assert hit > 1500 and hit / (hit + missed) >= 0.95 and hit / (hit + wrong) >= 0.95
+
+
+def test_added_spans_are_of_the_right_kind(spark):
+    model = pii.train(documents(spark, []))
+    wanted = {
+        "call 555-123-4567 now": "phone:5:17", "number 123-45-6789 of": "", "on 2024-01-05 at 10:30": "", "Version 2.0.1 of 1999": "",
+        "write to jo.doe(at)example.com today": "email:9:30", "+1 (843) 555-7672 170.106.47.218": "ip:18:32,phone:0:17", "see 9108807962764491.": "card:4:20",
+        "": "", "words alone": ""}
+    got = {r.text: r.spans for r in pii.find_personal(documents(spark, [None, *wanted]), model).join(documents(spark, [None, *wanted]), "doc_id").collect()}
+    assert got == {None: "", **wanted}
