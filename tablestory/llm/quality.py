@@ -61,6 +61,8 @@ def features(column: pa.Array) -> np.ndarray:
         capital = _KINDS[:, 0][d[starts]].astype(bool) | (d[starts] >= 0xC3) if len(starts) else np.zeros(0, bool)
         after = np.append(False, ended[:-1]) & capital if len(ended) else ended
         same = np.append(False, w.hashes[1:] == w.hashes[:-1]) if len(w.hashes) else np.zeros(0, bool)
+        for pair in (after, same):  # the first word of a text follows none
+            pair[at[:-1][n > 0]] = False
         share = lambda flags: _sums(flags, at) / any_
         f = out[w.first:w.last]
         f[:, 0], f[:, 1], f[:, 2] = np.log1p(size), np.log1p(n), np.log(feeds)

@@ -432,3 +432,54 @@ def test_added_spans_are_of_the_right_kind(spark):
         "": "", "words alone": ""}
     got = {r.text: r.spans for r in pii.find_personal(documents(spark, [None, *wanted]), model).join(documents(spark, [None, *wanted]), "doc_id").collect()}
     assert got == {None: "", **wanted}
+
+
+def slow_features(text):
+    data = (text or "").encode()
+    own = data.split()
+    if not own:
+        return [0.0] * len(quality.FEATURES)
+    low, n, feeds = [w.lower() for w in own], len(own), data.count(b"\n") + 1
+    kinds = [lambda b: 65 <= b <= 90, lambda b: 48 <= b <= 57, lambda b: 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"?!-()",
+             lambda b: b in b" \t\n\v\f\r", lambda b: b >= 128]
+    upper, sign = (lambda w: sum(map(kinds[0], w))), (lambda w: sum(map(kinds[2], w)))
+    share = lambda flags: sum(map(bool, flags)) / n
+    ended = [w[-1:] in (b"!", b".", b"?") for w in own]
+    capital = [65 <= w[0] <= 90 or w[0] >= 0xC3 for w in own]
+    lines = data.split(b"\n")
+    return [
+        np.log1p(len(data)), np.log1p(n), np.log(feeds), sum(map(len, own)) / n, n / feeds, *(sum(map(k, data)) / len(data) for k in kinds),
+        share(sign(w) for w in own), share(sign(w) == len(w) < 3 for w in own), share(upper(w) > 1 and 2 * upper(w) >= len(w) for w in own),
+        share(len(w) < 4 for w in own), len(set(low)) / n, max(low.count(w) for w in set(low)) / n, share(a == b for a, b in zip(low, low[1:])),
+        share(e or w.count(b"!") > 1 for e, w in zip(ended, own)), share(e and c for e, c in zip(ended, capital[1:])), len(set(lines)) / len(lines)]
+
+
+def test_features_match_a_slow_version_whatever_stands_beside():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    pieces = ["Word", "word", "WORD", "a.", "End!", "So!!", "Été", "ß", "12", "$$", "#", "x#y", "é", "THE", "the"]
+    texts = [None, "", " \n\t"] + ["".join(r.choice(pieces) + r.choice([" ", "  ", "\n", "\n\n", "\t"]) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    got = quality.features(pa.array(texts))
+    for text, row in zip(texts, got):
+        assert np.allclose(row, slow_features(text), atol=1e-12), text
+    assert np.array_equal(got[::-1], quality.features(pa.array(texts[::-1])))
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(float)
+    model = quality.fit(x, y, rounds=20, pair_rounds=10, pairs=3)
+    assert len(model.pairs) == 3
+    for row, margin in zip(x, model.margin(x)):
+        place = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        slow = model.base + sum(t[p] for t, p in zip(model.tables, place))
+        slow += sum(t[8 * place[i] // len(model.tables[i]), 8 * place[j] // len(model.tables[j])] for (i, j), t in model.pairs.items())
+        assert abs(slow - margin) < 1e-9
+    weights, sums = rng.random(12), rng.normal(size=12)
+    tree = quality._stump(sums, weights, 2, 1.0, 0.0)
+    gain = lambda k: sums[:k].sum() ** 2 / (weights[:k].sum() + 1) + sums[k:].sum() ** 2 / (weights[k:].sum() + 1)
+    cut = max(range(1, 12), key=gain)
+    want = np.repeat([sums[:cut].sum() / (weights[:cut].sum() + 1), sums[cut:].sum() / (weights[cut:].sum() + 1)], [cut, 12 - cut])
+    assert np.allclose(tree, want)
