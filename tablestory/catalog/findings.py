@@ -330,11 +330,11 @@ def time_trend_mean(t):
     return points.select("bucket", r6("x").alias("x"), "label", F.round("value", 4).alias("value"))
 
 
-@query("""WITH b AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS rows FROM events WHERE event_type <> 'view' GROUP BY 1),
+@query("""WITH b AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS rows FROM events GROUP BY 1),
   f AS (SELECT CAST(s.bucket AS TIMESTAMP) AS bucket, coalesce(rows, 0) AS rows, b.bucket IS NULL AS gap FROM (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 1 HOUR)) AS bucket) s LEFT JOIN b ON s.bucket = b.bucket)
   SELECT bucket, rows, (SELECT count(*) FILTER (WHERE gap) FROM f) AS gaps FROM f WHERE NOT gap OR (SELECT count(*) FILTER (WHERE gap) / count(*) FROM f) <= 0.2""")
 def gap_fill(t):
-    return Z.gap_fill(Z.time_buckets(t.events.where("event_type <> 'view'"), "ts", "hour"), "hour")
+    return Z.gap_fill(Z.time_buckets(t.events, "ts", "hour"), "hour")
 
 
 # --- row order, spread, relation, map --------------------------------------------------------------

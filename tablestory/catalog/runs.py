@@ -108,9 +108,9 @@ def pending_rows(t):
     return R.pending_rows(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
 
 
-@query("""SELECT count(*) AS completed FROM (SELECT r, row_number() OVER (ORDER BY r) - 1 AS n FROM (SELECT DISTINCT event_id AS r FROM events WHERE value < 300)) WHERE r = n""")
+@query("""SELECT count(*) AS completed FROM (SELECT r, row_number() OVER (ORDER BY r) - 1 AS n FROM (SELECT DISTINCT doc_id AS r FROM labels)) WHERE r = n""")
 def completed_prefix(t):
-    return R.completed_prefix(t.events.where("value < 300").select(F.col("event_id").alias("row_index")))
+    return R.completed_prefix(t.labels.select(F.col("doc_id").alias("row_index")))
 
 
 @query("""SELECT lang AS run_id, count(quality) AS completed_rows, count(*) AS total_rows, CAST(floor(count(quality) * 100 / count(*) + 0.5) AS BIGINT) AS percent
@@ -298,7 +298,7 @@ def pack_proposals(t):
 @query(f"SELECT source, doc_id, proposal_id FROM {_PACKED} WHERE doc_id % 5 <> 1")
 def proposal_quality(t):
     packed = Q.pack_proposals(_drafts(t), "source", ["doc_id"])
-    return Q.proposal_quality(packed, P.profile_table(t.documents.select("lang", "source", "n_chars")), "doc_id").select("source", "doc_id", "proposal_id")
+    return Q.proposal_quality(packed, P.profile_table(t.documents), "doc_id").select("source", "doc_id", "proposal_id")
 
 
 @query("""SELECT source, proposal_id, position FROM (SELECT source, proposal_id, CAST(row_number() OVER (PARTITION BY source ORDER BY s, doc_id, proposal_id) AS INTEGER) AS position FROM (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.shown import nice_step_column
-from .ordering import previous
+from .ordering import previous, row_index
 
 __all__ = [
     "pearson", "pearson_pairs", "lag1_corr", "chi_square_significant", "rate_difference",
@@ -233,18 +233,14 @@ def variation(value: Column) -> Column:
 def thirds_change(series: DataFrame, order: str, value: str) -> DataFrame:
     """(early, late, change): mean of the first third of a series against the last third.
 
-    A series has one row per time bucket, so ordering it in one task is safe.
+    Rows are numbered by ranges of the order, so a series of any length is read by many tasks. Missing
+    values are left out of the means; an empty series gives no row.
     """
-    ordered = series.agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))).alias("s"))
-    size = F.size("s")
-    third = F.greatest(F.lit(1), F.floor(size / 3).cast("int"))
-
-    def mean_of(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(part)
-
-    cut = ordered.where(size > 0).select(
-        mean_of(F.slice("s", F.lit(1), third)).alias("early"),
-        mean_of(F.slice("s", size - third + 1, third)).alias("late"),
-    )
+    slim = series.select(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))
+    numbered = row_index(slim, ["at", "v"], "place")
+    total = slim.agg(F.count(F.lit(1))).scalar()
+    third = F.greatest(F.lit(1), F.floor(total / 3))
+    means = numbered.withColumns({"first": F.col("place") < third, "last": F.col("place") >= total - third}).agg(
+        F.avg(F.when(F.col("first"), F.col("v"))).alias("early"), F.avg(F.when(F.col("last"), F.col("v"))).alias("late"), F.count(F.lit(1)).alias("rows"))
     change = F.when(F.col("early") == 0, 0.0).otherwise(F.try_divide(F.col("late") - F.col("early"), F.abs("early")))
-    return cut.withColumn("change", change)
+    return means.where("rows > 0").select("early", "late", change.alias("change"))
