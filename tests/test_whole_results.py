@@ -1,5 +1,7 @@
 """Results that must not lose rows or values."""
 
+import uuid
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -58,8 +60,8 @@ def test_long_decimals_stay_different(spark):
     assert [r[0] for r in small.select(label_text(F.col("v"), small.schema["v"].dataType)).collect()] == ["1.5", "2", "0", "-30", "0.05"]
 
 
-def test_a_stream_of_steps_ends_with_the_open_and_the_late_ones(spark, tmp_path):
-    folder = f"{checkpoint_dir(spark)}/{tmp_path.name}"
+def test_a_stream_of_steps_ends_with_the_open_and_the_late_ones(spark):
+    folder = f"{checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}"  # the shared folder outlives a session
     for days in (["2024-01-03 10:00", "2024-01-04 23:59", "2024-01-04 08:00"], ["2024-01-01 05:00", "2024-01-03 00:00", "2024-01-05 00:01"]):
         df = spark.createDataFrame([(d,) for d in days], "at string").select(F.col("at").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(f"{folder}-in")
