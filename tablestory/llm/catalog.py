@@ -27,8 +27,9 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    # Texts may be long: fewer rows a batch bound what a task holds at once.
+    # Texts may be long: fewer rows and bytes a batch bound what a task holds at once.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

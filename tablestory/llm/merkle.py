@@ -75,18 +75,13 @@ class Forest:
         return found[0]
 
 
-def _keep(s: Scratch, df: DataFrame, name: str, files: int = 0) -> DataFrame:
-    # Digests do not get smaller by snappy, whose direct buffers pile up over many small files.
-    return s.keep(df, name, files, compression="zstd")
-
-
 def _ranked(s: Scratch, leaves: DataFrame, name: str) -> DataFrame:
     """Leaves ``(group, key, digest, carried)`` with their tree, their rank in it and its size.
 
     ``tree`` grows with the group, null first.
     """
     dealt = leaves.repartitionByRange("group", "key", "digest").sortWithinPartitions("group", "key", "digest")
-    dealt = _keep(s, dealt.withColumn("at", F.monotonically_increasing_id()), f"{name}-sorted")
+    dealt = s.keep(dealt.withColumn("at", F.monotonically_increasing_id()), f"{name}-sorted")
     part = F.shiftright("at", _PART)
     runs = dealt.groupBy(part.alias("part"), "group").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
     whole = Window.partitionBy("group")
@@ -100,7 +95,7 @@ def _ranked(s: Scratch, leaves: DataFrame, name: str) -> DataFrame:
 
 def grow(s: Scratch, leaves: DataFrame, name: str, fanout: int = FANOUT) -> Forest:
     """The trees over ``(group, key, digest, carried)``: by group, leaves in the order of key and digest."""
-    levels, files = [_keep(s, _ranked(s, leaves, name), f"{name}-0")], [0]
+    levels, files = [s.keep(_ranked(s, leaves, name), f"{name}-0")], [0]
     most, nodes, trees = levels[0].agg(F.max("n"), F.count("*"), F.count_if(F.col("lo") == 0)).first()
     most, width = most or 0, 1
     while width < most:
@@ -112,7 +107,7 @@ def grow(s: Scratch, leaves: DataFrame, name: str, fanout: int = FANOUT) -> Fore
             "tree", F.col("children")[0]["lo"].alias("lo"), F.element_at("children", -1)["hi"].alias("hi"), "n",
             digest(F.array_join(F.transform("children", lambda c: shown(c["digest"])), "")).alias("digest"), "children")
         files.append(-(-(nodes // width + trees) // FILE_NODES))  # a level's nodes are counted by its width
-        levels.append(_keep(s, above, f"{name}-{len(levels)}", files[-1]))
+        levels.append(s.keep(above, f"{name}-{len(levels)}", files[-1]))
     return Forest(levels, files)
 
 
@@ -135,7 +130,7 @@ def _paths(s: Scratch, forest: Forest, tops: DataFrame, name: str, fanout: int)
             inner = level.where("hi - lo < n").join(up, within).select("tree", *own, F.concat(step, "up_path").alias("path"), "subroot")
             found = found.unionAll(inner)
         if k:
-            above, width = _keep(s, found, f"{name}-paths-{k}", forest.files[k]), width // fanout if k < len(forest.levels) - 1 else width
+            above, width = s.keep(found, f"{name}-paths-{k}", forest.files[k]), width // fanout if k < len(forest.levels) - 1 else width
         else:
             return found
 
@@ -154,7 +149,7 @@ def prove(docs: DataFrame, key: str, group: str, leaf: Column, carry: dict[str,
     """
     with Scratch(docs.sparkSession) as s:
         carried = F.struct(*[c.alias(n) for n, c in (carry or {}).items()], F.lit(0).alias("_"))
-        leaves = _keep(s, docs.select(F.col(group).alias("group"), F.col(key).alias("key"), leaf.alias("digest"), carried.alias("carried")), "leaves")
+        leaves = s.keep(docs.select(F.col(group).alias("group"), F.col(key).alias("key"), leaf.alias("digest"), carried.alias("carried")), "leaves")
         lower = grow(s, leaves, "rows", fanout)
         subroots = lower.roots().select(F.lit(0).alias("group"), F.col("tree").alias("key"), "digest", F.lit(0).alias("carried"))
         upper = grow(s, subroots, "groups", fanout)
@@ -162,7 +157,7 @@ def prove(docs: DataFrame, key: str, group: str, leaf: Column, carry: dict[str,
         root = F.lit(bytes(root.digest) if root else None).cast("binary")
         nothing = upper.roots().select("tree", F.array().cast(_PATH).alias("path"), F.col("digest").alias("subroot"))
         tops = _paths(s, upper, nothing, "groups", fanout).select(F.col("key").alias("tree"), "path", F.col("digest").alias("subroot"))
-        found = _paths(s, lower, _keep(s, tops, "tops"), "rows", fanout)
+        found = _paths(s, lower, s.keep(tops, "tops"), "rows", fanout)
         return s.result(found.select(
             F.col("key").alias(key), *[F.col(f"carried.{n}").alias(n) for n in carry or {}], F.col("digest").alias("leaf"), "subroot",
             root.alias("root"), "path"))

@@ -196,7 +196,9 @@ def fit(sequences: list[list[tuple[int, ...]]], labels: list[list[int]], rounds:
             total = soft(fore[:, -1] + last, 1)
             want = np.eye(size)[y]
             gap = want - np.exp(fore + rear - total[:, None, None])
-            np.add.at(grad[0], x.reshape(-1), np.repeat(gap.reshape(-1, size), x.shape[2], axis=0))
+            flat, each = x.reshape(-1), gap.reshape(-1, size)
+            for k in range(size):
+                grad[0][:, k] += np.bincount(flat, np.repeat(each[:, k], x.shape[2]), _HASHED)
             grad[2] += gap[:, 0].sum(axis=0)
             grad[3] += gap[:, -1].sum(axis=0)
             for t in range(1, length):

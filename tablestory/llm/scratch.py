@@ -29,9 +29,10 @@ class Scratch:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         delete(self.spark, self.folder)
 
-    def keep(self, df: DataFrame, name: str, files: int = 0, **options: str) -> DataFrame:
-        """With ``files``, at most so many; options are the Parquet writer's."""
-        (df.coalesce(files) if files else df).write.options(**options).parquet(f"{self.folder}/{name}")
+    def keep(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
+        """With ``files``, at most so many."""
+        # Snappy takes direct buffers, which pile up outside the heap over many small files; zstd does not.
+        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def keep_by(self, df: DataFrame, name: str, column: str) -> DataFrame:
