@@ -269,6 +269,9 @@ def test_latent_search(spark):
     found = latent_search.find_items(docs, items).collect()
     got = {(r.doc_id, r.item_id) for r in found}
     assert len(got & want) >= 0.9 * len(want) and got <= want
+    latent = {(r.doc_id, r.item_id) for r in latent_search.find_items(docs, items, exact=False).collect()}
+    assert len(latent) >= 0.95 * len(got) and latent <= got
+    assert latent >= {(r.doc_id, r.item_id) for r in found if r.latent}
     assert {r.doc_id for r in latent_search.without_items(docs, items).collect()} == set(range(len(texts))) - {d for d, _ in got}
     assert latent_search.find_items(docs.limit(0), items).count() == latent_search.find_items(docs, items.limit(0)).count() == 0
 
@@ -278,6 +281,9 @@ def test_latent_search_holds_all_that_brute_force_holds(spark, monkeypatch, axes
     if axes == "blind":
         monkeypatch.setattr(latent_search, "latent_axes", lambda sample, idf: np.zeros((1 << latent_search.TERM_BITS, 1)))
         monkeypatch.setattr(latent_search, "ANCHORED", 7)
+    else:  # two groups of items in two passes
+        monkeypatch.setattr(latent_search, "GROUP", 40)
+        monkeypatch.setattr(latent_search, "GROUPS", 1)
     rng = random.Random(12)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(700)] + ["the"] * 300
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
