@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablestory.llm import chat_windows, components, ego_join, latent_search, line_dedup, ngram_join, packing, pii, quality, url_filter, warc
@@ -276,6 +279,40 @@ def test_latent_search(spark):
     assert latent_search.find_items(docs.limit(0), items).count() == latent_search.find_items(docs, items.limit(0)).count() == 0
 
 
+def test_latent_search_adds_up_blocks_of_words_fast():
+    rng = np.random.default_rng(3)
+    axes = rng.standard_normal((1 << latent_search.TERM_BITS, 128))
+    weight = np.where(rng.random(len(axes)) < 0.2, 0, 1.0)
+    item = " ".join(f"w{n}" for n in range(40))
+    items = latent_search.read_items([SimpleNamespace(id=1, text=item, answer=None)])
+    searcher = latent_search.Searcher.build(items, axes, weight, weight, -1.0, 0.8, 0.6)
+    searcher.prepare()
+    texts = [None, "", item, "one", *(" ".join(f"w{n}" for n in rng.integers(0, 50_000, k)) for k in (7, 8, 9, 65, 3000))]
+    vectors = axes * weight[:, None]
+    own = vectors[latent_search._terms(items[0].words)].sum(axis=0)
+    for w in latent_search.words(pa.array(texts), gaps=latent_search.SIGNS):
+        found = [*searcher.candidates(w)]
+        assert {row for row, *_ in found} == {2, 3, 4, 5, 6, 7, 8} and sum(row == 8 for row, *_ in found) > 150
+        for row, _, cosine, low, _ in found:
+            begin = low + 16 if low else 0
+            if row < 7 or low:  # of the longer texts two windows begin to be read at 0
+                made = vectors[latent_search._terms(w.of(row)[begin:begin + 64])].sum(axis=0)
+                assert abs(cosine - made @ own / np.linalg.norm(made) / np.linalg.norm(own)) < 1e-4
+    searcher.cosine = 2.0
+    long = [*latent_search.words(pa.array([" ".join(f"w{n}" for n in rng.integers(0, 50_000, 200_000))]), 1 << 30, latent_search.SIGNS)]
+
+    def seconds(run):
+        best = np.inf
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            best = min(best, time.process_time() - began)
+        return best
+
+    gathered = searcher.vectors[latent_search._terms(long[0].hashes)]
+    assert seconds(lambda: [*searcher.candidates(long[0])]) < seconds(lambda: np.add.reduceat(gathered, np.arange(0, len(gathered), 8), axis=0))
+
+
 @pytest.mark.parametrize("axes", ["fitted", "blind"])
 def test_latent_search_holds_all_that_brute_force_holds(spark, monkeypatch, axes):
     if axes == "blind":
