@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from types import SimpleNamespace
 
@@ -313,6 +314,22 @@ def test_latent_search_adds_up_blocks_of_words_fast():
     assert seconds(lambda: [*searcher.candidates(long[0])]) < seconds(lambda: np.add.reduceat(gathered, np.arange(0, len(gathered), 8), axis=0))
 
 
+def test_latent_axes_take_little_of_the_driver(spark, monkeypatch):
+    size, width = 1 << latent_search.TERM_BITS, latent_search.RANK + latent_search.OVERSAMPLE
+    rng, one = np.random.default_rng(9), size * width * 4
+    drawn = rng.standard_normal((size, 60)).astype(np.float32)
+    monkeypatch.setattr(latent_search, "summed", lambda *a, **k: np.tile(drawn, 3)[:, :width].reshape(-1) + drawn[0, 0])  # of lower rank
+    sample = spark.createDataFrame([([1, 2], 1.0)], "terms array<bigint>, weight double")
+    tracemalloc.start()
+    latent_search.latent_axes(sample, np.ones(size))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.5 * one
+    a = rng.standard_normal((10_000, 40)).astype(np.float32)
+    q = latent_search._orthonormal(a.copy()).astype(float)
+    assert np.abs(q.T @ q - np.eye(40)).max() < 1e-5 and np.abs(q @ (q.T @ a) - a).max() < 1e-4
+
+
 @pytest.mark.parametrize("axes", ["fitted", "blind"])
 def test_latent_search_holds_all_that_brute_force_holds(spark, monkeypatch, axes):
     if axes == "blind":
