@@ -120,14 +120,16 @@ def dedupe_stream(t):
 
 
 def _arrive(t, rows, part, write, parts: int = 5) -> None:
-    """Hand a table to a ``foreachBatch`` function in files, one micro-batch each, with a restart after the second."""
+    """Hand a table to a ``foreachBatch`` function in parts, one micro-batch each, with a restart after each.
+
+    A part is as many files as tasks wrote; what is new at a restart is one micro-batch.
+    """
     path, cut = scratch(t.spark), rows.withColumn("__part", part)
     for k in range(parts):
-        cut.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
-        if k in (1, parts - 1):
-            stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-            sink = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-progress")
-            sink.trigger(availableNow=True).start().awaitTermination()
+        cut.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(rows.schema).parquet(path)
+        sink = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-progress")
+        sink.trigger(availableNow=True).start().awaitTermination()
 
 
 _FIFTH = "event_id * 5 // (SELECT max(event_id) + 1 FROM events)"

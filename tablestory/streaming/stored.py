@@ -96,15 +96,22 @@ class Batches:
         self.states = KeyedStore(spark, f"{path}/state", key, buckets)
 
     def write(self, batch: DataFrame, number: int, schema: str, rows: Callable, states: Callable) -> None:
-        """``rows(batch, held)`` are the batch's rows, given the states of its buckets; ``states(held, rows)`` those states after it."""
+        """``rows(batch, held)`` are the batch's rows, given the states of its buckets; ``states(held, rows)`` those states after it.
+
+        The source is read once; what reads the batch again reads it in even parts, however few files it came in.
+        """
         if self.states.holds(number):
             return
-        buckets = self.states.touched(batch)
-        held = self.states.read(schema, buckets, latest=True)
-        made = rows(batch, held)
-        folder = f"{self.path}/rows/batch={number}"
-        made.write.mode("overwrite").parquet(folder)
-        self.states.rewrite(states(held, self.spark.read.schema(made.schema).parquet(folder)), number, buckets)
+        batch = batch.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).persist()
+        try:
+            buckets = self.states.touched(batch)
+            held = self.states.read(schema, buckets, latest=True)
+            made = rows(batch, held)
+            folder = f"{self.path}/rows/batch={number}"
+            made.write.mode("overwrite").parquet(folder)
+            self.states.rewrite(states(held, self.spark.read.schema(made.schema).parquet(folder)), number, buckets)
+        finally:
+            batch.unpersist()
 
     def read(self, schema) -> DataFrame:
         paths = [f"{self.path}/rows/batch={v}" for v in sorted(self.states.log())]

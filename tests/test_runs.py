@@ -273,3 +273,26 @@ def test_admit_stream_matches_batch(spark, tmp_path):
         stream.option("checkpointLocation", str(tmp_path / f"cp-{outcome}")).trigger(availableNow=True).start().awaitTermination()
         batch = {x.id: x.verdict for x in K.admit(df, "scope", "at", ["id"], LIMITS, outcome).collect()}
         assert {x.id: x.verdict for x in K.read_batches(spark, str(tmp_path / f"out-{outcome}"), "scope", "id int, verdict string").collect()} == batch
+
+
+def test_a_batch_of_one_file_is_read_once_and_in_parts(spark, tmp_path):
+    from tablestory.streaming.stored import Batches
+
+    read, parts = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    batch = spark.range(4000).selectExpr("id % 7 AS k", "id").coalesce(1).mapInArrow(counted, "k bigint, id bigint")
+
+    def rows(b, held):
+        parts.append(b.count() and b.rdd.getNumPartitions())
+        return b.where(F.col("id") < b.agg(F.max("id")).scalar())
+
+    store = Batches(spark, str(tmp_path / "out"), "k")
+    store.write(batch, 0, "k bigint, n bigint", rows, lambda held, made: made.groupBy("k").agg(F.count("id").alias("n")))
+    assert read.value == 4000 and parts[0] > 1
+    assert store.read("k bigint, id bigint").count() == 3999
+    assert store.states.read("k bigint, n bigint").agg(F.sum("n")).first()[0] == 3999
