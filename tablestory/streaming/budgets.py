@@ -11,6 +11,7 @@ it may be entered with, and nothing is run twice. Then all rows are labelled in
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -270,13 +271,13 @@ def admit(
     slim = slim.select(*dict.fromkeys(slim.columns))
     entered = _carried(slim, scope, at_ms, order_by, limits, states)
     if entered is None:
-        rows = ranged.withColumn("__state", F.lit(None).cast("struct<last:bigint,consumed:bigint,active:bigint,recent:array<bigint>>"))
+        rows = ranged.withColumn("__state", F.lit(None).cast("string"))
     else:
         here = (F.col(RANGE) == F.col("__r")) & F.col(scope).eqNullSafe(F.col("__s"))
-        entered = entered.select(F.col("range").alias("__r"), F.col("scope").alias("__s"), F.col("state").alias("__state"))
+        entered = entered.select(F.col("range").alias("__r"), F.col("scope").alias("__s"), F.to_json("state").alias("__state"))  # as text: it meets every row, and is read once a run of rows
         rows = ranged.join(F.broadcast(entered), here, "left").drop("__r", "__s")
     if states is not None:
-        before = states.select(F.col(scope).alias("__b"), F.struct("last", "consumed", "active", "recent").alias("__begun"))
+        before = states.select(F.col(scope).alias("__b"), F.to_json(F.struct("last", "consumed", "active", "recent")).alias("__begun"))
         rows = rows.join(before, F.col(scope).eqNullSafe(F.col("__b")), "left").withColumn("__state", F.coalesce("__state", "__begun")).drop("__b", "__begun")
     own = requests.columns
 
@@ -285,13 +286,14 @@ def admit(
         for pdf in batches:
             verdicts = np.empty(len(pdf), dtype=object)
             numbers, scopes = pdf[RANGE].to_numpy(), pdf[scope].to_numpy()
-            starts = [i for i in range(len(pdf)) if not i or numbers[i] != numbers[i - 1] or scopes[i] != scopes[i - 1]]
+            new = (numbers[1:] != numbers[:-1]) | (scopes[1:] != scopes[:-1])
+            starts = np.flatnonzero(np.append(len(pdf) > 0, new)).tolist()
             times, ends = pdf[at_ms].to_numpy(), pdf[outcome].to_numpy() if outcome else np.full(len(pdf), None)
             for a, b in zip(starts, [*starts[1:], len(pdf)]):
                 if current != (numbers[a], scopes[a]):
                     current, state = (numbers[a], scopes[a]), pdf["__state"].iloc[a]
-                    budget = Budget(limits, state and (
-                        None if pd.isna(state["last"]) else int(state["last"]), state["consumed"], state["active"], [int(t) for t in state["recent"]]))
+                    state = None if pd.isna(state) else json.loads(state)
+                    budget = Budget(limits, state and (state.get("last"), state["consumed"], state["active"], state["recent"]))
                 verdicts[a:b] = budget.decide(times[a:b], ends[a:b])
             yield pdf[own].assign(verdict=verdicts)
 

@@ -296,3 +296,11 @@ def test_a_batch_of_one_file_is_read_once_and_in_parts(spark, tmp_path):
     assert read.value == 4000 and parts[0] > 1
     assert store.read("k bigint, id bigint").count() == 3999
     assert store.states.read("k bigint, n bigint").agg(F.sum("n")).first()[0] == 3999
+
+
+def test_budget_states_meet_the_rows_as_text(spark):
+    df = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, "c", 10)], "id int, scope string, at bigint")
+    states = spark.createDataFrame([("a", None, 0, 0, []), ("b", 5, 1, 0, [5])], f"scope string, {budgets.STATE}")
+    out = K.admit(df, "scope", "at", ["id"], {"cadence_ms": 100}, states=states)
+    assert "to_json" in out._jdf.queryExecution().analyzed().toString()
+    assert {r.id: r.verdict for r in out.collect()} == {1: "ADMITTED", 2: "CADENCE_LIMIT", 3: "ADMITTED"}
