@@ -330,6 +330,36 @@ def test_latent_axes_take_little_of_the_driver(spark, monkeypatch):
     assert np.abs(q.T @ q - np.eye(40)).max() < 1e-5 and np.abs(q @ (q.T @ a) - a).max() < 1e-4
 
 
+def test_latent_axes_are_those_of_all_passages(spark, monkeypatch):
+    rng, fitted, real = random.Random(8), [], latent_search.latent_axes
+    monkeypatch.setattr(latent_search, "latent_axes", lambda rows, idf: fitted.append((real(rows, idf), idf)) or fitted[-1][0])
+    texts = [" ".join(f"t{k}x{rng.randrange(10)}" for _ in range(30 * 32)) for k in range(60)]  # each of its own words
+    texts += [" ".join(f"w{rng.randrange(600)}" for _ in range(16)) for _ in range(2400)]
+    texts += texts[:2] * 3 + [None, "", "?!"]
+    item = " ".join(f"i{k}" for k in range(20))
+    assert latent_search.find_items(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 0
+    (axes, idf), = fitted
+    passages = [tuple(sorted(own[a:a + 32])) for own in (latent_search._terms(latent_search._hashed(t)).tolist() for t in texts) for a in range(0, len(own), 32)]
+    often = np.bincount([t for p in passages for t in set(p)], minlength=len(idf))
+    assert np.allclose(idf, np.where(often > 0.05 * len(passages), 0, np.log((len(passages) + 1) / (often + 1))))
+    rows = [*dict.fromkeys(passages), latent_search._terms(latent_search._hashed(item)).tolist()]
+    used = np.unique(np.concatenate(rows))
+    made = np.stack([np.bincount(np.searchsorted(used, r), minlength=len(used)) for r in rows]) * idf[used]
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    made[-1] *= np.sqrt(len(rows) - 1)
+    best = np.linalg.eigh(made.T @ made)[1][:, -axes.shape[1]:]
+    assert ((made[:-1] @ axes[used])**2).sum() > 0.95 * ((made[:-1] @ best)**2).sum()
+    assert np.abs(axes.T @ axes - np.eye(axes.shape[1])).max() < 1e-4
+
+
+@pytest.mark.parametrize("sizes", [[0, 3, 0, 1], [70, 2, 33, 0, 32, 1500], []])
+def test_rows_are_added_up_by_runs(sizes):
+    rng = np.random.default_rng(2)
+    table, rows = rng.standard_normal((50, 7)), rng.integers(0, 50, sum(sizes))
+    want = [table[part].sum(axis=0) for part in np.split(rows, np.cumsum(sizes))[:len(sizes)]]
+    assert np.allclose(latent_search._added(table, rows, np.array(sizes, np.int64)), np.array(want).reshape(-1, 7))
+
+
 @pytest.mark.parametrize("axes", ["fitted", "blind"])
 def test_latent_search_holds_all_that_brute_force_holds(spark, monkeypatch, axes):
     if axes == "blind":
