@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tablestory.llm import chat_windows, components, ego_join, latent_search, line_dedup, ngram_join, packing, pii, quality, url_filter, warc
 from tablestory.session import checkpoint_dir
 from pyspark.sql import functions as F
@@ -330,14 +331,20 @@ def test_latent_axes_take_little_of_the_driver(spark, monkeypatch):
     assert np.abs(q.T @ q - np.eye(40)).max() < 1e-5 and np.abs(q @ (q.T @ a) - a).max() < 1e-4
 
 
-def test_latent_axes_are_those_of_all_passages(spark, monkeypatch):
+@pytest.mark.parametrize("query", ["op6", "pipeline"])
+def test_latent_axes_are_those_of_all_passages(spark, monkeypatch, tmp_path, query):
     rng, fitted, real = random.Random(8), [], latent_search.latent_axes
     monkeypatch.setattr(latent_search, "latent_axes", lambda rows, idf: fitted.append((real(rows, idf), idf)) or fitted[-1][0])
     texts = [" ".join(f"t{k}x{rng.randrange(10)}" for _ in range(30 * 32)) for k in range(60)]  # each of its own words
     texts += [" ".join(f"w{rng.randrange(600)}" for _ in range(16)) for _ in range(2400)]
     texts += texts[:2] * 3 + [None, "", "?!"]
     item = " ".join(f"i{k}" for k in range(20))
-    assert latent_search.find_items(documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")).count() == 0
+    docs, items = documents(spark, texts), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    if query == "op6":
+        assert latent_search.find_items(docs, items).count() == 0
+    else:
+        items.write.parquet(f"{tmp_path}/benchmark.parquet")
+        assert corpus_pipeline.unseen_items(spark, docs, str(tmp_path)).count() == len(texts)
     (axes, idf), = fitted
     passages = [tuple(sorted(own[a:a + 32])) for own in (latent_search._terms(latent_search._hashed(t)).tolist() for t in texts) for a in range(0, len(own), 32)]
     often = np.bincount([t for p in passages for t in set(p)], minlength=len(idf))
